@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import packing, quality_rules, simhash
-from quern.llm.common import shared_folder
+from quern.llm import decontam, line_dedup, packing, quality_rules, simhash
+from quern.llm.common import shared_folder, table
 from quern.llm.queries import tokenizer_file
 
 
@@ -15,15 +16,25 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file())
 
 
-STAGES = [("quality_rules", rules), ("simhash_near_dedup", near_dedup), ("packing", pack)]
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontaminate), ("packing", pack)]
 
 #: Packing depends on a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
