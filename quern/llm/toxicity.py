@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause word by word: insult, threat, target, negation and
-reported speech. Their product, built as states are met, is one machine whose
-final state gives the clause an output such as "insult, aimed at someone, not
-negated, not reported". A text's score is a logistic function of the weighted
-numbers of outputs, so a denied or quoted insult counts less than a plain one.
-
-Weights, and insults missing from the word list, are learned from labelled texts.
+Small transducers read a clause word by word: insult, threat, target, negation, reported
+speech, and suspects, that is words of a stem that is over-used in toxic texts. Their
+product, built as states are met, is one machine whose final state gives the clause an
+output such as "insult, aimed at someone, not negated, not reported", with the number of
+words that led to it as its weight. A text's score is a logistic function of its outputs'
+weights, so a denied or quoted insult counts less than a plain one.
+
+The weights of outputs, insults missing from the word list, and stems are learned from
+labelled texts.
 """
 
 from __future__ import annotations
@@ -30,94 +32,139 @@ REPORTS = "said says say called calls wrote writes quoted claimed sagte sagt sch
 
 #: Labelled rows used for learning at most, those with the smallest hashes of their id.
 SAMPLE = 8000
-#: A learned insult must be in so many toxic texts that no other explains, and be this precise.
+#: A learned insult or stem must be in so many toxic texts that no other explains, and be this precise.
 GAIN, PRECISION = 4, 0.9
+#: Further stems must be in this share of the toxic texts.
+FREQUENT = 0.02
 #: A negation reaches over so many words.
 SCOPE = 3
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
-I, T, G, N, R, O = range(6)  # lexer classes: insult, threat, target, negation, report, other
+I, T, S, G, N, R, O = range(7)  # lexer classes: insult, threat, suspect, target, negation, report, other
+KINDS = ("threat", "insult", "suspect")
+#: kind, aimed at someone, negated, reported
+OUTPUTS = [(k, *f) for k in KINDS for f in product((False, True), repeat=3)]
+_OUTPUT = {o: i for i, o in enumerate(OUTPUTS)}
+#: What the outputs, the suspects' share of the words, and having several suspects count before anything is learned.
+PRIOR = np.array([({"threat": 3.0, "insult": 3.0, "suspect": 0.2}[k] + 0.4 * t) * (0.2 if n else 1) * (0.4 if r else 1) for k, t, n, r in OUTPUTS] + [0.5, 1.0])
+#: A stem is this long, and over-used in a text where it makes up so many words and such a share.
+STEM, OFTEN, SHARE = (4, 10), 2, 0.008
+#: Words whose class a worker remembers.
+REMEMBERED = 500_000
+
+
+class Lexer:
+    """Classes of words: those of the lists, learned insults, and words of learned stems."""
+
+    def __init__(self, insults=(), stems=()):
+        self.fixed = dict.fromkeys(insults, I)
+        for c, words in ((R, REPORTS), (N, NEGATIONS), (G, TARGETS), (T, THREATS), (I, INSULTS)):
+            self.fixed |= dict.fromkeys(words.split(), c)
+        self.stems, self.sizes, self.known = frozenset(stems), sorted({len(x) for x in stems}), {}
+
+    def __call__(self, word: str) -> int:
+        if (c := self.known.get(word)) is None:
+            c = self.fixed.get(word, S if any(word[:k] in self.stems for k in self.sizes) else O)
+            if len(self.known) < REMEMBERED:
+                self.known[word] = c
+        return c
 
 
 class Machine:
     """The product of the transducers, over classes of words.
 
-    A state is (words of negation scope left, reported, target seen, insult: 0 none,
-    1 negated, 2 plain; threat likewise). The output of a clause names what it holds.
+    A state is (words of negation scope left, reported, target seen, and for threat, insult
+    and suspect 0 none, 1 negated, 2 plain). A word of these three has weight 1.
     """
 
-    START = (0, False, False, 0, 0)
+    START = (0, False, False, 0, 0, 0)
 
     def __init__(self):
         self.next: dict[tuple, tuple] = {}
 
     @staticmethod
     def _step(state, c):
-        scope, reported, target, insult, threat = state
+        scope, reported, target, threat, insult, suspect = state
         found = 1 if scope else 2
-        return (SCOPE if c == N else max(0, scope - 1), reported or c == R, target or c == G, max(insult, found * (c == I)), max(threat, found * (c == T)))
+        return (SCOPE if c == N else max(0, scope - 1), reported or c == R, target or c == G, max(threat, found * (c == T)), max(insult, found * (c == I)), max(suspect, found * (c == S)))
 
-    def read(self, classes: list[int]) -> int | None:
-        """Index of the clause's output in ``OUTPUTS``; None if it has neither insult nor threat."""
-        s = self.START
+    def read(self, classes: list[int]) -> tuple[int, int] | None:
+        """Index of the clause's output and its weight; None if it has none."""
+        s, seen = self.START, [0] * 7
         for c in classes:
+            seen[c] += 1
             k = (s, c)
             if (n := self.next.get(k)) is None:
                 n = self.next[k] = self._step(s, c)
             s = n
-        _, reported, target, insult, threat = s
+        _, reported, target, threat, insult, suspect = s
         # A threat needs a target; without one its word is as any other.
-        kind, strength = ("threat", threat) if threat and target else ("insult", insult)
-        return OUTPUTS.index((kind, bool(target), strength == 1, bool(reported))) if strength else None
-
-
-#: kind, aimed at someone, negated, reported
-OUTPUTS = [(k, *f) for k in ("insult", "threat") for f in product((False, True), repeat=3)]
-#: What a clause counts before anything is learned.
-PRIOR = np.array([3.0 * (0.2 if n else 1) * (0.4 if r else 1) + 0.5 * t for _, t, n, r in OUTPUTS])
-
-
-def lexicon(learned=()) -> dict[str, int]:
-    out = {w: I for w in learned}
-    for c, words in ((R, REPORTS), (N, NEGATIONS), (G, TARGETS), (T, THREATS), (I, INSULTS)):
-        out |= dict.fromkeys(words.split(), c)
-    return out
+        for kind, strength, weight in (("threat", threat if target else 0, seen[T]), ("insult", insult, seen[I]), ("suspect", suspect, seen[S])):
+            if strength:
+                return _OUTPUT[kind, bool(target), strength == 1, bool(reported)], weight
+        return None
 
 
-def outputs(text: str | None, words: dict[str, int], machine: Machine) -> np.ndarray:
-    """How often each output occurs in the whole text."""
-    n = np.zeros(len(OUTPUTS))
+def outputs(text: str | None, lexer: Lexer, machine: Machine) -> np.ndarray:
+    """The weight of each output in the whole text, and at last its number of words."""
+    out = np.zeros(len(OUTPUTS) + 1)
     low = (text or "").lower()
-    key = {w for w in set(_WORD.findall(low)) if words.get(w, O) <= T}
+    words = _WORD.findall(low)
+    out[-1] = len(words)
+    key = [w for w in set(words) if lexer(w) <= S]
     if key:
         for clause in _CLAUSE.split(low):
-            if any(w in clause for w in key):
-                k = machine.read([words.get(w, O) for w in _WORD.findall(clause)])
-                if k is not None:
-                    n[k] += 1
-    return n
+            if any(w in clause for w in key) and (got := machine.read([lexer(w) for w in _WORD.findall(clause)])):
+                out[got[0]] += got[1]
+    return out
 
 
-def _cover(docs: list[tuple[set, int]], known: set) -> list[str]:
-    """Words that explain toxic texts which no other chosen word explains, best first."""
-    toxic, clean = {}, {}
-    for k, (words, label) in enumerate(docs):
-        for w in words:
-            if label:
-                toxic.setdefault(w, []).append(k)
-            else:
-                clean[w] = clean.get(w, 0) + 1
-    left = {k for k, (words, label) in enumerate(docs) if label and not words & known}
-    found, sure = [], {w: set(ks) for w, ks in toxic.items() if len(ks) >= GAIN and len(ks) >= PRECISION * (len(ks) + clean.get(w, 0))}
+def _inputs(out: np.ndarray) -> np.ndarray:
+    """Of rows of ``outputs``, what the weights are multiplied by."""
+    suspects = out[:, [k for k, o in enumerate(OUTPUTS) if o[0] == "suspect"]].sum(1)
+    return np.c_[np.minimum(out[:, :-1], 3), np.minimum(100 * suspects / np.maximum(out[:, -1], 1), 4), suspects >= OFTEN]
+
+
+def _cover(found: dict[str, tuple[set[int], int]], left: set[int]) -> list[str]:
+    """Patterns that explain toxic texts which no other chosen one explains, best first.
+
+    ``found``: for each pattern the toxic texts that have it, and the number of clean ones.
+    """
+    sure = {w: ks for w, (ks, clean) in found.items() if len(ks) >= GAIN and len(ks) >= PRECISION * (len(ks) + clean)}
+    chosen = []
     while sure and left:
-        best = max(sorted(sure), key=lambda w: (len(sure[w] & left)))
+        best = min(sure, key=lambda w: (-len(sure[w] & left), len(w), w))
         if len(sure[best] & left) < GAIN:
             break
         left -= sure.pop(best)
-        found.append(best)
-    return found
+        chosen.append(best)
+    return chosen
+
+
+def _stems(words: list[str]) -> set[str]:
+    """Stems over-used in a text."""
+    n: dict[str, int] = {}
+    for w in words:
+        for k in range(STEM[0], min(STEM[1], len(w)) + 1):
+            n[w[:k]] = n.get(w[:k], 0) + 1
+    least = max(OFTEN, SHARE * len(words))
+    return {p for p, c in n.items() if c >= least}
+
+
+def _patterns(docs: list[tuple[set, int]]) -> dict[str, tuple[set[int], int]]:
+    toxic, clean = {}, {}
+    for k, (found, label) in enumerate(docs):
+        if label:
+            for w in found:
+                toxic.setdefault(w, set()).add(k)
+    for found, label in docs:
+        if not label:
+            for w in found:
+                if w in toxic:
+                    clean[w] = clean.get(w, 0) + 1
+    return {w: (ks, clean.get(w, 0)) for w, ks in toxic.items()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,48 +181,58 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _learn(batches):
-    """One task over the bounded sample; keeps sets of words, not texts, until the words are chosen."""
-    rows = [(t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    rows.sort()
-    docs = [(set(_WORD.findall(t.lower())), y) for t, y in rows]
-    learned = _cover(docs, set(INSULTS.split()))
-    words, machine = lexicon(learned), Machine()
-    x = np.array([np.minimum(outputs(t, words, machine), 3) for t, _ in rows]).reshape(-1, len(OUTPUTS))
+    """One task over the bounded sample."""
+    rows = sorted((t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    words = [_WORD.findall(t.lower()) for t, _ in rows]
+    known = set(INSULTS.split())
+    left = {k for k, (_, y) in enumerate(rows) if y and not known & set(words[k])}
+    # Stems first: they are fewer and explain more than the single words they are in.
+    found = _patterns([(_stems(w), y) for w, (_, y) in zip(words, rows)])
+    stems = _cover(found, left)
+    # Then those that are as precise and frequent, though other stems explain the same texts.
+    least = max(GAIN, FREQUENT * sum(y for _, y in rows))
+    for p, (ks, clean) in sorted(found.items(), key=lambda x: (-len(x[1][0]), len(x[0]), x[0])):
+        if len(ks) >= least and len(ks) >= PRECISION * (len(ks) + clean) and not any(p.startswith(x) or x.startswith(p) for x in stems):
+            stems.append(p)
+    insults = _cover(_patterns([(set(w), y) for w, (_, y) in zip(words, rows)]), left)
+    del words
+    lexer, machine = Lexer(insults, stems), Machine()
+    x = _inputs(np.array([outputs(t, lexer, machine) for t, _ in rows]).reshape(-1, len(OUTPUTS) + 1))
     w = _fit(x, np.array([y for _, y in rows], float))
-    yield pa.RecordBatch.from_arrays([pa.array([learned], pa.list_(pa.string())), pa.array([w.tolist()], pa.list_(pa.float64()))], ["words", "weights"])
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(k)) for x, k in ((insults, pa.string()), (stems, pa.string()), (w.tolist(), pa.float64()))], ["insults", "stems", "weights"])
 
 
-def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0) -> tuple[list[str], list[float]]:
-    """Insults and weights from at most ``SAMPLE`` labelled rows outside the held-out fold."""
+def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0) -> tuple[list[str], list[str], list[float]]:
+    """Insults, stems and weights from at most ``SAMPLE`` labelled rows outside the held-out fold."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (crc_of_id("doc_id") % folds != held))
     ids = ids.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
     # A label given more than once counts as its largest.
     ids = ids.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
     rows = df.join(F.broadcast(ids), F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).cast("string").alias("t"), "_label")
     rows = rows.orderBy(F.xxhash64("t"), "t").limit(2 * SAMPLE)  # an id may repeat
-    got = rows.coalesce(1).mapInArrow(_learn, "words array<string>, weights array<double>").collect()
-    return (list(got[0]["words"]), list(got[0]["weights"])) if got else ([], [-3.0, *PRIOR.tolist()])
+    got = rows.coalesce(1).mapInArrow(_learn, "insults array<string>, stems array<string>, weights array<double>").collect()
+    return (list(got[0]["insults"]), list(got[0]["stems"]), list(got[0]["weights"])) if got else ([], [], [-3.0, *PRIOR.tolist()])
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held: int = 0) -> DataFrame:
-    """``doc_id, held_out, score, predicted, n_clauses``, a row for each row of ``df``.
+    """``doc_id, held_out, score, predicted, weight``, a row for each row of ``df``.
 
-    Nothing but the text enters a score. Null and empty texts have no clause and
-    score as such a text. Labels with a null id or label are not used; without
+    Nothing but the text enters a score. ``weight`` is that of all outputs
+    together. Null and empty texts have no clause and score as such a text. Labels with a null id or label are not used; without
     any, the prior weights hold. Repeated rows come out repeated, null ids stay null and
     count as the empty text in the fold; further columns, whatever their names, are not
     read. An empty table gives an empty table.
     """
-    learned, weights = learn(df, labels, id_col, text_col, label_col, folds, held)
+    insults, stems, weights = learn(df, labels, id_col, text_col, label_col, folds, held)
     bias, w = weights[0], np.array(weights[1:])
 
     def work(batches):
-        words, machine = lexicon(learned), Machine()
+        lexer, machine = Lexer(insults, stems), Machine()
         for b in batches:
-            got = [outputs(t, words, machine) for t in b.column(2).to_pylist()]
-            z = np.array([bias + float(np.minimum(n, 3) @ w) for n in got])
+            got = np.array([outputs(t, lexer, machine) for t in b.column(2).to_pylist()]).reshape(-1, len(OUTPUTS) + 1)
+            z = bias + _inputs(got) @ w
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array([int(n.sum()) for n in got], pa.int64())], ["doc_id", "held_out", "score", "predicted", "n_clauses"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32)), pa.array(got[:, :-1].sum(1), pa.float64())], ["doc_id", "held_out", "score", "predicted", "weight"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (crc_of_id(id_col) % folds == held).alias("held_out"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, n_clauses long")
+    return rows.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int, weight double")
