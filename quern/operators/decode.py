@@ -127,7 +127,7 @@ def failfast(results: DataFrame, checks: DataFrame | None, errors: DataFrame) ->
     why = bad.agg(F.min("why").alias("why"))
     failed = F.when(~F.col("crc_valid"), F.raise_error(F.concat(F.lit("block "), F.col("block_idx").cast("string"), F.lit(" of "), "file", F.lit(": "), F.coalesce("error", F.lit("")))))
     # One row: the first complaint, or null. A left join onto it keeps files that have no block.
-    out = why.withColumn("_stop", F.when(F.col("why").isNotNull(), F.raise_error("why")).cast("string")).join(results.withColumn("_bad", failed.cast("string")), F.col("_stop").isNull(), "inner")
+    out = why.withColumn("_stop", F.when(F.col("why").isNotNull(), F.raise_error(F.col("why"))).cast("string")).join(results.withColumn("_bad", failed.cast("string")), F.col("_stop").isNull(), "inner")
     return out.where("_bad is null").select(*results.columns)
 
 
