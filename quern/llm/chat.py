@@ -195,7 +195,8 @@ def _repaired(fixed: dict):
 
         for segment in _segments(batches):
             if held:
-                repair(*held, not first)
+                # Only a task's first and last conversation can go on elsewhere.
+                repair(*held, False if first else None)
                 first = False
                 if len(out) > 4096:
                     yield batch()
