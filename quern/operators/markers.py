@@ -74,16 +74,16 @@ def streams(m: DataFrame) -> DataFrame:
 
 
 def block_ranges(m: DataFrame) -> DataFrame:
-    """``file, stream_idx, block_idx, level, start_bit, end_bit, earlier, later``.
+    """``file, stream_idx, block_idx, level, start_bit, end_bit, crc, earlier, later``.
 
     A range ends where the next marker begins. ``earlier`` holds the nearest starts before it and
     ``later`` the nearest ends after it in the stream, for blocks that a false marker splits.
     """
     w = "over (partition by file order by bit_offset"
-    t = true_markers(m).selectExpr("file", "kind", "bit_offset", f"cast(coalesce(count_if(kind = 'E') {w} rows between unbounded preceding and 1 preceding), 0) as int) as stream_idx", f"last(next_level, true) {w} rows between unbounded preceding and 1 preceding) as level", f"lead(bit_offset) {w}) as end_bit")
+    t = true_markers(m).selectExpr("file", "kind", "bit_offset", "crc", f"cast(coalesce(count_if(kind = 'E') {w} rows between unbounded preceding and 1 preceding), 0) as int) as stream_idx", f"last(next_level, true) {w} rows between unbounded preceding and 1 preceding) as level", f"lead(bit_offset) {w}) as end_bit")
     s = "over (partition by file, stream_idx order by bit_offset"
     return t.where("kind = 'B' and end_bit is not null").selectExpr(
-        "file", "stream_idx", f"cast(row_number() {s}) - 1 as int) as block_idx", "level", "bit_offset as start_bit", "end_bit",
+        "file", "stream_idx", f"cast(row_number() {s}) - 1 as int) as block_idx", "level", "bit_offset as start_bit", "end_bit", "crc",
         f"collect_list(bit_offset) {s} rows between {REACH} preceding and 1 preceding) as earlier",
         f"collect_list(end_bit) {s} rows between 1 following and {REACH} following) as later",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +22,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder that all executors share."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as a Parquet table, for rows with payload: columns that a query does not need are not read."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from quern.functions import kernels as K
 from quern.functions.columns import block_crc, compress, decompress, fold_crc, max_block_bytes, ratio
 from quern.operators import decode, encode, markers, stats
-from quern.plans.storage import fresh_folder
+from quern.plans.spread import spread
+from quern.plans.storage import fresh_folder, stored
 from quern.sources.bzip2 import write_files
 
 SIZE_1 = K.max_block_bytes(1)
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _work(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose values are to be encoded."""
+    return spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def _bytes(c: str):
     return F.encode(F.col(c), "utf-8")
 
@@ -30,28 +36,28 @@ def _text(c):
 
 
 def roundtrip_documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", _text(decompress(compress(_bytes("text")))).alias("text"))
+    return _work(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _text(decompress(compress(_bytes("text")))).alias("text"))
 
 
 def roundtrip_pages(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", _text(decompress(compress(_bytes("html"), 1))).alias("html"))
+    return _work(spark, sf_dir, "pages", "page_id", "html").select("page_id", _text(decompress(compress(_bytes("html"), 1))).alias("html"))
 
 
 def roundtrip_conversations(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", _text(decompress(compress(_bytes("text"), 5))).alias("text"))
+    return _work(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", _text(decompress(compress(_bytes("text"), 5))).alias("text"))
 
 
 def encode_decode_documents(spark, sf_dir):
     """Blocks and markers as rows of tables, both ways."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("data"))
-    files = encode.encode(docs, "doc_id", "data", 1).select(F.col("doc_id").cast("string").alias("file"), "content")
+    files = stored(encode.encode(spread(docs), "doc_id", "data", 1).select(F.col("doc_id").cast("string").alias("file"), "content"), "files")
     blocks = decode.decode(files)
     return files.select("file").join(decode.whole_values(blocks), "file", "left").select(F.col("file").cast("long").alias("doc_id"), F.coalesce(_text(F.col("data")), F.lit("")).alias("text"))
 
 
 def _archives(spark, sf_dir, level=1):
     docs = _table(spark, sf_dir, "documents").select("lang", "doc_id", _bytes("text").alias("data"))
-    return encode.archive(docs, "lang", "doc_id", "data", level).select(F.col("lang").alias("file"), "content")
+    return stored(encode.archive(docs, "lang", "doc_id", "data", level).select(F.col("lang").alias("file"), "content"), "archives")
 
 
 def archive_roundtrip_by_lang(spark, sf_dir):
@@ -61,7 +67,7 @@ def archive_roundtrip_by_lang(spark, sf_dir):
 
 def archive_text_by_source(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("source", "doc_id", _bytes("text").alias("data"))
-    files = encode.archive(docs, "source", "doc_id", "data", 1).select(F.col("source").alias("file"), "content")
+    files = stored(encode.archive(docs, "source", "doc_id", "data", 1).select(F.col("source").alias("file"), "content"), "archives")
     whole = decode.whole_values(decode.decode(files))
     return whole.select(F.col("file").alias("source"), F.md5("data").alias("digest"))
 
@@ -145,12 +151,13 @@ def _flip(content, at):
 
 def corruption_report(spark, sf_dir):
     """Of every three documents one has its block and one its stream checksum damaged."""
-    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 9).alias("content"))
+    files = _work(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 9).alias("content"))
     kind = F.col("file").cast("long") % 3
     # Byte 12 is in the block's checksum; the fourth byte from the end is in the stream's.
     files = files.select("file", F.when(kind == 1, _flip("content", F.lit(12))).when(kind == 2, _flip("content", F.lit(-4))).otherwise(F.col("content")).alias("content"))
+    files = stored(files, "damaged")
     m = markers.markers(files)
-    results = decode.numbered(decode.decode_value_blocks(markers.block_ranges(m), files))
+    results = stored(decode.numbered(decode.decode_value_blocks(markers.block_ranges(m), files)).drop("data"), "results")
     checks = decode.stream_check(results.where("crc_valid"), markers.streams(m)).groupBy("file").agg(F.min("ok").alias("ok"))
     bad = results.groupBy("file").agg(F.count_if(~F.col("crc_valid")).alias("bad"))
     status = F.when(F.col("bad") > 0, "bad block").when(~F.col("ok"), "bad stream").otherwise("ok")
@@ -170,7 +177,8 @@ def blocks_before_error(spark, sf_dir):
 
 def false_marker_recovery(spark, sf_dir):
     """A false block marker is put into the middle of every range; the texts come out whole."""
-    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 1).alias("content"))
+    files = _work(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 1).alias("content"))
+    files = stored(files, "files")
     m = markers.markers(files)
     false = markers.block_ranges(m).select("file", F.expr("(start_bit + end_bit) div 2").alias("bit_offset"), F.lit("B").alias("kind"), F.lit(0).cast("long").alias("crc"), F.lit(None).cast("int").alias("next_level"))
     results = decode.numbered(decode.decode_value_blocks(markers.block_ranges(m.unionByName(false)), files))
@@ -226,11 +234,11 @@ def decoder_statistics(spark, sf_dir):
 
 def encoder_statistics(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("data"))
-    return stats.encoder_stats(encode.encode_blocks(encode.split_blocks(docs, "doc_id", "data"), 9))
+    return stats.encoder_stats(encode.encode_blocks(encode.split_blocks(spread(docs), "doc_id", "data"), 9))
 
 
 def compression_by_lang(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("lang", _bytes("text").alias("data")).select("lang", F.octet_length("data").alias("n"), F.octet_length(compress(F.col("data"))).alias("z"))
+    docs = _work(spark, sf_dir, "documents", "lang", "text").select("lang", _bytes("text").alias("data")).select("lang", F.octet_length("data").alias("n"), F.octet_length(compress(F.col("data"))).alias("z"))
     return docs.groupBy("lang").agg(ratio(F.sum("z"), F.sum("n")).alias("compression_ratio"))
 
 
@@ -244,7 +252,7 @@ def file_roundtrip(spark, sf_dir):
     """Written as .bz2 files by the sink, read again in small parts, all blocks of all files at once."""
     path = fresh_folder(spark, "files")
     docs = _table(spark, sf_dir, "documents").select(_bytes("text").alias("data"))
-    write_files(docs.repartition(4), path, 1)
+    write_files(spread(docs), path, 1)
     blocks = decode.decode_files(spark, path, part_bytes=1 << 18)
     return blocks.agg(F.sum(F.octet_length("data")).cast("long").alias("total_bytes"))
 
