@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.storage import frozen, shared_folder  # noqa: F401
+
 #: The word separators of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,26 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables that all executors see.
+_held: list = [None, None]
+
+
+def remembered(name: str, make: Callable):
+    """What a Python worker remembers from task to task, of one operator at a time.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a temporary folder is used.
+    Workers outlive queries. When another operator asks, what the last one kept is dropped, so
+    the operators of a pipeline do not add up in a worker's memory.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
-    return sc.getCheckpointDir()
+    if _held[0] != name:
+        _held[:] = [None, None]
+        tidy()
+        _held[:] = [name, make()]
+    return _held[1]
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system, where the allocators allow it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the checkpoint folder that all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``work``, with its task's memory given back at the end."""
 
+    def run(batches):
+        yield from work(batches)
+        tidy()
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)
+    return run
 
 
 def crc_of_id(column: str = "doc_id"):

@@ -16,17 +16,19 @@ last ones are planned again together with what follows, so memory is bounded.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections import deque
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import remembered, tidied
+
 LENGTH, END_ID = 2048, 1
 #: Penalties, in tokens of padding.
 SENTENCE, INSIDE = 8, 96
@@ -35,11 +37,16 @@ STRIDE = 64
 #: Windows planned at once, and how many of the last are planned again.
 STRETCH, AGAIN = 512, 8
 #: Segments whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 900_000
 
-#: White space other than a space or \n, and the mark put between segments.
-_ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ENDS = (".", "!", "?", "\u2026", "\u3002")
+#: Texts with other white space than single spaces and single line breaks, or with the mark put between segments.
+_ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n\\n| \\n|\\n "
+_ENDS = (".", "!", "?", "…", "。")
+#: How a byte-level vocabulary writes bytes: printable ones as themselves, the others as further characters in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_VISIBLE = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Bytes of text encoded at once.
+PIECE = 8_000_000
 
 
 class Encoder:
@@ -47,7 +54,8 @@ class Encoder:
 
     The tokenizer's pattern always starts a new piece before a space that follows a
     non-space, and before and after a lone line break, so such a text may be encoded
-    segment by segment. Texts with any other white space are encoded whole.
+    segment by segment. Of the segments of many texts only the distinct ones are looked up, and only
+    unknown ones are encoded. Texts with any other white space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,47 +64,100 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their names in a text are ordinary text
+        self.model = self.tok.model
         self.known: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.sizes: list[int] = []
-        self.ends: list[bool] = []
-
-    def _learn(self, parts: list[str]) -> None:
-        new = [p for p in dict.fromkeys(parts) if p not in self.known]
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[p] = len(self.ids)
-            self.ids.append(np.array(e.ids, "<u4").tobytes())
-            self.sizes.append(len(e.ids))
-            self.ends.append(p.endswith(_ENDS) or p == "\n")
+        # For each segment its ids' place in ``ids``, their number, and whether a sentence ends there.
+        self.first, self.size, self.ends = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _put(self, segments: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        k, n = len(self.known), len(segments)
+        while k + n > len(self.first):
+            self.first, self.size, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size, self.ends))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(ids), np.uint32)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.known.update(zip(segments, range(k, k + n)))
+        self.first[k : k + n], self.size[k : k + n] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ends[k : k + n] = [p.endswith(_ENDS) or p == "\n" for p in segments]
+        self.used += len(ids)
+
+    def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of numbered segments, one after the other, and the end of each."""
+        n = self.size[at]
+        upto = np.cumsum(n, dtype=np.int64)
+        return self.ids[np.repeat(self.first[at] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)], upto
+
+    def _learn(self, new: list[str]) -> None:
+        # A word and one full stop or comma are two pieces: such a segment follows from its word.
+        tailed = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2] < "ɐ" and p[-2].isalpha()]
+        base = {p[:-1] for p in tailed} | {".", ","}
+        whole = [p for p in dict.fromkeys([*base, *set(new).difference(tailed)]) if p not in self.known]
+        # A word of Latin letters, with or without a space before it, is one piece, which the model takes as it is.
+        found = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))] if p.lstrip(" ").isalpha() and p[1:].isalpha() and max(p) < "ɐ" else None for p in whole]
+        other = [k for k, x in enumerate(found) if x is None]
+        for k, e in zip(other, self.tok.encode_batch_fast([whole[k] for k in other], add_special_tokens=False)):
+            found[k] = e.ids
+        self._put(whole, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        if tailed:
+            ids, ends = self._of(np.array([self.known[x] for p in tailed for x in (p[:-1], p[-1])], np.int64))
+            self._put(tailed, ids, np.diff(ends[1::2], prepend=0))
 
     def _forget(self) -> None:
         for p in list(islice(reversed(self.known), len(self.known) - REMEMBERED)):
             del self.known[p]
-        del self.ids[REMEMBERED:], self.sizes[REMEMBERED:], self.ends[REMEMBERED:]
-
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids, and the offsets after which a sentence or line ends."""
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text):
-            e = self.tok.encode(text, add_special_tokens=False)
-            ends = [i + 1 for i, t in enumerate(e.tokens) if t[-1:] in _ENDS or t[-1:] == "\u010a"]
-            return np.array(e.ids, "<u4"), np.array(ends, np.int64)
-        parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        at = list(map(self.known.get, parts))
+        self.used = int(self.first[REMEMBERED])
+
+    def _numbers(self, segments: list[str]) -> list[int]:
+        at = list(map(self.known.get, segments))
         if None in at:
-            self._learn(parts)
-            at = list(map(self.known.__getitem__, parts))
-        upto = np.cumsum(np.fromiter(map(self.sizes.__getitem__, at), np.int64, len(at)))
-        out = np.frombuffer(b"".join(map(self.ids.__getitem__, at)), "<u4"), upto[np.fromiter(map(self.ends.__getitem__, at), bool, len(at))]
+            missing = [k for k, a in enumerate(at) if a is None]
+            new = [segments[k] for k in missing]
+            self._learn(new)
+            for k, a in zip(missing, map(self.known.__getitem__, new)):
+                at[k] = a
+        return at
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        e = self.tok.encode(text, add_special_tokens=False)
+        ends = [i + 1 for i, t in enumerate(e.tokens) if t[-1:] in _ENDS or t[-1:] == "Ċ"]
+        return np.array(e.ids, np.uint32), np.array(ends, np.int64)
+
+    def many(self, texts: pa.Array):
+        """For each text, null counting as empty, its ids and the offsets after which a sentence or line ends."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        sizes, lo = pc.binary_length(texts).to_numpy(zero_copy_only=False), 0
+        while lo < len(texts):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + 100_000]), PIECE)))
+            yield from self._piece(texts[lo:hi])
+            lo = hi
+
+    def _piece(self, texts: pa.Array):
+        odd = pc.match_substring_regex(texts, _ODD).to_pylist()
+        usual = texts.filter(pa.array([not x for x in odd]))
+        marked = pc.replace_substring(pc.replace_substring(usual, " ", "\x00 "), "\n", "\x00\n\x00")
+        lists = pc.split_pattern(marked, "\x00")
+        coded = lists.flatten().dictionary_encode()
+        numbers = np.array(self._numbers(coded.dictionary.to_pylist()), np.int64)
+        at = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        ids, upto = self._of(at)
+        ends = self.ends[at]
+        segments = np.cumsum([0, *pc.list_value_length(lists).to_pylist()])
+        bounds = np.concatenate(([0], upto))[segments].tolist()
+        segments, k = segments.tolist(), 0
+        for text, whole in zip(texts, odd):
+            if whole:
+                yield self._whole(text.as_py())
+                continue
+            a, z, begin = segments[k], segments[k + 1], bounds[k]
+            yield ids[begin : bounds[k + 1]], upto[a:z][ends[a:z]] - begin
+            k += 1
         if len(self.known) > REMEMBERED:
             self._forget()
-        return out
-
-
-_encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    return _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+    return remembered(f"encoder {path}", lambda: Encoder(path))
 
 
 def plan(cuts: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -126,14 +187,24 @@ def plan(cuts: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[
     return out[::-1]
 
 
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The different values of two ascending arrays, ascending."""
+    x = np.concatenate((a, b))
+    x.sort(kind="stable")  # merges the two runs
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _candidates(ends: np.ndarray, sentences: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """All places for a cut, with penalties; long gaps get some inside."""
-    cuts = np.union1d(ends, sentences)
+    cuts = _merged(ends, sentences)
     before = np.concatenate(([0], cuts[:-1]))
     step = min(STRIDE, max(1, length // 2))
     extra = [np.arange(a + step, b, step) for a, b in zip(before[cuts - before > 2 * step].tolist(), cuts[cuts - before > 2 * step].tolist())]
-    every = np.union1d(cuts, np.concatenate(extra)) if extra else cuts
-    return every, np.where(np.isin(every, ends), 0, np.where(np.isin(every, cuts), SENTENCE, INSIDE))
+    every = _merged(cuts, np.concatenate(extra)) if extra else cuts
+    penalties = np.full(len(every), INSIDE)
+    penalties[np.searchsorted(every, cuts)] = SENTENCE
+    penalties[np.searchsorted(every, ends)] = 0
+    return every, penalties
 
 
 class Packer:
@@ -180,21 +251,22 @@ def _packed(path: str, length: int, with_ids: bool):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def work(batches):
-        encode, packer = encoder(path), Packer(length)
+        encode, packer = encoder(path).many, Packer(length)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        end, rows = np.array([END_ID], "<u4"), []
+        end, rows = np.array([END_ID], np.uint32), []
 
         def batch():
             cols = [pa.array(c, pa.int64()) for c in zip(*(r[:7] for r in rows))]
-            return pa.RecordBatch.from_arrays(cols + [pa.array([r[7] for r in rows], pa.list_(pa.int64()))] * with_ids, names)
+            if with_ids:
+                cols.append(pa.array([r[7] for r in rows], pa.list_(pa.int64())))
+            return pa.RecordBatch.from_arrays(cols, names)
 
         def take(pieces):
             for doc_id, start, ids, total, window, offset in pieces:
                 rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, base + window, offset, *([ids.astype(np.int64)] * with_ids)))
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids, sentences = encode(text or "")
+            for doc_id, (ids, sentences) in zip(b.column(0).to_pylist(), encode(b.column(1))):
                 take(packer.add(doc_id, np.concatenate((ids, end)), sentences))
                 if len(rows) >= 8192:
                     yield batch()
@@ -216,4 +288,4 @@ def pack(df: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str =
     read. An empty table gives an empty table. ``tokenizer_path`` must exist on the executors.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_packed(tokenizer_path, length, with_ids), schema)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(_packed(tokenizer_path, length, with_ids)), schema)
