@@ -15,14 +15,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import remembered, tidied, unused
+
 #: Tokens in a window; an item with fewer has one window of all, with under ``LEAST`` none.
 WINDOW, LEAST = 8, 4
 #: A window needs so many tokens, out of ``WINDOW``, that are no placeholders.
@@ -30,8 +32,8 @@ LITERAL = 4
 #: Share of an item's windows, or number of windows, that must match.
 SHARE, RUN = 0.5, 24
 LIMIT = 32_000_000
-#: Distinct tokens a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct chunks between spaces that a worker remembers, and bytes of text looked at once.
+REMEMBERED, PIECE = 600_000, 8_000_000
 
 # Units of measure and currencies.
 UNITS = "% € $ £ ¥ ° mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l ms s sec min h hr hrs hour hours day days week weeks month months year years km/h mph kmh eur usd gbp dollar dollars cent cents euro euros pound pounds metre metres meter meters kilometre kilometres kilometer kilometers mile miles gram grams kilogram kilograms litre litres liter liters stunde stunden tag tage woche wochen jahr jahre heure heures jour jours semaine semaines an ans hora horas día días semana semanas año años"
@@ -40,6 +42,11 @@ WORD, NUMBER, UNIT, TITLE, STOP = range(5)
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£¥°]|[.!?:;\n\"«»“”(]")
 _UNITS = frozenset(UNITS.split())
 _STOPS = frozenset('.!?:;\n"«»“”(')
+_MARKS = frozenset(".,!?:;")
+
+
+def _titled(w: str) -> bool:
+    return len(w) > 1 and w[0].isupper() and w[1:].islower()
 
 
 def _hash(s: str) -> int:
@@ -63,15 +70,30 @@ class Templates:
         self.first, self.count, self.kinds, self.hashes = [0], [0], [], []
         self.arrays = None
 
-    def _add(self, chunk: str) -> None:
-        self.known[chunk] = len(self.first)
-        tokens = _TOKEN.findall(chunk)
-        self.first.append(len(self.kinds))
-        self.count.append(len(tokens))
-        for w in tokens:
-            low = w.lower()
-            self.kinds.append(NUMBER if w[0].isdigit() else STOP if w in _STOPS else UNIT if low in _UNITS else TITLE if len(w) > 1 and w[0].isupper() and w[1:].islower() else WORD)
-            self.hashes.append(_hash(low))
+    def _add(self, chunks: list[str]) -> None:
+        known, first, count, kinds, hashes = self.known, self.first, self.count, self.kinds, self.hashes
+        digest = xxhash.xxh64_intdigest
+        for chunk in chunks:
+            known[chunk] = len(first)
+            first.append(len(kinds))
+            # Most chunks are a word, or a word and one mark.
+            mark = chunk[-1:] if chunk[-1:] in _MARKS else ""
+            word = chunk[:-1] if mark else chunk
+            if word.isalpha():
+                low = word.lower()
+                kinds.append(UNIT if low in _UNITS else WORD if low == word or not _titled(word) else TITLE)
+                hashes.append(digest(low.encode("utf-8", "surrogatepass")))
+                if mark in _STOPS:
+                    kinds.append(STOP)
+                    hashes.append(0)
+                count.append(1 + (mark in _STOPS))
+                continue
+            tokens = _TOKEN.findall(chunk)
+            count.append(len(tokens))
+            for w in tokens:
+                low = w.lower()
+                kinds.append(NUMBER if w[0].isdigit() else STOP if w in _STOPS else UNIT if low in _UNITS else TITLE if _titled(w) else WORD)
+                hashes.append(_hash(low))
 
     def _tables(self) -> list[np.ndarray]:
         """The lists as arrays; only what is new since the last time is converted."""
@@ -86,32 +108,45 @@ class Templates:
             self.filled[i] = len(x)
         return self.arrays
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Template hash, and whether it is a slot, of each token but the marks.
-
-        A name is a capitalised word that does not begin a text, a line, a sentence or a
-        quotation; a word in capitals throughout is none.
-        """
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
             self.forget()
-        chunks = (text or "").replace("\n", " \n ").split(" ")
         at = list(map(self.known.get, chunks))
         if None in at:
-            for c in dict.fromkeys(chunks):
-                if c not in self.known:
-                    self._add(c)
-            at = list(map(self.known.__getitem__, chunks))
+            missing = [k for k, a in enumerate(at) if a is None]
+            new = [chunks[k] for k in missing]
+            self._add(new)
+            for k, a in zip(missing, map(self.known.__getitem__, new)):
+                at[k] = a
+        return np.array(at, np.int64)
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, and whether it is a slot, of each token but the marks, of all texts
+        one after the other; and where each text's tokens begin, with the end of the last.
+
+        A name is a capitalised word that does not begin a text, a line, a sentence or a
+        quotation; a word in capitals throughout is none. Only distinct chunks are looked up.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        coded = lists.flatten().dictionary_encode()
+        at = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
         first, count, kinds, hashes = self._tables()
-        at = np.array(at, np.int64)
         n = count[at]
         ends = np.cumsum(n)
-        token = np.repeat(first[at] - ends + n, n) + np.arange(ends[-1])
+        token = np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+        bounds = np.concatenate(([0], ends))[np.cumsum([0, *pc.list_value_length(lists).to_pylist()])]
         kind = kinds[token]
-        begins = np.concatenate(([True], kind[:-1] == STOP))[: len(kind)]
-        slot = (kind == NUMBER) | (kind == UNIT) | (kind == TITLE) & ~begins
+        begins = np.empty(len(kind) + 1, bool)
+        begins[1:] = kind == STOP
+        begins[bounds] = True
+        slot = (kind == NUMBER) | (kind == UNIT) | (kind == TITLE) & ~begins[:-1]
         h = np.where(slot, _PLACE[kind], hashes[token])
         real = kind != STOP
-        return h[real], slot[real]
+        return h[real], slot[real], np.concatenate(([0], np.cumsum(real)))[bounds]
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        return self.many(pa.array([text], pa.string()))[:2]
 
     @staticmethod
     def tokens(text: str | None) -> list[str]:
@@ -131,9 +166,8 @@ class Templates:
         return out, size * (WINDOW - LITERAL) >= WINDOW * (filled[size:] - filled[:-size])
 
 
-@lru_cache(1)
 def templates() -> Templates:
-    return Templates()
+    return remembered("templates", Templates)
 
 
 def _size(n_tokens: int) -> int:
@@ -157,6 +191,31 @@ class Benchmark:
             for k in np.flatnonzero(ok).tolist():
                 self.places[int(w[k])].append((item, k))
         self.sorted = np.array(sorted(self.places), np.uint64)
+        self.may = np.zeros(1 << 20, bool)
+        self.may[(self.sorted & np.uint64(len(self.may) - 1)).astype(np.int64)] = True
+
+    def suspects(self, texts: pa.Array) -> list[int]:
+        """Numbers of the texts that have any of the windows."""
+        h, slot, bounds = templates().many(texts)
+        found = set()
+        for size in self.sizes:
+            w, ok = Templates.windows(h, slot, size)
+            at = np.flatnonzero(ok & self.may[(w & np.uint64(len(self.may) - 1)).astype(np.int64)])
+            at = at[np.isin(w[at], self.sorted)]
+            text = np.searchsorted(bounds, at, "right") - 1
+            found.update(text[at + size <= bounds[text + 1]].tolist())
+        return sorted(found)
+
+    def contaminated(self, texts: pa.Array):
+        """(number of the text, what ``find`` tells of it) for each text of which it tells something."""
+        sizes, lo = pc.binary_length(texts.cast(pa.large_string()).fill_null("")).to_numpy(zero_copy_only=False), 0
+        while len(self.sorted) and lo < len(texts):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(sizes[lo : lo + 100_000]), PIECE)))
+            part = texts[lo:hi]
+            for k in self.suspects(part):
+                if found := self.find(part[k].as_py()):
+                    yield lo + k, found
+            lo = hi
 
     def find(self, text: str | None) -> list[tuple[int, int, float, bool]]:
         """(item, windows, share, reparameterised) for each item that contaminates the text."""
@@ -238,11 +297,11 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     def work(batches):
         known = Benchmark(items)
         for b in batches:
-            rows = [(i, *m) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in known.find(t)]
+            rows = [(b.column(0)[k].as_py(), *m) for k, found in known.contaminated(b.column(1)) for m in found]
             cols = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "n_windows", "share", "reparameterised"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(work), SCHEMA)
 
 
 def _window_rows(sizes: tuple[int, ...] | None):
@@ -295,14 +354,17 @@ def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     id, and rows with a null id stay.
     """
     if not _small(bench, "text"):
-        bad = joined_matches(docs, bench).select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+        name = unused("_bad", docs.columns)
+        bad = joined_matches(docs, bench).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     items = list(dict(_items(bench, "item_id", "text")).items())
     at = docs.columns.index("text")
 
     def work(batches):
         known = Benchmark(items)
         for b in batches:
-            yield b.filter(pa.array([not known.find(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            clean = np.ones(b.num_rows, bool)
+            clean[[k for k, _ in known.contaminated(b.column(at).cast(pa.string()))]] = False
+            yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidied(work), docs.schema)
