@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_of_id
+from quern.llm.common import crc_of_id, remembered
 
 DIM, EDGE = 512, 32
 #: Trigram vectors a worker remembers: 2 kB each.
@@ -100,9 +100,8 @@ class Space:
         return out
 
 
-@lru_cache(1)
 def space() -> Space:
-    return Space()
+    return remembered("space", Space)
 
 
 def _bundles(batches):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, frozen
+from quern.llm.common import SPACE, frozen, unused
 
 SYMBOLS = "#*$%&|<>"
 #: measure: (slack added to the fences, judged from below too). Per mille, but for
@@ -99,8 +99,9 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep. Rows that share an id are kept if one of them passes."""
-    ok = quality_rules(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ok, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = unused("_kept_id", docs.columns)
+    ok = quality_rules(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(ok, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 #: The same in DuckDB over ``documents``.

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import frozen
+from quern.llm.common import frozen, tidied
 from quern.llm.components import components
 
 SEED, BLOCKS, WIDTH, RADIUS = 42, 4, 16, 2
@@ -65,7 +65,7 @@ def _fingerprints(batches):
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: fp is the fingerprint's 64 bits as a signed long."""
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(_fingerprints), "doc_id long, fp long")
 
 
 def _pivots() -> list[list[int]]:

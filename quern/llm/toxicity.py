@@ -208,7 +208,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ids = ids.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_label"))
     # A label given more than once counts as its largest.
     ids = ids.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
-    rows = df.join(F.broadcast(ids), F.col(id_col).cast("long") == F.col("_id")).select(F.col(text_col).cast("string").alias("t"), "_label")
+    rows = df.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("t", "_label")
     rows = rows.orderBy(F.xxhash64("t"), "t").limit(2 * SAMPLE)  # an id may repeat
     got = rows.coalesce(1).mapInArrow(_learn, "insults array<string>, stems array<string>, weights array<double>").collect()
     return (list(got[0]["insults"]), list(got[0]["stems"]), list(got[0]["weights"])) if got else ([], [], [-3.0, *PRIOR.tolist()])
