@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import frozen
+from quern.llm.common import frozen, remembered
 
 BINS = 1 << 14
 #: Rows used to train the scorer at most, those with the smallest hashes of their text.
@@ -62,7 +62,8 @@ class Words:
         return np.array(at, np.int64)
 
 
-_words = Words()
+def _memory() -> Words:
+    return remembered("words", Words)
 
 
 def _shape(w: str) -> str:
@@ -78,7 +79,7 @@ def _vote(good: bool, bad: bool) -> int:
     return 1 if good else -1 if bad else 0
 
 
-def examine(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+def examine(text: str | None, votes_only: bool = False) -> tuple[tuple[int, ...], np.ndarray | None, np.ndarray | None]:
     """The votes on a whole text, one of 1 (good), -1 (bad) and 0 for each of ``LABELLERS``,
     and its features: bins and values, a bin may occur more than once."""
     t = text or ""
@@ -87,10 +88,11 @@ def examine(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
     own = zlib.crc32(b"\1length%d" % n.bit_length()) % BINS
     if not n:
         return (-1, *[0] * (len(LABELLERS) - 1)), np.array([own]), np.ones(1)
-    at = _words(words)
+    memory = _memory()
+    at = memory(words)
     again = float((at[1:] == at[:-1]).sum()) / n
     distinct, counts = np.unique(at, return_counts=True)
-    traits = _words.traits[distinct]
+    traits = memory.traits[distinct]
     marked, upper, digits = (float(counts @ traits[:, k]) / n for k in (_MARKED, _CAPITAL, _DIGIT))
     chars = len(t) - t.count(" ") - t.count("\n")
     symbols = sum(map(t.count, _SYMBOLS))
@@ -111,6 +113,8 @@ def examine(text: str | None) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
         _vote(exclaimed < 0.05 * n, exclaimed > 0.3 * n),
         _vote(digits < 0.05, digits > 0.25),
     )
+    if votes_only:
+        return votes, None, None
     bins = np.concatenate((traits[:, _WORD], traits[:, _SHAPE], [zlib.crc32(b"\1again") % BINS, own]))
     return votes, bins, np.concatenate((np.sqrt(counts / n) * 0.5, counts / n * 4, [4 * again, 1.0]))
 
@@ -163,7 +167,7 @@ def _train(batches):
 
 def _voted(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(examine(t)[0]) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "votes", "key"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(examine(t, True)[0]) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "votes", "key"])
 
 
 def weak_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
