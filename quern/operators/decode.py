@@ -52,17 +52,22 @@ def decode_row(window, start: int, end: int, level: int, earlier: list[int], lat
     return mismatch or (end, None, None, None, error)
 
 
+def _result(r: dict, window):
+    """A batch of one block for a range, or none."""
+    got = decode_row(window, r["start_bit"], r["end_bit"], r["level"], r["earlier"], r["later"])
+    if got:
+        end, data, stored, computed, error = got
+        row = (r["file"], r["stream_idx"], r["block_idx"], r["level"], r["start_bit"], end, data, stored, computed, error is None, error)
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], _NAMES)
+
+
 def _blocks(source):
-    """``source(row)`` gives the window function of a row; rows are dicts of a range and what it needs."""
+    """``source(row)`` gives the window function of a row, which is a dict of a range."""
 
     def work(batches):
         for b in batches:
             for r in b.to_pylist():
-                got = decode_row(source(r), r["start_bit"], r["end_bit"], r["level"], r["earlier"], r["later"])
-                if got:
-                    end, data, stored, computed, error = got
-                    row = (r["file"], r["stream_idx"], r["block_idx"], r["level"], r["start_bit"], end, data, stored, computed, error is None, error)
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], _NAMES)
+                yield from _result(r, source(r))
 
     return work
 
@@ -71,10 +76,6 @@ def _from_file(r):
     return lambda a, z: (read_range(r["file"], a, z), a)
 
 
-def _from_value(r):
-    return lambda a, z: (r["content"][a:z], a)
-
-
 def decode_file_blocks(ranges: DataFrame, tasks: int | None = None) -> DataFrame:
     """A result row for each true block. ``ranges`` come from ``block_ranges``; tasks read their own bytes.
 
@@ -84,10 +85,44 @@ def decode_file_blocks(ranges: DataFrame, tasks: int | None = None) -> DataFrame
     return ranges.repartition(n, "file", "stream_idx", "block_idx").mapInArrow(_blocks(_from_file), BLOCK_RESULT)
 
 
+def decoded_files(ranges: DataFrame) -> DataFrame:
+    """The same, with the ranges' partitions and order kept."""
+    return ranges.mapInArrow(_blocks(_from_file), BLOCK_RESULT)
+
+
+def decoded_bytes(ranges: DataFrame, data: bytes) -> DataFrame:
+    """The same for ranges of one value at hand, which goes to the tasks once for each executor."""
+    shared = ranges.sparkSession.sparkContext.broadcast(data)
+    return ranges.mapInArrow(_blocks(lambda r: lambda a, z: (shared.value[a:z], a)), BLOCK_RESULT)
+
+
+#: Consecutive blocks of a value that are decoded from one window of its bytes.
+CHUNK = 16
+
+
+def _chunks(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            c = b.slice(i, 1).to_pylist()[0]
+            for r in c["rs"]:
+                yield from _result({"file": c["file"], **r}, lambda a, z: (c["w"][a - c["a"] : z - c["a"]], a))  # noqa: B023
+
+
 def decode_value_blocks(ranges: DataFrame, df: DataFrame, key: str = "file", data: str = "content") -> DataFrame:
-    """The same for a binary column: each range is joined to its value."""
+    """The same for a binary column.
+
+    A value is joined once, to all its ranges, and cut into windows of ``CHUNK`` blocks and
+    their neighbours, so no more than about two times its bytes go to Python.
+    """
+    one = F.struct("stream_idx", "block_idx", "level", "start_bit", "end_bit", "earlier", "later")
+    a = F.min(F.least("start_bit", F.coalesce(F.array_min("earlier"), "start_bit")))
+    z = F.max(F.greatest("end_bit", F.coalesce(F.array_max("later"), "end_bit")))
+    chunks = ranges.groupBy("file", "stream_idx", F.expr(f"block_idx div {CHUNK}").alias("c")).agg(F.collect_list(one).alias("rs"), a.alias("a"), z.alias("z"))
+    chunks = chunks.groupBy("file").agg(F.collect_list(F.struct(F.expr("a div 8").alias("a"), F.expr("(z + 7) div 8").alias("z"), "rs")).alias("cs"))
     values = df.select(F.col(key).cast("string").alias("file"), F.col(data).alias("content"))
-    return ranges.join(values, "file").mapInArrow(_blocks(_from_value), BLOCK_RESULT)
+    cut = F.expr("explode(transform(cs, c -> struct(c.a as a, c.rs as rs, substring(content, cast(c.a + 1 as int), cast(c.z - c.a as int)) as w)))")
+    rows = chunks.join(values, "file").select("file", cut.alias("c")).select("file", "c.a", "c.rs", "c.w")
+    return rows.mapInArrow(_chunks, BLOCK_RESULT)
 
 
 def numbered(results: DataFrame) -> DataFrame:
@@ -110,6 +145,22 @@ def before_first_error(results: DataFrame) -> DataFrame:
     return results.join(bad, "file", "left").where("_bad is null or start_bit < _bad").drop("_bad")
 
 
+def byte_offsets(results: DataFrame) -> DataFrame:
+    """Adds ``offset``, where each block's bytes begin in its file's decoded content. The window sees sizes alone."""
+    sizes = results.select("file", "stream_idx", "start_bit", F.octet_length("data").cast("long").alias("_n"))
+    at = F.expr("coalesce(sum(_n) over (partition by file order by stream_idx, start_bit rows between unbounded preceding and 1 preceding), 0L)")
+    return results.join(sizes.select("file", "stream_idx", "start_bit", at.alias("offset")), ["file", "stream_idx", "start_bit"])
+
+
+def read_bytes(results: DataFrame, begin: int, length: int) -> DataFrame:
+    """``file, offset, data``: the pieces of each file's decoded content in [begin, begin + length)."""
+    end = begin + length
+    inside = byte_offsets(results).where((F.col("offset") < end) & (F.col("offset") + F.octet_length("data") > begin))
+    skip = F.greatest(F.lit(begin) - F.col("offset"), F.lit(0))
+    cut = F.substring("data", (skip + 1).cast("int"), (F.least(F.lit(end), F.col("offset") + F.octet_length("data")) - F.col("offset") - skip).cast("int"))
+    return inside.select("file", (F.col("offset") + skip).alias("offset"), cut.alias("data"))
+
+
 def failure_groups(status: DataFrame) -> DataFrame:
     """Runs of neighbouring failures: ``file, stream_idx, first_idx, last_idx, start_bit, end_bit``.
 
