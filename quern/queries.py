@@ -237,6 +237,20 @@ def encoder_statistics(spark, sf_dir):
     return stats.encoder_stats(encode.encode_blocks(encode.split_blocks(spread(docs), "doc_id", "data"), 9))
 
 
+def encoder_counts(spark, sf_dir):
+    """What of the statistics does not depend on the codec."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("data"))
+    return stats.encoder_stats(encode.encode_blocks(encode.split_blocks(spread(docs), "doc_id", "data", 1), 1)).select(F.col("total_in").cast("long").alias("total_in"), "blocks_completed")
+
+
+def byte_ranges(spark, sf_dir):
+    """The bytes [70000, 90000) of each language's archive, from the blocks that hold them."""
+    files = _archives(spark, sf_dir)
+    results = decode.decode_value_blocks(markers.block_ranges(markers.markers(files)), files)
+    parts = decode.read_bytes(results, 70_000, 20_000)
+    return parts.select(F.col("file").alias("lang"), "offset", F.octet_length("data").cast("long").alias("length"))
+
+
 def compression_by_lang(spark, sf_dir):
     docs = _work(spark, sf_dir, "documents", "lang", "text").select("lang", _bytes("text").alias("data")).select("lang", F.octet_length("data").alias("n"), F.octet_length(compress(F.col("data"))).alias("z"))
     return docs.groupBy("lang").agg(ratio(F.sum("z"), F.sum("n")).alias("compression_ratio"))
@@ -269,7 +283,7 @@ QUERIES = {
     for f in (
         roundtrip_documents, roundtrip_pages, roundtrip_conversations, encode_decode_documents, archive_roundtrip_by_lang, archive_text_by_source, block_layout, tile_layout, block_sizes,
         part_name_crc, stream_crc_by_brand, bits_of_part_names, pair_markers, find_streams, failure_groups, corruption_report, blocks_before_error, false_marker_recovery,
-        multi_stream_decode, marker_counts, stream_checks, placed_reassembly, decoder_statistics, encoder_statistics, compression_by_lang, ratios, file_roundtrip, text_files,
+        multi_stream_decode, marker_counts, stream_checks, placed_reassembly, decoder_statistics, encoder_counts, byte_ranges, encoder_statistics, compression_by_lang, ratios, file_roundtrip, text_files,
     )
 }
 
@@ -321,6 +335,8 @@ ORACLES = {
     "stream_checks": "SELECT DISTINCT lang, 0 AS stream_idx, true AS ok FROM documents",
     "placed_reassembly": "SELECT DISTINCT lang, true AS same FROM documents",
     "decoder_statistics": f"SELECT sum(b)::BIGINT AS blocks_total, sum(b)::BIGINT AS blocks_completed, 0::BIGINT AS blocks_failed, count(*) AS streams_total, sum(n)::BIGINT AS bytes_out, 1.0::DOUBLE AS progress FROM (SELECT n, (n + {SIZE_1 - 1}) // {SIZE_1} AS b FROM ({_SIZES}))",
+    "encoder_counts": f"SELECT sum(n)::BIGINT AS total_in, sum((n + {SIZE_1 - 1}) // {SIZE_1})::BIGINT AS blocks_completed FROM (SELECT octet_length(encode(text)) AS n FROM documents)",
+    "byte_ranges": f"SELECT lang, greatest(i * {SIZE_1}, 70000)::BIGINT AS \"offset\", (least((i + 1) * {SIZE_1}, n, 90000) - greatest(i * {SIZE_1}, 70000))::BIGINT AS length FROM ({_SIZES}), range(0, 2) t(i) WHERE least((i + 1) * {SIZE_1}, n, 90000) > greatest(i * {SIZE_1}, 70000)",
     "ratios": "SELECT event_type, count(*) FILTER (value < 0) / count(*) AS share, CASE WHEN count(*) FILTER (value < 0) = 0 THEN 0.0::DOUBLE ELSE count(*) / count(*) FILTER (value < 0) END AS inverse FROM events GROUP BY event_type",
     "file_roundtrip": "SELECT sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM documents",
     "text_files": "SELECT p_name FROM part",
