@@ -19,19 +19,19 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from quern.llm.common import frozen
+from quern.llm.common import frozen, tidied, unused
 from quern.llm.components import components
 
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 9, 4, 0.8
-#: Characters hashed at once, and characters whose lines a task compares before it passes them on.
-PIECE, FLUSH = 2_000_000, 24_000_000
+#: Characters hashed at once, characters whose lines a task compares before it passes them on, and rows split at once.
+PIECE, FLUSH, ROWS_AT_ONCE = 500_000, 8_000_000, 256
+#: Similarities this near to ``SIMILAR`` are computed without hashing.
+CLOSE = 0.01
 #: A band group of up to so many different lines gives all its pairs. A larger one links
 #: each line with the group's first and with the next, in an order of the band's own.
 PAIRED = 16
@@ -39,6 +39,7 @@ PAIRED = 16
 FILTER_BITS = 1 << 25
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+_F = np.uint32(0x9E3779B1)
 
 
 #: White space other than a space or \n.
@@ -68,46 +69,93 @@ def alike(a: str, b: str) -> bool:
     return common >= SIMILAR * (len(x) + len(y) - common)
 
 
+def all_alike(xs: list[str], ys: list[str]) -> list[bool]:
+    """``alike`` for many pairs.
+
+    All sets are made and intersected at once, of 32-bit hashes of the shingles. Hashes
+    that agree by chance change a similarity by a few thousandths at most, so pairs that
+    come within ``CLOSE`` of the bound are compared by the shingles themselves.
+    """
+    out: list[bool] = []
+    for lo in range(0, len(xs), ROWS_AT_ONCE):
+        x, y = xs[lo : lo + ROWS_AT_ONCE], ys[lo : lo + ROWS_AT_ONCE]
+        sides = [_sets(x), _sets(y)]
+        sizes = [np.bincount((s >> np.uint64(32)).astype(np.int64), minlength=len(x)) for s in sides]
+        both = np.sort(np.concatenate(sides))
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(x))
+        similar = common / (sizes[0] + sizes[1] - common)
+        out += [s >= SIMILAR if abs(s - SIMILAR) > CLOSE else alike(a, b) for s, a, b in zip(similar.tolist(), x, y)]
+    return out
+
+
+def _sets(lines: list[str]) -> np.ndarray:
+    """Number of the line and hash of the shingle, for each line's different shingles, ascending."""
+    h, owner, last = _windows(lines)
+    inside = np.ones(len(h), bool)
+    for k in range(1, SHINGLE):
+        inside[last - k] = False
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(32) | h)[inside])
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+
+
+def _windows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of all windows of ``SHINGLE`` characters over the lines put together, the
+    line each begins in, and the ends of all lines but the last, before which windows reach into the next."""
+    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
+    h = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    reach, factor = 1, _F
+    with np.errstate(over="ignore"):
+        while reach < SHINGLE:  # hashes of 1, 2, 4, then 8 characters
+            h = h[:-reach] + factor * h[reach:]
+            factor, reach = factor * factor, 2 * reach
+        return _stir(h), np.repeat(np.arange(len(padded)), sizes)[: len(h)], np.cumsum(sizes)[:-1]
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
+def _stir(h: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit values, in place."""
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(factor)
+    h ^= h >> np.uint32(16)
+    return h
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """A row of ``BANDS`` 64-bit keys for each normal, non-empty line."""
     if not lines:
         return np.empty((0, BANDS), np.uint64)
-    padded = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines]
-    c = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    h, reach, factor = c, 1, _M
+    h, owner, last = _windows(lines)
+    bins = BANDS * ROWS
     with np.errstate(over="ignore"):
-        while reach < SHINGLE:  # hashes of 1, 2, 4, then 8 characters
-            h = h[:-reach] + factor * h[reach:]
-            factor, reach = factor * factor, 2 * reach
-        h = _mix(h)
-        owner = np.repeat(np.arange(len(padded)), sizes)[: len(h)]
-        begins = np.cumsum(sizes) - sizes
-        inside = np.arange(len(h)) - begins[owner] <= sizes[owner] - SHINGLE
-        h, owner = h[inside], owner[inside]
-        bins = BANDS * ROWS
-        slot = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-        least = np.full(len(padded) * bins, 0xFFFFFFFF, np.uint32)
-        np.minimum.at(least, owner * bins + slot, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        least = least.reshape(-1, bins).astype(np.uint64)
+        # Windows that reach into the next line go to a bin of no line.
+        slot = owner * bins
+        slot += (h >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+        for k in range(1, SHINGLE):
+            slot[last - k] = len(lines) * bins
+        value = _stir(h * _F)
+        least = np.full(len(lines) * bins + 1, 0xFFFFFFFF, np.uint32)
+        np.minimum.at(least, slot, value)
+        least = least[:-1].reshape(-1, bins).astype(np.uint64)
         # Bins that no shingle fell into borrow from others, in an order of their own.
         empty = least == 0xFFFFFFFF
         filled, tries = least.copy(), np.random.default_rng(3)
         for _ in range(24):
-            if not empty.any():
+            rows = np.flatnonzero(empty.any(1))
+            if not len(rows):
                 break
-            step = tries.permutation(bins)
-            take = empty & (least[:, step] != 0xFFFFFFFF)
-            filled = np.where(take, _mix(least[:, step] + np.arange(1, bins + 1, dtype=np.uint64) * _M), filled)
-            empty &= ~take
+            step, part = tries.permutation(bins), least[rows]
+            take = empty[rows] & (part[:, step] != 0xFFFFFFFF)
+            filled[rows] = np.where(take, _mix(part[:, step] + np.arange(1, bins + 1, dtype=np.uint64) * _M), filled[rows])
+            empty[rows] &= ~take
         # A line of one or few shingles may still have gaps: its smallest value serves.
         filled = np.where(empty, _mix(least.min(axis=1, keepdims=True) + np.arange(bins + 1, 2 * bins + 1, dtype=np.uint64) * _M), filled)
-        keys = np.zeros((len(padded), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _M
+        keys = np.zeros((len(lines), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _M
         for r in range(ROWS):
             keys = _mix(keys * _M + filled[:, r::ROWS])
     return keys
@@ -122,15 +170,11 @@ def _lines(text: str | None):
     return [(k, n) for k, x in enumerate(text.lower().split("\n")) if (n := x.strip(" "))]
 
 
-def _references(batches):
+def _slices(batches):
+    """The batches in slices of few rows, so that what is made of them stays small."""
     for b in batches:
-        ids, numbers, hashes = [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for k, n in _lines(text):
-                ids.append(doc_id)
-                numbers.append(k)
-                hashes.append(line_hash(n))
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32())], ["h", "doc_id", "line"])
+        for at in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(at, ROWS_AT_ONCE)
 
 
 def _groups(keys: np.ndarray):
@@ -140,10 +184,15 @@ def _groups(keys: np.ndarray):
 
 
 def _band_tables(parts: int):
-    """Edges found within a task (u, v), and packed tables (part, keys, hashes) of the rest."""
+    """Packed tables (part, keys, hashes) of the bands, edges found within a task (u, v), and references.
+
+    A reference tells, for each document and different line of it, the line's hash ``h``, the document,
+    the first line number, and further ones (``rest``).
+    """
 
     def work(batches):
         texts: dict[int, str] = {}
+        refs: tuple[list, list, list, list] = ([], [], [], [])
         size = 0
 
         def flush():
@@ -159,23 +208,25 @@ def _band_tables(parts: int):
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
             begins, ends = _groups(keys)
-            keep, u, v = np.ones(len(keys), bool), [], []
+            keep = np.ones(len(keys), bool)
             met: dict[tuple[int, int], bool] = {}
-            for a, z in zip(*(x[ends - begins > 1].tolist() for x in (begins, ends))):
+            groups = [owner[a:z].tolist() for a, z in zip(*(x[ends - begins > 1].tolist() for x in (begins, ends)))]
+            starts = begins[ends - begins > 1].tolist()
+            # Most groups are pairs or small: all of a group's lines are held against its first at once.
+            ask = list({(g[0], m) for g in groups for m in g[1:]})
+            met.update(zip(ask, all_alike([lines[i] for i, _ in ask], [lines[i] for _, i in ask])))
+            for a, g in zip(starts, groups):
                 heads: list[int] = []
-                for k in range(a, z):
-                    mine = int(owner[k])
+                for k, mine in enumerate(g, a):
                     for head in heads:
                         pair = (head, mine)
                         if pair not in met:
-                            met[pair] = head == mine or alike(lines[head], lines[mine])
+                            met[pair] = alike(lines[head], lines[mine])
                         if met[pair]:
-                            keep[k] = False
-                            u.append(int(hashes[head]))
-                            v.append(int(hashes[mine]))
-                            break
-                    else:
+                            keep[k] = False  # it may be like several, and so joins them
+                    if keep[k]:
                         heads.append(mine)
+            u, v = ([int(hashes[pair[side]]) for pair, ok in met.items() if ok] for side in (0, 1))
             keys, hs = keys[keep], hashes[owner[keep]]
             target = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(target, kind="stable")
@@ -183,15 +234,25 @@ def _band_tables(parts: int):
             begins, ends = _groups(target)
             n = len(begins)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(target[begins], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([hs[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([u] + [[]] * (n - 1), pa.list_(pa.int64())), pa.array([v] + [[]] * (n - 1), pa.list_(pa.int64()))],
-                ["part", "keys", "hashes", "u", "v"],
+                [pa.array(target[begins], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([hs[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), *(pa.array([x] + [[]] * (n - 1), pa.list_(k)) for x, k in zip((u, v, *refs), (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int32()))))],
+                ["part", "keys", "hashes", "u", "v", "h", "doc_id", "line", "rest"],
             )
             texts.clear()
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                for _, n in _lines(text):
-                    if (h := line_hash(n)) not in texts:
+            for x in refs:
+                x.clear()
+
+        for b in _slices(batches):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own: dict[int, int] = {}
+                for k, n in _lines(text):
+                    h = line_hash(n)
+                    if h in own:
+                        refs[3][own[h]] = [*(refs[3][own[h]] or ()), k]
+                        continue
+                    own[h] = len(refs[0])
+                    for x, value in zip(refs, (h, doc_id, k, None)):
+                        x.append(value)
+                    if h not in texts:
                         texts[h] = n
                         size += len(n)
                 if size >= FLUSH:
@@ -203,12 +264,22 @@ def _band_tables(parts: int):
     return work
 
 
-def _candidates(batches):
-    """Pairs of line hashes that share a key, from the packed tables of a task's parts."""
+PAIR, EDGE, REFERENCE = range(3)
+
+
+def _rows(kind: int, u, v, line=None, rest=None) -> pa.RecordBatch:
+    n = len(u)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), u, v, pa.nulls(n, pa.int32()) if line is None else line, pa.nulls(n, pa.list_(pa.int32())) if rest is None else rest], ["kind", "u", "v", "line", "rest"])
+
+
+def _reduced(batches):
+    """Of a task's parts: references and edges as they came, and pairs of line hashes that share a key."""
     held: dict[int, list] = {}
     for b in batches:
         for part, keys, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             held.setdefault(part, []).append((keys, hashes))
+        yield _rows(EDGE, b.column(3).flatten(), b.column(4).flatten())
+        yield _rows(REFERENCE, *(b.column(k).flatten() for k in range(5, 9)))
     for part in sorted(held):
         rows = held.pop(part)
         keys = np.frombuffer(b"".join(k for k, _ in rows), np.uint64)
@@ -234,7 +305,7 @@ def _candidates(batches):
         u, v = np.concatenate(u), np.concatenate(v)
         pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
         for at in range(0, pairs.shape[1], 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65536], pa.int64()) for x in pairs], ["u", "v"])
+            yield _rows(PAIR, *(pa.array(x[at : at + 65536], pa.int64()) for x in pairs))
 
 
 def _wanted(bitmap: np.ndarray):
@@ -243,7 +314,7 @@ def _wanted(bitmap: np.ndarray):
 
     def work(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in _slices(batches):
             found = [(line_hash(n), n) for text in b.column(0).to_pylist() for _, n in _lines(text)]
             h = np.array([x for x, _ in found], np.int64)
             at = h.view(np.uint64) & bits
@@ -260,89 +331,74 @@ def _wanted(bitmap: np.ndarray):
 
 def _verified(batches):
     for b in batches:
-        ok = [alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+        ok = all_alike(b.column(2).to_pylist(), b.column(3).to_pylist())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def edges(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``u, v``: hashes of different normal lines whose similarity was found to reach ``SIMILAR``."""
+def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``u, v``: hashes of different normal lines whose similarity was found to reach ``SIMILAR``;
+    and the references ``h, doc_id, line, rest``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(text_col).cast("string"))
-    tables = texts.mapInArrow(_band_tables(parts), "part int, keys binary, hashes binary, u array<long>, v array<long>")
-    tables = tables.repartition(parts, "part")
-    # One exchange serves both: edges found within tasks travel with the packed tables.
-    found = frozen(tables.mapInArrow(_reduced, "u long, v long, sure boolean"))
-    pairs = frozen(found.where("NOT sure").select("u", "v").distinct())
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    tables = rows.mapInArrow(tidied(_band_tables(parts)), "part int, keys binary, hashes binary, u array<long>, v array<long>, h array<long>, doc_id array<long>, line array<int>, rest array<array<int>>")
+    # One exchange, and one table written, serve all three.
+    found = frozen(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, line int, rest array<int>"))
+    pairs = frozen(found.where(f"kind = {PAIR}").select("u", "v").distinct())
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("h"))
     at = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = nodes.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toPandas()
     bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
     bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    lines = texts.mapInArrow(_wanted(bitmap), "h long, line string").join(nodes.distinct(), "h", "left_semi").dropDuplicates(["h"])
+    lines = rows.select("t").mapInArrow(tidied(_wanted(bitmap)), "h long, line string").join(nodes.distinct(), "h", "left_semi").dropDuplicates(["h"])
     lines = frozen(lines)
     both = pairs.join(lines.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(lines.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
-    return both.select("u", "v", "x", "y").mapInArrow(_verified, "u long, v long").unionAll(found.where("sure").select("u", "v"))
-
-
-def _reduced(batches):
-    kept = []
-
-    def tables():
-        for b in batches:
-            kept.append((b.column(3), b.column(4)))
-            yield b
-
-    for out in _candidates(tables()):
-        yield pa.RecordBatch.from_arrays([*out.columns, pa.array([False] * len(out))], ["u", "v", "sure"])
-    for u, v in kept:
-        u, v = u.flatten(), v.flatten()
-        if len(u):
-            yield pa.RecordBatch.from_arrays([u, v, pa.array([True] * len(u))], ["u", "v", "sure"])
+    sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(found.where(f"kind = {EDGE}").select("u", "v"))
+    return sure, found.where(f"kind = {REFERENCE}").select(F.col("u").alias("h"), F.col("v").alias("doc_id"), "line", "rest")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, line, keeper_doc, keeper_line``: every line that goes, and the one that stays for it.
+    """``doc_id, lines, keeper_doc, keeper_line``: lines of a document that go, and the line that stays for them.
 
-    Of a component's lines the one with the smallest (id, line number) stays.
+    Of a component's lines the one with the smallest (id, line number) stays. ``keeper_line`` is
+    null where exact copies alone are meant and the line that stays is in another document.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    refs = frozen(named.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_references, "h long, doc_id long, line int"))
-    linked = components(edges(named, text_col))
-    # The first place of each line, then of each component that has several.
-    first = refs.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n"))
-    member = frozen(first.join(linked, first["h"] == linked["node"], "left").select("h", "at", "n", "component"))
-    several = member.where("component IS NOT NULL")
-    heads = several.groupBy("component").agg(F.min("at").alias("head"))
-    keeper = several.join(heads, "component").select("h", F.col("head").alias("keep")).unionAll(member.where("component IS NULL AND n > 1").select("h", F.col("at").alias("keep")))
-    gone = refs.join(keeper, "h").where("struct(doc_id, line) <> keep")
-    return gone.select("doc_id", "line", F.col("keep.doc_id").alias("keeper_doc"), F.col("keep.line").alias("keeper_line"))
-
-
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    out = []
-    for t, g in zip(text, gone):
-        if t is not None and g is not None:
-            drop = set(g)
-            t = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in drop])
-        out.append(t)
-    return pd.Series(out, dtype=object)
+    found, refs = edges(named, id_col, text_col)
+    linked = components(found)
+    # The first document of each line, by a plain partial minimum, as a line may be in most documents.
+    first = refs.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    member = first.join(linked, first["h"] == linked["node"], "left").where("n > 1 OR component IS NOT NULL").select("h", "first", F.coalesce("component", "h").alias("component"), (F.col("component").isNotNull()).alias("several"))
+    member = frozen(member)
+    # Which line of that document matters only where a component has several different lines.
+    several = member.where("several")
+    placed = refs.join(several.select("h", "first", "component"), "h").where("doc_id = first").groupBy("component").agg(F.min(F.struct("doc_id", "line", "h")).alias("at"))
+    keeper = several.join(placed, "component").select("h", F.col("at.doc_id").alias("keeper_doc"), F.col("at.h").alias("keeper_h"), F.col("at.line").alias("keeper_line"))
+    keeper = keeper.unionAll(member.where("NOT several").select("h", F.col("first").alias("keeper_doc"), F.col("h").alias("keeper_h"), F.lit(None).cast("int").alias("keeper_line")))
+    found = refs.join(keeper.hint("shuffle_hash"), "h", "left").withColumn("stays", F.expr("keeper_h IS NULL OR h = keeper_h AND doc_id = keeper_doc"))
+    gone = F.concat(F.when(F.col("stays"), F.array().cast("array<int>")).otherwise(F.array("line")), F.coalesce("rest", F.array().cast("array<int>")))
+    return found.select("doc_id", gone.alias("lines"), F.coalesce("keeper_doc", "doc_id").alias("keeper_doc"), F.coalesce("keeper_line", F.when(F.col("keeper_doc").isNull() | F.col("stays"), F.col("line"))).alias("keeper_line")).where("size(lines) > 0")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed lines taken out of the text, all other columns as they were.
 
-    Two more columns, ``n_lines`` and ``n_removed``, count the lines that were there and
-    those that went. Blank lines stay; a null or empty text stays as it is; a text may become
+    Two more columns, ``n_lines`` and ``n_removed`` (with underscores before them where
+    ``docs`` has such columns), count the lines that were there and those that went. Blank lines stay; a null or empty text stays as it is; a text may become
     empty. Rows with a null id pass through untouched and their lines count for
     nothing. Rows that share an id and a line number share that line's fate, so a repeated
     row loses the same lines as the first. An empty table gives an empty table.
     """
-    gone = removals(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left")
+    gone_id, lines, split, n_lines, n_removed = (unused(c, docs.columns) for c in ("_gone_id", "_gone", "_split", "n_lines", "n_removed"))
+    gone = removals(docs, id_col, text_col).groupBy(F.col("doc_id").alias(gone_id)).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(lines))
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(gone_id), "left")
     text = F.col(text_col).cast("string")
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(_without(text, F.col("_gone")))
-    n_lines = F.coalesce(F.length(text) - F.length(F.translate(text, "\n", "")) + 1, F.lit(0))
-    counts = [n_lines.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed")]
-    return joined.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], *counts)
+    joined = joined.withColumn(split, F.when(F.col(lines).isNotNull(), F.split(text, "\n")))
+    # The numbers of the lines that stay come from a difference of sets, so the work is linear in the lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lines))
+    kept = F.when(F.col(lines).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda k: F.col(split)[k]), "\n"))
+    counts = [
+        F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias(n_lines),
+        F.when(F.col(lines).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_removed),
+    ]
+    return joined.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
