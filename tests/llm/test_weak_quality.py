@@ -27,7 +27,7 @@ def test_em_finds_accuracies():
 
 def test_junk_and_prose(spark):
     good = [(i, sentences(i, 200)) for i in range(300)]
-    junk = [(1000 + i, sentences(i, 150).replace(" ", " ### ")) for i in range(40)] + [(2000 + i, "spam " * 200) for i in range(20)]
+    junk = [(1000 + i, sentences(i, 150).replace(" ", " ### ")) for i in range(40)] + [(2000 + i, f"spam{i} " * 200) for i in range(20)]
     got = {r["doc_id"]: r["kept"] for r in Q.weak_quality(spark.createDataFrame(good + junk, "doc_id long, text string")).collect()}
     assert all(got[i] for i, _ in good) and sum(got[i] for i, _ in junk) <= 2
 
