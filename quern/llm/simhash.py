@@ -132,7 +132,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = nodes.join(linked, nodes["fp"] == linked["node"]).select("fp", "least", "component")
     heads = linked.groupBy("component").agg(F.min("least").alias("head"))
     linked = linked.join(heads, "component").select("fp", "head")
-    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
+    # Written, so that the last join is one of two plain exchanges, which adaptive execution can split
+    # where a fingerprint has most of the rows.
+    labels = frozen(nodes.join(linked, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id")))
     return docs.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
