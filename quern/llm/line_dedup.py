@@ -17,6 +17,7 @@ a very common near copy reaches the exchange once for each task, not once for ea
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ SHINGLE, BANDS, ROWS, SIMILAR = 8, 9, 4, 0.8
 PIECE, FLUSH, ROWS_AT_ONCE = 500_000, 8_000_000, 256
 #: Similarities this near to ``SIMILAR`` are computed without hashing.
 CLOSE = 0.01
-#: A band group of up to so many different lines gives all its pairs. A larger one links
-#: each line with the group's first and with the next, in an order of the band's own.
-PAIRED = 16
+#: A band group of up to so many different lines gives all its pairs. A larger one is compared as a
+#: whole, in units of two runs of up to ``RUN`` lines, so that each two of its lines share a unit.
+PAIRED, RUN = 16, 2048
 #: Bits of the filter through which lines pass before their texts are exchanged.
 FILTER_BITS = 1 << 25
 
@@ -264,7 +265,7 @@ def _band_tables(parts: int):
     return work
 
 
-PAIR, EDGE, REFERENCE = range(3)
+PAIR, EDGE, REFERENCE, MEMBER = range(4)
 
 
 def _rows(kind: int, u, v, line=None, rest=None) -> pa.RecordBatch:
@@ -273,7 +274,8 @@ def _rows(kind: int, u, v, line=None, rest=None) -> pa.RecordBatch:
 
 
 def _reduced(batches):
-    """Of a task's parts: references and edges as they came, and pairs of line hashes that share a key."""
+    """Of a task's parts: references and edges as they came, pairs of line hashes that share a key,
+    and for keys of many lines the units with their lines."""
     held: dict[int, list] = {}
     for b in batches:
         for part, keys, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -284,9 +286,7 @@ def _reduced(batches):
         rows = held.pop(part)
         keys = np.frombuffer(b"".join(k for k, _ in rows), np.uint64)
         hashes = np.frombuffer(b"".join(h for _, h in rows), np.int64)
-        # Within a group the order depends on the band's key, so that each band has another first line.
-        with np.errstate(over="ignore"):
-            order = np.lexsort((_mix(hashes.view(np.uint64) ^ keys), keys))
+        order = np.lexsort((hashes, keys))
         keys, hashes = keys[order], hashes[order]
         fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (hashes[1:] != hashes[:-1])))
         keys, hashes = keys[fresh], hashes[fresh]
@@ -300,14 +300,91 @@ def _reduced(batches):
                 u.append(g[i])
                 v.append(g[j])
             else:
-                u += [np.full(len(g) - 1, g[0]), g[1:-1]]
-                v += [g[1:], g[2:]]
+                for unit, members in _units(g):
+                    for at in range(0, len(members), 65536):
+                        yield _rows(MEMBER, *(pa.array(x[at : at + 65536], pa.int64()) for x in (np.full(len(members), unit), members)))
         u, v = np.concatenate(u), np.concatenate(v)
         pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v))), axis=1)
         for at in range(0, pairs.shape[1], 65536):
             yield _rows(PAIR, *(pa.array(x[at : at + 65536], pa.int64()) for x in pairs))
 
 
+def _units(g: np.ndarray):
+    """(unit, lines) for a group's ascending hashes: each two runs are a unit. Units are named
+    after the lines of the group, so bands with the same group have the same units."""
+    runs = [g[at : at + RUN] for at in range(0, len(g), RUN)]
+    with np.errstate(over="ignore"):
+        name = _mix(_mix(g.view(np.uint64) * _M).sum(keepdims=True))
+        if len(runs) == 1:
+            yield name.view(np.int64)[0], g
+        for i, j in combinations(range(len(runs)), 2):
+            yield _mix(name + np.uint64(i * len(runs) + j + 1) * _M).view(np.int64)[0], np.concatenate((runs[i], runs[j]))
+
+
+def group_links(lines: list[str]) -> list[tuple[int, int]]:
+    """Pairs (by number) of alike lines that connect every two that chains of alike lines connect.
+
+    Each two lines are compared or connected already, or are too unlike by an exact filter: of two
+    alike sets the rarest shingles, as many as one may lack of the other and one more, have one in common.
+    """
+    n, out = len(lines), []
+    root = np.arange(n)
+
+    def join(i: int, j: int):
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+            out.append((i, j))
+
+    # Near copies are soon one component: each with the first, and neighbours in the alphabet.
+    order = sorted(range(n), key=lines.__getitem__)
+    ask = [(0, k) for k in range(1, n)] + list(zip(order, order[1:]))
+    for pair, ok in zip(ask, all_alike([lines[i] for i, _ in ask], [lines[j] for _, j in ask])):
+        if ok:
+            join(*pair)
+    main = np.bincount(root).argmax()
+    rest = root != main
+    if not rest.any():
+        return out
+    keys = _sets(lines)
+    owner = (keys >> np.uint64(32)).astype(np.int64)
+    _, token, spread = np.unique(keys & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)
+    del keys
+    size = np.bincount(owner, minlength=n)
+    begin = np.cumsum(size) - size
+    token = token[np.lexsort((token, spread[token], owner))]  # of each line the rarest first
+    head = size - np.ceil((SIMILAR - CLOSE) * size).astype(np.int64) + 1
+    of_head = np.arange(len(token)) - begin[owner] < head[owner]
+    by = np.argsort(token[of_head], kind="stable")
+    has = owner[of_head][by]
+    at = np.searchsorted(token[of_head][by], np.arange(len(spread) + 1))
+    mine, later = np.zeros(len(spread), np.int32), np.ones(n, bool)
+    for a in np.flatnonzero(rest).tolist():
+        later[a] = False
+        meets = np.zeros(n, bool)
+        own = token[begin[a] : begin[a] + size[a]]
+        for t in own[: head[a]].tolist():
+            meets[has[at[t] : at[t + 1]]] = True
+        meets &= later & (root != root[a]) & (np.minimum(size, size[a]) >= (SIMILAR - CLOSE) * np.maximum(size, size[a]))
+        others = np.flatnonzero(meets)
+        for lo in range(0, len(others), ROWS_AT_ONCE):
+            part = others[lo : lo + ROWS_AT_ONCE]
+            k = size[part]
+            starts = np.cumsum(k) - k
+            mine[own] = 1
+            common = np.add.reduceat(mine[token[np.repeat(begin[part] - starts, k) + np.arange(k.sum())]], starts)
+            mine[own] = 0
+            for b, s in zip(part.tolist(), (common / (size[a] + k - common)).tolist()):
+                if s >= SIMILAR - CLOSE and root[a] != root[b] and (s > SIMILAR + CLOSE or alike(lines[a], lines[b])):
+                    join(a, b)
+    return out
+
+
+def _linked(unit: pa.Table) -> pa.Table:
+    h = unit.column("h").to_pylist()
+    links = group_links(unit.column("line").to_pylist())
+    return pa.table({"u": pa.array([h[i] for i, _ in links], pa.int64()), "v": pa.array([h[j] for _, j in links], pa.int64())})
+
+
 def _wanted(bitmap: np.ndarray):
     """Texts of the lines whose hash passes the filter, each once in a task."""
     bits = np.uint64(FILTER_BITS - 1)
@@ -345,7 +422,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     # One exchange, and one table written, serve all three.
     found = frozen(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, line int, rest array<int>"))
     pairs = frozen(found.where(f"kind = {PAIR}").select("u", "v").distinct())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("h"))
+    members = found.where(f"kind = {MEMBER}").select(F.col("u").alias("unit"), F.col("v").alias("h")).distinct()
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("h")).unionAll(members.select("h"))
     at = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = nodes.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toPandas()
     bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
@@ -353,7 +431,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     lines = rows.select("t").mapInArrow(tidied(_wanted(bitmap)), "h long, line string").join(nodes.distinct(), "h", "left_semi").dropDuplicates(["h"])
     lines = frozen(lines)
     both = pairs.join(lines.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(lines.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
-    sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(found.where(f"kind = {EDGE}").select("u", "v"))
+    grouped = members.join(lines, "h").groupBy("unit").applyInArrow(_linked, "u long, v long")
+    sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(grouped).unionAll(found.where(f"kind = {EDGE}").select("u", "v"))
     return sure, found.where(f"kind = {REFERENCE}").select(F.col("u").alias("h"), F.col("v").alias("doc_id"), "line", "rest")
 
 

@@ -92,3 +92,46 @@ def test_a_common_line(spark):
     df = spark.range(3000).selectExpr("id as doc_id", f"concat('{common}', if(id % 2 = 0, '', '!'), '\\n', 'own line of the document that nobody else has ', md5(cast(id as string)), md5(cast(id + 7 as string))) as text")
     out = L.dedup_lines(df.repartition(9))
     assert out.where("n_removed = 1").count() == 2999 and out.where("n_removed = 0").select("doc_id").first()[0] == 0
+
+
+def family(seed, n):
+    """Lines with a long part in common; every third one is near the line before it."""
+    r, out = random.Random(seed), []
+    start = "this program is free software and comes with no warranty of any kind, as of the licence: "[:80]
+    for k in range(n):
+        if k % 3 == 2:
+            at = r.randrange(82, len(out[-1]))
+            out.append(out[-1][:at] + "#" + out[-1][at + 1 :])
+        else:
+            out.append(start + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=30)))
+    return out
+
+
+def test_a_family_of_lines(spark):
+    """Many unlike lines meet in the bands, each in another task than the one like it."""
+    lines = family(1, 300)
+    rows = list(enumerate(lines))
+    want = sorted(i for i, t in brute(rows) if t)
+    assert 200 <= len(want) < 230
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(100, "doc_id")
+    assert sorted(r["doc_id"] for r in L.dedup_lines(df).where("text <> ''").collect()) == want
+
+
+def test_links_of_a_group():
+    for lines in (family(2, 200), [L.normal(t) for _, t in near_lines(5, 60)], ["a" * k for k in range(1, 40)]):
+        lines = sorted(set(lines))
+        pairs = L.group_links(lines)
+        assert all(L.alike(lines[i], lines[j]) for i, j in pairs)
+        group = brute_components(range(len(lines)), lambda i, j: L.alike(lines[i], lines[j]))
+        got = brute_components(range(len(lines)), lambda i, j: (i, j) in pairs or (j, i) in pairs)
+        assert got == group
+
+
+def test_each_two_lines_share_a_unit(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(L, "RUN", 4)
+    for n in (3, 8, 15):
+        units = list(L._units(np.arange(n)))
+        assert len({u for u, _ in units}) == len(units) and max(len(m) for _, m in units) <= 8
+        assert {(i, j) for _, m in units for i in m.tolist() for j in m.tolist()} == {(i, j) for i in range(n) for j in range(n)}
