@@ -10,8 +10,8 @@ With nine bands of four, a pair at similarity 0.8 is a candidate with probabilit
 at 0.9 with more than 0.9999.
 
 The band table is exchanged as packed arrays, one for each task and target, sorted and
-searched with numpy. Before that every task replaces the lines it finds alike by one of them, so
-a very common near copy reaches the exchange once for each task, not once for each line.
+searched with numpy. Every different line of a task is in it: being alike isn't transitive, so no
+line stands for another. A very common line reaches the exchange once for each task.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from quern.llm.common import frozen, tidied, unused
 from quern.llm.components import components
 
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 9, 4, 0.8
-#: Characters hashed at once, characters whose lines a task compares before it passes them on, and rows split at once.
+#: Characters hashed at once, characters whose lines a task passes on at once, and rows split at once.
 PIECE, FLUSH, ROWS_AT_ONCE = 500_000, 8_000_000, 256
 #: Similarities this near to ``SIMILAR`` are computed without hashing.
 CLOSE = 0.01
@@ -185,7 +185,7 @@ def _groups(keys: np.ndarray):
 
 
 def _band_tables(parts: int):
-    """Packed tables (part, keys, hashes) of the bands, edges found within a task (u, v), and references.
+    """Packed tables (part, keys, hashes) of the bands, with every different line of a task, and references.
 
     A reference tells, for each document and different line of it, the line's hash ``h``, the document,
     the first line number, and further ones (``rest``).
@@ -206,37 +206,15 @@ def _band_tables(parts: int):
                     at, total = k + 1, 0
             keys = np.concatenate(tables).ravel()
             owner = np.repeat(np.arange(len(lines)), BANDS)
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
-            begins, ends = _groups(keys)
-            keep = np.ones(len(keys), bool)
-            met: dict[tuple[int, int], bool] = {}
-            groups = [owner[a:z].tolist() for a, z in zip(*(x[ends - begins > 1].tolist() for x in (begins, ends)))]
-            starts = begins[ends - begins > 1].tolist()
-            # Most groups are pairs or small: all of a group's lines are held against its first at once.
-            ask = list({(g[0], m) for g in groups for m in g[1:]})
-            met.update(zip(ask, all_alike([lines[i] for i, _ in ask], [lines[i] for _, i in ask])))
-            for a, g in zip(starts, groups):
-                heads: list[int] = []
-                for k, mine in enumerate(g, a):
-                    for head in heads:
-                        pair = (head, mine)
-                        if pair not in met:
-                            met[pair] = alike(lines[head], lines[mine])
-                        if met[pair]:
-                            keep[k] = False  # it may be like several, and so joins them
-                    if keep[k]:
-                        heads.append(mine)
-            u, v = ([int(hashes[pair[side]]) for pair, ok in met.items() if ok] for side in (0, 1))
-            keys, hs = keys[keep], hashes[owner[keep]]
+            hs = hashes[owner]
             target = (keys % np.uint64(parts)).astype(np.int64)
             order = np.argsort(target, kind="stable")
             target, keys, hs = target[order], keys[order], hs[order]
             begins, ends = _groups(target)
             n = len(begins)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(target[begins], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([hs[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), *(pa.array([x] + [[]] * (n - 1), pa.list_(k)) for x, k in zip((u, v, *refs), (*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int32()))))],
-                ["part", "keys", "hashes", "u", "v", "h", "doc_id", "line", "rest"],
+                [pa.array(target[begins], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([hs[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), *(pa.array([x] + [[]] * (n - 1), pa.list_(k)) for x, k in zip(refs, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))))],
+                ["part", "keys", "hashes", "h", "doc_id", "line", "rest"],
             )
             texts.clear()
             for x in refs:
@@ -265,7 +243,7 @@ def _band_tables(parts: int):
     return work
 
 
-PAIR, EDGE, REFERENCE, MEMBER = range(4)
+PAIR, REFERENCE, MEMBER = range(3)
 
 
 def _rows(kind: int, u, v, line=None, rest=None) -> pa.RecordBatch:
@@ -274,14 +252,13 @@ def _rows(kind: int, u, v, line=None, rest=None) -> pa.RecordBatch:
 
 
 def _reduced(batches):
-    """Of a task's parts: references and edges as they came, pairs of line hashes that share a key,
+    """Of a task's parts: references as they came, pairs of line hashes that share a key,
     and for keys of many lines the units with their lines."""
     held: dict[int, list] = {}
     for b in batches:
         for part, keys, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             held.setdefault(part, []).append((keys, hashes))
-        yield _rows(EDGE, b.column(3).flatten(), b.column(4).flatten())
-        yield _rows(REFERENCE, *(b.column(k).flatten() for k in range(5, 9)))
+        yield _rows(REFERENCE, *(b.column(k).flatten() for k in range(3, 7)))
     for part in sorted(held):
         rows = held.pop(part)
         keys = np.frombuffer(b"".join(k for k, _ in rows), np.uint64)
@@ -418,7 +395,7 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    tables = rows.mapInArrow(tidied(_band_tables(parts)), "part int, keys binary, hashes binary, u array<long>, v array<long>, h array<long>, doc_id array<long>, line array<int>, rest array<array<int>>")
+    tables = rows.mapInArrow(tidied(_band_tables(parts)), "part int, keys binary, hashes binary, h array<long>, doc_id array<long>, line array<int>, rest array<array<int>>")
     # One exchange, and one table written, serve all three.
     found = frozen(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, line int, rest array<int>"))
     pairs = frozen(found.where(f"kind = {PAIR}").select("u", "v").distinct())
@@ -432,7 +409,7 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     lines = frozen(lines)
     both = pairs.join(lines.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(lines.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
     grouped = members.join(lines, "h").groupBy("unit").applyInArrow(_linked, "u long, v long")
-    sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(grouped).unionAll(found.where(f"kind = {EDGE}").select("u", "v"))
+    sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(grouped)
     return sure, found.where(f"kind = {REFERENCE}").select(F.col("u").alias("h"), F.col("v").alias("doc_id"), "line", "rest")
 
 

@@ -135,3 +135,28 @@ def test_each_two_lines_share_a_unit(monkeypatch):
         units = list(L._units(np.arange(n)))
         assert len({u for u, _ in units}) == len(units) and max(len(m) for _, m in units) <= 8
         assert {(i, j) for _, m in units for i in m.tolist() for j in m.tolist()} == {(i, j) for i in range(n) for j in range(n)}
+
+
+def chains(n):
+    """Lines a ~ b ~ c with a and c unlike; in every band where b meets c, a meets b."""
+    r, out, k = random.Random(4), [], 0
+    while len(out) < n:
+        k += 1
+        a = "".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=110))
+        i, j = r.sample(range(9, 100), 2)
+        b = a[:i] + "#" + a[i + 1 :]
+        c = b[:j] + "%" + b[j + 1 :]
+        x, y, z = L.band_keys([a, b, c])
+        if L.alike(a, b) and L.alike(b, c) and not L.alike(a, c) and (y == z).any() and (x == y)[y == z].all():
+            out.append((a, b, c))
+    return out
+
+
+def test_a_line_does_not_stand_for_another(spark):
+    """The first two lines of each chain are in one task, the third in another; then all in one."""
+    rows = [(3 * k + m, x) for k, chain in enumerate(chains(20)) for m, x in enumerate(chain)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = df.where("doc_id % 3 < 2").coalesce(1).unionAll(df.where("doc_id % 3 = 2").coalesce(1))
+    for docs in (apart, df.coalesce(1)):
+        left = L.dedup_lines(docs).where("text <> ''").collect()
+        assert sorted(r["doc_id"] for r in left) == [3 * k for k in range(20)]
