@@ -2,8 +2,10 @@
 
 A token becomes a typed placeholder if it is a number, a unit or a name, else its
 lower-cased self. Windows of such template tokens are hashed and joined, so a question whose
-numbers, names or units were exchanged still meets its benchmark item. Then the slots
-are checked: along the matched passage each filler of the item must correspond to one
+numbers, names or units were exchanged still meets its benchmark item. A capitalised word that
+opens a sentence may be a name or not, so its windows are hashed in both readings. Then the
+item is laid along the document at each place where a window met, and the slots
+are checked: each filler of the item must correspond to one
 filler of the document and back. A document is contaminated by an item if half of the item's
 windows, or a long run of them, match consistently.
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import remembered, tidied, unused
+from quern.llm.common import frozen, remembered, tidied, unused
 
 #: Tokens in a window; an item with fewer has one window of all, with under ``LEAST`` none.
 WINDOW, LEAST = 8, 4
@@ -120,12 +123,12 @@ class Templates:
                 at[k] = a
         return np.array(at, np.int64)
 
-    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, and whether it is a slot, of each token but the marks, of all texts
-        one after the other; and where each text's tokens begin, with the end of the last.
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, placeholder (0: none), and whether it is an opener, of each token but the marks, of all
+        texts one after the other; and where each text's tokens begin, with the end of the last.
 
-        A name is a capitalised word that does not begin a text, a line, a sentence or a
-        quotation; a word in capitals throughout is none. Only distinct chunks are looked up.
+        A name is a capitalised word; a word in capitals throughout is none. One that begins a text, a line,
+        a sentence or a quotation is an opener: a name or a plain word. Only distinct chunks are looked up.
         """
         texts = texts.cast(pa.large_string()).fill_null("")
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
@@ -140,30 +143,71 @@ class Templates:
         begins = np.empty(len(kind) + 1, bool)
         begins[1:] = kind == STOP
         begins[bounds] = True
-        slot = (kind == NUMBER) | (kind == UNIT) | (kind == TITLE) & ~begins[:-1]
-        h = np.where(slot, _PLACE[kind], hashes[token])
         real = kind != STOP
-        return h[real], slot[real], np.concatenate(([0], np.cumsum(real)))[bounds]
+        return hashes[token][real], _PLACE[kind][real], ((kind == TITLE) & begins[:-1])[real], np.concatenate(([0], np.cumsum(real)))[bounds]
+
+    def one(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.many(pa.array([text], pa.string()))[:3]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        return self.many(pa.array([text], pa.string()))[:2]
+        """Template hash, and whether it is a slot, of each token, with openers as plain words."""
+        exact, place, opener = self.one(text)
+        slot = (place != 0) & ~opener
+        return np.where(slot, place, exact), slot
 
     @staticmethod
     def tokens(text: str | None) -> list[str]:
         return [w for w in _TOKEN.findall(text or "") if w not in _STOPS]
 
     @staticmethod
-    def windows(h: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each window of ``size`` tokens, and whether it has enough plain words."""
-        n = len(h) - size + 1
+    def windows(exact: np.ndarray, place: np.ndarray, opener: np.ndarray, size: int):
+        """(hashes, places) of the windows of ``size`` tokens, reading by reading.
+
+        Each set of a window's openers is read as names once, as long as the window has enough plain
+        words.
+        """
+        n = len(exact) - size + 1
         if n < 1:
-            return np.empty(0, np.uint64), np.empty(0, bool)
-        with np.errstate(over="ignore"):
+            return
+
+        def hashed(h):
             out = np.full(n, size, np.uint64)
             for k in range(size):
                 out += h[k : k + n] * _MULTIPLIERS[k]
-        filled = np.concatenate(([0], np.cumsum(slot)))
-        return out, size * (WINDOW - LITERAL) >= WINDOW * (filled[size:] - filled[:-size])
+            return out
+
+        with np.errstate(over="ignore"):
+            slot = (place != 0) & ~opener
+            plain, slots, limit = hashed(np.where(slot, place, exact)), _within(slot, size), _most(size)
+            at = np.flatnonzero(slots <= limit)
+            yield plain[at], at
+            at = np.flatnonzero((_within(opener, size) > 0) & (slots < limit))
+            code = np.zeros(len(at), np.uint8)
+            for k in range(size):
+                code |= opener[at + k].astype(np.uint8) << np.uint8(k)
+            order = np.argsort(code, kind="stable")
+            at, code = at[order], code[order]
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(at)]
+            for a, z in zip(cuts, cuts[1:]):
+                openers = [k for k in range(size) if a < z and code[a] >> k & 1]
+                for m in range(1, min(limit, len(openers)) + 1):
+                    rows = at[a:z][slots[at[a:z]] + m <= limit]
+                    for names in combinations(openers, m) if len(rows) else ():
+                        out = plain[rows]
+                        for k in names:
+                            out += (place[rows + k] - exact[rows + k]) * _MULTIPLIERS[k]
+                        yield out, rows
+
+
+def _within(flags: np.ndarray, size: int) -> np.ndarray:
+    """How many of the flags are set in each window."""
+    filled = np.concatenate(([0], np.cumsum(flags)))
+    return filled[size:] - filled[:-size]
+
+
+def _most(size: int) -> int:
+    """Placeholders that a window may have."""
+    return size * (WINDOW - LITERAL) // WINDOW
 
 
 def templates() -> Templates:
@@ -175,35 +219,43 @@ def _size(n_tokens: int) -> int:
 
 
 class Benchmark:
-    """Windows of all items: hash to places (item, position)."""
+    """Windows of all items: sorted hashes, and the item and position of each."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.items, self.sizes = {}, set()
+        found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
         for item, text in items:
-            h, slot = templates()(text)
-            tokens, size = Templates.tokens(text), _size(len(h))
+            own = templates().one(text)
+            size = _size(len(own[0]))
             if size < LEAST:
                 continue
-            w, ok = Templates.windows(h, slot, size)
-            self.items[item] = (h, slot, tokens, size, int(ok.sum()))
+            self.items[item] = (own, Templates.tokens(text), size)
             self.sizes.add(size)
-            for k in np.flatnonzero(ok).tolist():
-                self.places[int(w[k])].append((item, k))
-        self.sorted = np.array(sorted(self.places), np.uint64)
+            found += [(w, np.full(len(w), item, np.int64), at) for w, at in Templates.windows(*own, size)]
+        hashes, owner, place = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner, self.place = hashes[order], owner[order], place[order]
+        self.sorted = np.unique(hashes)
         self.may = np.zeros(1 << 20, bool)
         self.may[(self.sorted & np.uint64(len(self.may) - 1)).astype(np.int64)] = True
 
+    def _met(self, w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        may = self.may[(w & np.uint64(len(self.may) - 1)).astype(np.int64)]
+        w, at = w[may], at[may]
+        if not len(w):
+            return w, at
+        met = self.sorted[np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)] == w
+        return w[met], at[met]
+
     def suspects(self, texts: pa.Array) -> list[int]:
         """Numbers of the texts that have any of the windows."""
-        h, slot, bounds = templates().many(texts)
+        *own, bounds = templates().many(texts)
         found = set()
         for size in self.sizes:
-            w, ok = Templates.windows(h, slot, size)
-            at = np.flatnonzero(ok & self.may[(w & np.uint64(len(self.may) - 1)).astype(np.int64)])
-            at = at[np.isin(w[at], self.sorted)]
-            text = np.searchsorted(bounds, at, "right") - 1
-            found.update(text[at + size <= bounds[text + 1]].tolist())
+            for reading in Templates.windows(*own, size):
+                at = self._met(*reading)[1]
+                text = np.searchsorted(bounds, at, "right") - 1
+                found.update(text[at + size <= bounds[text + 1]].tolist())
         return sorted(found)
 
     def contaminated(self, texts: pa.Array):
@@ -221,49 +273,57 @@ class Benchmark:
         """(item, windows, share, reparameterised) for each item that contaminates the text."""
         if not len(self.sorted):
             return []
-        h, slot = templates()(text)
-        hits = defaultdict(lambda: defaultdict(list))
+        own, shifts = templates().one(text), defaultdict(set)
         for size in self.sizes:
-            w, ok = Templates.windows(h, slot, size)
-            if len(w):
-                at = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
-                for p in np.flatnonzero(ok & (self.sorted[at] == w)).tolist():
-                    for item, q in self.places[int(w[p])]:
-                        if self.items[item][3] == size:
-                            hits[item][p - q].append((p, q))
-        out, tokens = [], Templates.tokens(text) if hits else []
-        for item, runs in sorted(hits.items()):
-            own, own_slot, own_tokens, size, total = self.items[item]
-            # The templates themselves are compared, in case two hashes of windows agree by chance.
-            matches = [(shift, p, q, tuple((own_tokens[q + k], tokens[p + k]) for k in range(size) if own_slot[q + k])) for shift, pq in runs.items() for p, q in pq if np.array_equal(h[p : p + size], own[q : q + size])]
-            if found := judged(matches, total):
-                out.append((item, *found))
-        return out
-
-
-def judged(matches: list[tuple[int, int, int, tuple]], total: int) -> tuple[int, float, bool] | None:
+            for reading in Templates.windows(*own, size):
+                w, at = self._met(*reading)
+                lo, hi = np.searchsorted(self.hashes, w), np.searchsorted(self.hashes, w, "right")
+                for p, a, z in zip(at.tolist(), lo.tolist(), hi.tolist()):
+                    for item, q in zip(self.owner[a:z].tolist(), self.place[a:z].tolist()):
+                        if self.items[item][2] == size:
+                            shifts[item].add(p - q)
+        tokens = Templates.tokens(text) if shifts else []
+        return [(item, *found) for item, at in sorted(shifts.items()) if (found := judged(*self.items[item], own, tokens, sorted(at)))]
+
+
+def judged(item: tuple, item_tokens: list[str], size: int, text: tuple, tokens: list[str], shifts: list[int]) -> tuple[int, float, bool] | None:
     """Windows, share of the item's windows and whether fillers differ, or None if too little matches.
 
-    ``matches`` holds (shift, place in the text, place in the item, pairs of fillers).
-    Fillers must correspond one to one along a shift; windows that contradict the more
-    frequent correspondence do not count.
+    The item is laid along the text at each shift. Equal plain words match, and placeholders of a kind. Fillers
+    must correspond one to one along a shift; windows that contradict the more frequent
+    correspondence do not count. The share is that of the windows with enough plain words.
     """
-    by = defaultdict(list)
-    for shift, p, q, pairs in matches:
-        by[shift].append((q, pairs))
-    good, changed = set(), False
-    for _, found in sorted(by.items()):
-        votes = Counter((a.lower(), b.lower()) for _, pairs in found for a, b in pairs)
+    exact, place, opener = item
+    n = len(exact)
+    good, changed = np.zeros(n - size + 1, bool), False
+    for shift in shifts:
+        lo, hi = max(0, -shift), min(n, len(text[0]) - shift)
+        if hi - lo < size:
+            continue
+        there_exact, there_place, there_opener = (x[lo + shift : hi + shift] for x in text)
+        same = exact[lo:hi] == there_exact
+        plain = same & ((place[lo:hi] == 0) | opener[lo:hi]) & ((there_place == 0) | there_opener)
+        filled = ~plain & (place[lo:hi] != 0) & (place[lo:hi] == there_place)
+        copied = _within(~same, size) == 0
+        fits = (_within(~plain & ~filled, size) == 0) & (_within(filled, size) <= _most(size))
+        reach = np.convolve(fits, np.ones(size, np.int64))
+        votes, pairs = Counter(), {}
+        for k in np.flatnonzero(filled & (reach > 0)).tolist():
+            pairs[k] = item_tokens[lo + k].lower(), tokens[lo + shift + k].lower()
+            votes[pairs[k]] += int(reach[k])
         there, back = {}, {}
         for (a, b), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
             if a not in there and b not in back:
                 there[a], back[b] = b, a
-        for q, pairs in found:
-            if all(there.get(a.lower()) == b.lower() for a, b in pairs):
-                good.add(q)
-                changed |= any(a.lower() != b.lower() for a, b in pairs)
-    if good and (len(good) >= SHARE * total or len(good) >= RUN):
-        return len(good), len(good) / total, changed
+        against = np.zeros(hi - lo, bool)
+        against[[k for k, (a, b) in pairs.items() if there.get(a) != b]] = True
+        fits &= _within(against, size) == 0
+        good[lo : hi - size + 1] |= fits
+        changed |= bool((fits & ~copied).any())
+    usable = _within((place != 0) & ~opener, size) <= _most(size)
+    share = good[usable].mean() if usable.any() else 0.0
+    if good.any() and (share >= SHARE or good.sum() >= RUN):
+        return int(good.sum()), float(share), changed
     return None
 
 
@@ -305,46 +365,40 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _window_rows(sizes: tuple[int, ...] | None):
-    """(id, key, place, size, total, fillers) for each window; sizes None: the item's own."""
+    """(id, key, size) for each window in each reading; sizes None: the item's own."""
 
     def work(batches):
         for b in batches:
-            ids, keys, places, widths, totals, fills = [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (h, slot), tokens = templates()(t), Templates.tokens(t)
-                for size in sizes or (_size(len(h)),):
-                    if size < LEAST:
-                        continue
-                    w, ok = Templates.windows(h, slot, size)
-                    for p in np.flatnonzero(ok).tolist():
-                        ids.append(i)
-                        keys.append(int(w[p].view(np.int64)))
-                        places.append(p)
-                        widths.append(size)
-                        totals.append(int(ok.sum()))
-                        fills.append([tokens[p + k] for k in range(size) if slot[p + k]])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, keys, places, widths, totals, fills), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())))], ["id", "key", "place", "size", "total", "fills"])
+                own = templates().one(t)
+                for size in sizes or (_size(len(own[0])),):
+                    w = np.concatenate([np.empty(0, np.uint64), *(w for w, _ in Templates.windows(*own, size) if size >= LEAST)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i, np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(len(w), size, np.int32))], ["id", "key", "size"])
 
     return work
 
 
 def joined_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """The same as ``matches`` for a benchmark of any size: an equi-join of window tables."""
-    schema = "id long, key long, place long, size int, total long, fills array<string>"
+    schema = "id long, key long, size int"
     of = lambda df, i, t: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long"), F.col(t).cast("string"))
-    last = of(bench, item_col, bench_text_col).toDF("i", "t").groupBy("i").agg(F.max(F.coalesce("t", F.lit(""))).alias("t"))
-    b = last.mapInArrow(_window_rows(None), schema).toDF("item_id", "key", "q", "size", "total", "own")
-    d = of(docs, id_col, text_col).mapInArrow(_window_rows(tuple(range(LEAST, WINDOW + 1))), schema).drop("total").toDF("doc_id", "key", "p", "size", "fills")
-    pairs = d.join(b, ["key", "size"]).where("size(fills) = size(own)")
-
-    def check(key, pdf):
-        import pandas as pd
-
-        rows = [(p - q, p, q, tuple(zip(own, fills))) for p, q, own, fills in zip(pdf["p"], pdf["q"], pdf["own"], pdf["fills"])]
-        found = judged(rows, int(pdf["total"].iloc[0]))
-        return pd.DataFrame([(*key, *found)] if found else [], columns=["doc_id", "item_id", "n_windows", "share", "reparameterised"])
+    items = frozen(of(bench, item_col, bench_text_col).toDF("item_id", "t").groupBy("item_id").agg(F.max(F.coalesce("t", F.lit(""))).alias("own")))
+    b = frozen(items.mapInArrow(_window_rows(None), schema).toDF("item_id", "key", "size").distinct())
+    sizes = tuple(sorted(r[0] for r in b.select("size").distinct().collect()))
+    named = of(docs, id_col, text_col).toDF("doc_id", "t").distinct()
+    rows = frozen(named.withColumn("row", F.monotonically_increasing_id()))
+    d = rows.select("row", "t").mapInArrow(_window_rows(sizes or (WINDOW,)), schema).toDF("row", "key", "size")
+    pairs = d.join(b, ["key", "size"]).select("row", "item_id").distinct()
+
+    def check(batches):
+        for batch in batches:
+            found = []
+            for doc_id, t, item, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found += [(doc_id, *x) for x in Benchmark([(item, own)]).find(t)]
+            cols = list(zip(*found)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "n_windows", "share", "reparameterised"])
 
-    return pairs.groupBy("doc_id", "item_id").applyInPandas(check, SCHEMA)
+    return pairs.join(rows, "row").join(items, "item_id").select("doc_id", "t", "item_id", "own").mapInArrow(tidied(check), SCHEMA)
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -76,3 +76,30 @@ def test_odd_rows(spark, odd, no_rows):
     assert kept.columns == odd.columns and kept.count() == 6
     assert D.matches(no_rows, items).count() == 0 and D.matches(odd, items.where("false")).count() == 0
     assert D.decontaminated(odd, items.where("false")).count() == odd.count()
+
+
+APPLES = "Tom has 5 apples. Sue has 7 apples. How many apples do they have?"
+
+
+def both_ways(spark, monkeypatch, docs, items):
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, items)
+    small = sorted(map(tuple, D.matches(docs, items).collect()))
+    monkeypatch.setattr(D, "LIMIT", 0)
+    assert sorted(map(tuple, D.matches(docs, items).collect())) == small
+    return {(d, i, changed) for d, i, _, _, changed in small}
+
+
+def test_names_that_open_sentences(spark, monkeypatch):
+    docs = [
+        (1, "Carl has 6 apples. Jane has 9 apples. How many apples do they have?"), (2, "Yesterday Carl has 6 apples, and there Jane has 9 pears."),
+        (3, "It is said that Carl has 6 apples. Jane has 9 apples, how many apples do they have?"), (4, APPLES), (5, "Carl has 6 apples. Carl has 9 pears. Why would they want more of these?"),
+    ]
+    assert both_ways(spark, monkeypatch, docs, [(1, APPLES)]) == {(1, 1, True), (3, 1, True), (4, 1, False)}
+
+
+def test_openers_must_correspond():
+    item = "Tom has a red boat here. Sue has a red car there. Tom sees the other one go by. Sue does not see it at all."
+    known = D.Benchmark([(1, item)])
+    renamed = known.find(item.replace("Tom", "Carl").replace("Sue", "Jane"))
+    crossed = known.find("Carl has a red boat here. Jane has a red car there. Jane sees the other one go by. Carl does not see it at all.")
+    assert renamed[0][2:] == (1.0, True) and (not crossed or crossed[0][2] < 1)
