@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import frozen, remembered, tidied, unused
 
-#: Tokens in a window; an item with fewer has one window of all, with under ``LEAST`` none.
+#: Tokens in a window; an item with fewer has one window of all, with under ``LEAST`` its very words only.
 WINDOW, LEAST = 8, 4
-#: A window needs so many tokens, out of ``WINDOW``, that are no placeholders.
+#: A window needs so many tokens, out of ``WINDOW``, that are no placeholders, unless its very words are met.
 LITERAL = 4
 #: Share of an item's windows, or number of windows, that must match.
 SHARE, RUN = 0.5, 24
@@ -164,7 +164,7 @@ class Templates:
         """(hashes, places) of the windows of ``size`` tokens, reading by reading.
 
         Each set of a window's openers is read as names once, as long as the window has enough plain
-        words.
+        words. Windows with slots are also read by their very words, so a copy is met whatever its slots.
         """
         n = len(exact) - size + 1
         if n < 1:
@@ -177,10 +177,16 @@ class Templates:
             return out
 
         with np.errstate(over="ignore"):
+            if size < LEAST:
+                yield hashed(exact), np.arange(n)
+                return
             slot = (place != 0) & ~opener
             plain, slots, limit = hashed(np.where(slot, place, exact)), _within(slot, size), _most(size)
             at = np.flatnonzero(slots <= limit)
             yield plain[at], at
+            at = np.flatnonzero(slots > 0)
+            if len(at):
+                yield hashed(exact)[at], at
             at = np.flatnonzero((_within(opener, size) > 0) & (slots < limit))
             code = np.zeros(len(at), np.uint8)
             for k in range(size):
@@ -227,7 +233,7 @@ class Benchmark:
         for item, text in items:
             own = templates().one(text)
             size = _size(len(own[0]))
-            if size < LEAST:
+            if not size:
                 continue
             self.items[item] = (own, Templates.tokens(text), size)
             self.sizes.add(size)
@@ -291,7 +297,8 @@ def judged(item: tuple, item_tokens: list[str], size: int, text: tuple, tokens:
 
     The item is laid along the text at each shift. Equal plain words match, and placeholders of a kind. Fillers
     must correspond one to one along a shift; windows that contradict the more frequent
-    correspondence do not count. The share is that of the windows with enough plain words.
+    correspondence do not count. Windows of the very same words count whatever their slots. The share is that of
+    all windows, or of those with enough plain words, whichever is larger.
     """
     exact, place, opener = item
     n = len(exact)
@@ -305,7 +312,7 @@ def judged(item: tuple, item_tokens: list[str], size: int, text: tuple, tokens:
         plain = same & ((place[lo:hi] == 0) | opener[lo:hi]) & ((there_place == 0) | there_opener)
         filled = ~plain & (place[lo:hi] != 0) & (place[lo:hi] == there_place)
         copied = _within(~same, size) == 0
-        fits = (_within(~plain & ~filled, size) == 0) & (_within(filled, size) <= _most(size))
+        fits = (_within(~plain & ~filled, size) == 0) & (_within(filled, size) <= _most(size)) & (size >= LEAST)
         reach = np.convolve(fits, np.ones(size, np.int64))
         votes, pairs = Counter(), {}
         for k in np.flatnonzero(filled & (reach > 0)).tolist():
@@ -318,10 +325,10 @@ def judged(item: tuple, item_tokens: list[str], size: int, text: tuple, tokens:
         against = np.zeros(hi - lo, bool)
         against[[k for k, (a, b) in pairs.items() if there.get(a) != b]] = True
         fits &= _within(against, size) == 0
-        good[lo : hi - size + 1] |= fits
+        good[lo : hi - size + 1] |= fits | copied
         changed |= bool((fits & ~copied).any())
     usable = _within((place != 0) & ~opener, size) <= _most(size)
-    share = good[usable].mean() if usable.any() else 0.0
+    share = max(good.mean(), good[usable].mean() if usable.any() else 0.0)
     if good.any() and (share >= SHARE or good.sum() >= RUN):
         return int(good.sum()), float(share), changed
     return None
@@ -372,7 +379,7 @@ def _window_rows(sizes: tuple[int, ...] | None):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = templates().one(t)
                 for size in sizes or (_size(len(own[0])),):
-                    w = np.concatenate([np.empty(0, np.uint64), *(w for w, _ in Templates.windows(*own, size) if size >= LEAST)])
+                    w = np.concatenate([np.empty(0, np.uint64), *(w for w, _ in Templates.windows(*own, size) if size)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i, np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(len(w), size, np.int32))], ["id", "key", "size"])
 
     return work

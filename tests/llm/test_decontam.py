@@ -103,3 +103,21 @@ def test_openers_must_correspond():
     renamed = known.find(item.replace("Tom", "Carl").replace("Sue", "Jane"))
     crossed = known.find("Carl has a red boat here. Jane has a red car there. Jane sees the other one go by. Carl does not see it at all.")
     assert renamed[0][2:] == (1.0, True) and (not crossed or crossed[0][2] < 1)
+
+
+SLOTS = ["What is 12 + 7 * 3 - 48 / 6 + 19 * 2 - 5?", "Sort 14, 3, 27, 8, 91, 45, 6, 70 in order.", "Match Paris, Rome, Madrid, Berlin to France, Italy, Spain, Germany.", "Solve 5 + 7", "Name Bob"]
+
+
+def test_copies_of_items_that_are_mostly_slots(spark, monkeypatch):
+    items = list(enumerate(SLOTS))
+    docs = [(k, "Some text comes before. " + x + "\nAnd more of it after.") for k, x in items] + [(10 + k, "and again " + x.lower()) for k, x in items]
+    docs += [(20, "What is 13 + 8 * 4 - 49 / 7 + 20 * 3 - 6?"), (21, "Sort 1, 2, 3, 4, 5, 6, 7, 8 in order."), (22, "Solve 5 + 8, name Ann")]
+    want = {(at + k, k, False) for k, _ in items for at in (0, 10)}
+    assert both_ways(spark, monkeypatch, docs, items) == want
+
+
+def test_part_of_an_item_that_is_mostly_slots():
+    item = "Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 and tell the sum of them all."
+    known = D.Benchmark([(1, item)])
+    assert known.find(item)[0][2:] == (1.0, False)
+    assert known.find("Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 and tell me.")[0][2] >= 0.5
