@@ -353,8 +353,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
     ``n_windows`` and ``share`` count the item's windows found, ``reparameterised`` says
     that fillers differ. Null and empty texts match nothing; items with a null id are not
-    used; a repeated document comes out repeated where the benchmark is small, once where
-    it is joined; an item id given twice keeps its last text in order. Other columns are
+    used; each row is judged by itself, so a repeated document comes out repeated; an item id given twice keeps its last text in order. Other columns are
     not read. Empty tables give an empty table.
     """
     if not _small(bench, bench_text_col):
@@ -387,37 +386,42 @@ def _window_rows(sizes: tuple[int, ...] | None):
 
 def joined_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text") -> DataFrame:
     """The same as ``matches`` for a benchmark of any size: an equi-join of window tables."""
+    rows = frozen(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumn("row", F.monotonically_increasing_id()))
+    found = _joined(rows.select("row", "t"), bench, item_col, bench_text_col)
+    return found.join(rows.select("row", "doc_id"), "row").select("doc_id", "item_id", "n_windows", "share", "reparameterised")
+
+
+def _joined(rows: DataFrame, bench: DataFrame, item_col: str, bench_text_col: str) -> DataFrame:
+    """The matches of ``rows`` (a key of its own for each row, and the text), by ``row``."""
     schema = "id long, key long, size int"
-    of = lambda df, i, t: df.where(F.col(i).isNotNull()).select(F.col(i).cast("long"), F.col(t).cast("string"))
-    items = frozen(of(bench, item_col, bench_text_col).toDF("item_id", "t").groupBy("item_id").agg(F.max(F.coalesce("t", F.lit(""))).alias("own")))
+    named = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(bench_text_col).cast("string").alias("t"))
+    items = frozen(named.groupBy("item_id").agg(F.max(F.coalesce("t", F.lit(""))).alias("own")))
     b = frozen(items.mapInArrow(_window_rows(None), schema).toDF("item_id", "key", "size").distinct())
     sizes = tuple(sorted(r[0] for r in b.select("size").distinct().collect()))
-    named = of(docs, id_col, text_col).toDF("doc_id", "t").distinct()
-    rows = frozen(named.withColumn("row", F.monotonically_increasing_id()))
-    d = rows.select("row", "t").mapInArrow(_window_rows(sizes or (WINDOW,)), schema).toDF("row", "key", "size")
+    d = rows.mapInArrow(_window_rows(sizes or (WINDOW,)), schema).toDF("row", "key", "size")
     pairs = d.join(b, ["key", "size"]).select("row", "item_id").distinct()
 
     def check(batches):
         for batch in batches:
             found = []
-            for doc_id, t, item, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                found += [(doc_id, *x) for x in Benchmark([(item, own)]).find(t)]
+            for row, t, item, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                found += [(row, *x) for x in Benchmark([(item, own)]).find(t)]
             cols = list(zip(*found)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "item_id", "n_windows", "share", "reparameterised"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["row", "item_id", "n_windows", "share", "reparameterised"])
 
-    return pairs.join(rows, "row").join(items, "item_id").select("doc_id", "t", "item_id", "own").mapInArrow(tidied(check), SCHEMA)
+    return pairs.join(rows, "row").join(items, "item_id").select("row", "t", "item_id", "own").mapInArrow(tidied(check), SCHEMA.replace("doc_id", "row"))
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, all columns as they were.
 
-    With a small benchmark every row is judged by itself where it is. Otherwise rows go by their
-    id, and rows with a null id stay.
+    Every row is judged by itself, where it is with a small benchmark, otherwise by a key of its own.
     """
     if not _small(bench, "text"):
-        name = unused("_bad", docs.columns)
-        bad = joined_matches(docs, bench).select(F.col("doc_id").alias(name)).distinct()
-        return docs.join(bad, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+        name = unused("_row", docs.columns)
+        rows = frozen(docs.withColumn(name, F.monotonically_increasing_id()))
+        bad = _joined(rows.select(F.col(name).alias("row"), F.col("text").cast("string").alias("t")), bench, "item_id", "text")
+        return rows.join(bad.select(F.col("row").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
     items = list(dict(_items(bench, "item_id", "text")).items())
     at = docs.columns.index("text")
 

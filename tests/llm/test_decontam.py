@@ -121,3 +121,14 @@ def test_part_of_an_item_that_is_mostly_slots():
     known = D.Benchmark([(1, item)])
     assert known.find(item)[0][2:] == (1.0, False)
     assert known.find("Add 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12 and tell me.")[0][2] >= 0.5
+
+
+def test_ways_agree_on_null_and_repeated_ids(spark, monkeypatch):
+    rows = [(1, APPLES), (1, APPLES), (1, "a clean text with the same id as others"), (None, APPLES), (None, "a clean text"), (2, None)]
+    df, items = spark.createDataFrame(rows, "doc_id long, text string"), bench(spark, [(1, APPLES)])
+    seen = []
+    for limit in (D.LIMIT, 0):
+        monkeypatch.setattr(D, "LIMIT", limit)
+        seen.append([sorted(map(tuple, x.collect()), key=str) for x in (D.matches(df, items), D.decontaminated(df, items))])
+    assert seen[0] == seen[1] and len(seen[0][0]) == 3
+    assert seen[0][1] == sorted([rows[2], rows[4], rows[5]], key=str)
