@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import frozen, tidied
+from quern.llm.common import frozen, tidied, unused
 from quern.llm.components import components
 
 SEED, BLOCKS, WIDTH, RADIUS = 42, 4, 16, 2
@@ -141,8 +142,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each component the row with the smallest id stays.
 
-    Of several rows with that id one stays. Rows whose id is null all stay.
+    Of several such rows with that id in a component one stays. Rows with one id whose texts are in different
+    components count for each. Rows whose id is null all stay.
     """
-    ids = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = frozen(fingerprints(docs))
+    nodes = frozen(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = components(links(nodes.select("fp")))
+    part = nodes.join(linked, nodes["fp"] == linked["node"], "left").where("least IS NOT NULL").groupBy(F.coalesce("component", "fp")).agg(F.min(F.struct("least", "fp")).alias("at"))
+    heads = frozen(part.select(F.col("at.least").alias("doc_id"), F.col("at.fp").alias("fp")))
+    # Where all rows with an id have one fingerprint the id tells them, elsewhere id and fingerprint.
+    mixed = frozen(rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id"))
+    named = docs.where("doc_id IS NOT NULL")
+    plain = named.join(heads.join(mixed, "doc_id", "left_anti").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    name, at = unused("_fp", docs.columns), docs.columns.index("text")
+
+    def marked(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield b.append_column(name, pa.array(fps))
+
+    several = named.join(mixed, "doc_id", "left_semi").select(*docs.columns).mapInArrow(tidied(marked), StructType([*docs.schema.fields, StructField(name, LongType())]))
+    several = several.join(heads.withColumnRenamed("fp", name), ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return plain.select(*docs.columns).unionAll(several.select(*docs.columns)).unionAll(docs.where("doc_id IS NULL"))

@@ -107,3 +107,11 @@ def test_one_of_each(spark, odd):
     assert kept.columns == odd.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids == sorted([None, None, 1, 2, 6, 7], key=str)  # 3 and 4 have no words, as 2; 5 is as 1
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    """Unlike texts with one id both stay, copies go."""
+    a, b = "one text of a few words that stays as it is", "something else entirely, which has the same number"
+    rows = [(1, a), (1, b), (1, a), (2, b), (3, a), (4, "a third text, all alone here"), (None, a)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([rows[0], rows[1], rows[5], rows[6]], key=str)
