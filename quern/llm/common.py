@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.plans.storage import frozen, shared_folder  # noqa: F401
+from quern.plans.storage import frozen, shared_folder, stored  # noqa: F401
 
 #: The word separators of the contracts: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"

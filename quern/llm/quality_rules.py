@@ -4,10 +4,13 @@ Fixed base rules come first. For the documents that pass them, a quantile sketch
 kept for each language, source and measure: a histogram over buckets of six
 significant binary digits, so a quantile read from it is at most 1/32 below the true
 one. Such sketches merge by adding counts, which the partial aggregation does within
-each task, so a hot source costs a bounded number of rows. A document is rejected
-where a measure lies far outside the middle half of its language and source.
-A source with under ``LEAST`` such documents is judged by the merged sketches of its
-language.
+each task, so a hot source costs a bounded number of rows.
+
+Measures are rates that are never zero (one more occurrence than counted, or one more window of three words), so
+every group has a spread, and outliers are told on the scale of ratios: a document is
+rejected where a measure is above q3 by more than the square of q3 / q1, that is by twice the spread of the
+middle half. To each source's sketch ``PRIOR`` points are added, spread evenly over the ranks of its language's
+merged sketch, so a small source has sound thresholds as well, without a switch between the two.
 """
 
 from __future__ import annotations
@@ -15,13 +18,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, frozen, unused
+from quern.llm.common import SPACE, frozen, stored
 
 SYMBOLS = "#*$%&|<>"
-#: measure: (slack added to the fences, judged from below too). Per mille, but for
-#: word_len, which is in hundredths of a character.
-MEASURES = {"symbol_pm": (100, False), "dup_line_pm": (350, False), "repeat_pm": (300, False), "upper_pm": (200, False), "word_len": (300, True)}
-LEAST, FENCE = 100, 3
+#: measure: (numerator, denominator, least factor between quartile and fence, judged from below too). Each
+#: measure is one more than a rate in millionths; a group of nearly equal documents has fences at the least factor.
+MEASURES = {
+    "symbol_rate": ("n_symbols + 1", "n_words + 1", 6.0, False),
+    "dup_line_odds": ("n_dup_lines + 1", "n_lines - n_dup_lines + 1", 6.0, False),
+    "repeat_odds": ("n_repeat_words + 3", "n_words - n_repeat_words + 3", 16.0, False),
+    "upper_rate": ("n_upper + 1", "word_chars + 1", 6.0, False),
+    "word_length": ("word_chars + 1", "n_words + 1", 1.75, True),
+}
+#: Points of its language's sketch that each source's own gets.
+PRIOR = 50
+#: Languages and sources whose thresholds are sent to all tasks; more are joined.
+BROADCAST = 100_000
 
 
 def _bucket(v: str) -> str:
@@ -30,17 +42,20 @@ def _bucket(v: str) -> str:
     return f"shiftleft(shiftright({v}, {sh}), {sh})"
 
 
-def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The counts of every text and the measures made of them, one row for each row of ``df``."""
+def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", whole: bool = False) -> DataFrame:
+    """The counts of every text and the measures made of them, one row for each row of ``df``; with ``whole``
+    also that row, as a struct ``row``."""
+    row = [F.struct("*").alias("row")] * whole
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = df.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang_key"), (source_col, "source_key"))], text.alias("t"))
+    d = df.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang_col, "lang_key"), (source_col, "source_key"))], text.alias("t"), *row)
+    row = ["row"] * whole
     d = d.select("*", F.expr(f"filter(split(t, r'{SPACE}'), w -> w != '')").alias("w"), F.expr("filter(split(t, '\\n'), l -> l rlike r'[^\\x20\\x09-\\x0D]')").alias("l"))
-    d = d.select("doc_id", "lang_key", "source_key", "t", "w", "l", F.expr("transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2]))").alias("h"))
+    d = d.select("doc_id", "lang_key", "source_key", *row, "t", "w", "l", F.expr("transform(slice(w, 1, greatest(size(w) - 2, 0)), (x, i) -> xxhash64(x, w[i + 1], w[i + 2]))").alias("h"))
     # Only texts in which a window repeats are sorted.
     d = d.withColumn("s", F.expr("if(size(array_distinct(h)) = size(h), array(), sort_array(transform(h, (x, i) -> struct(x as h, i as i))))"))
     d = d.withColumn("p", F.expr("if(size(s) = 0, array(), array_sort(transform(filter(s, (e, k) -> coalesce(e.h = get(s, k - 1).h, false) or coalesce(e.h = get(s, k + 1).h, false)), e -> e.i)))"))
     d = d.select(
-        "doc_id", "lang_key", "source_key",
+        "doc_id", "lang_key", "source_key", *row,
         F.expr("cast(size(w) as long)").alias("n_words"),
         F.expr(f"cast(length(regexp_replace(t, r'{SPACE}', '')) as long)").alias("word_chars"),
         F.expr(f"cast(length(t) - length(translate(t, '{SYMBOLS}', '')) as long)").alias("n_symbols"),
@@ -49,59 +64,71 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         F.expr("cast(size(l) as long)").alias("n_lines"),
         F.expr("cast(length(regexp_replace(t, r'[^\\p{Lu}]+', '')) as long)").alias("n_upper"),
     )
-    pm = lambda a, b, k=1000: F.expr(f"if({b} = 0, 0L, {k} * {a} div {b})")
-    return d.select("*", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed"), pm("n_symbols", "n_words").alias("symbol_pm"), pm("n_dup_lines", "n_lines").alias("dup_line_pm"), pm("n_repeat_words", "n_words").alias("repeat_pm"), pm("n_upper", "word_chars").alias("upper_pm"), pm("word_chars", "n_words", 100).alias("word_len"))
+    rates = [F.expr(f"1L + 1000000L * ({a}) div ({b})").alias(k) for k, (a, b, _, _) in MEASURES.items()]
+    return d.select("*", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words").alias("base_failed"), *rates)
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """``lang_key, source_key, measure, bucket, n`` over the documents that pass the base rules."""
+    """``lang_key, source_key, measure, bucket, n`` over the documents that pass the base rules.
+
+    ``measured`` must have been written, as each measure is used several times.
+    """
     m = measured.where("NOT base_failed")
     rows = m.select("lang_key", "source_key", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(_bucket(k)).alias("bucket")) for k in MEASURES])).alias("x"))
     return rows.groupBy("lang_key", "source_key", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``q1, q3, total`` of each key and measure: the first buckets that reach a quarter and three."""
+def _running(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``upto``, the documents up to each bucket, and ``total``."""
     by = ", ".join([*keys, "measure"])
-    run = sketch.select("*", F.expr(f"sum(n) over (partition by {by} order by bucket)").alias("upto"), F.expr(f"sum(n) over (partition by {by})").alias("total"))
-    return run.groupBy(*keys, "measure").agg(F.expr("min(if(4 * upto >= total, bucket, null))").alias("q1"), F.expr("min(if(4 * upto >= 3 * total, bucket, null))").alias("q3"), F.max("total").alias("total"))
+    return sketch.select("*", F.expr(f"sum(n) over (partition by {by} order by bucket)").alias("upto"), F.expr(f"sum(n) over (partition by {by})").alias("total"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """For each language and source a ``low_`` and a ``high_`` fence of each measure."""
-    own = _quartiles(sketch, ["lang_key", "source_key"])
-    merged = sketch.groupBy("lang_key", "measure", "bucket").agg(F.sum("n").alias("n"))
-    merged = _quartiles(merged, ["lang_key"]).select("lang_key", "measure", F.col("q1").alias("m1"), F.col("q3").alias("m3"))
-    q = own.join(merged, ["lang_key", "measure"]).select("lang_key", "source_key", "measure", *[F.expr(f"if(total < {LEAST}, m{i}, q{i})").alias(f"q{i}") for i in (1, 3)])
+    merged = _running(sketch.groupBy("lang_key", "measure", "bucket").agg(F.sum("n").alias("n")), ["lang_key"])
+    points = merged.select("lang_key", "measure", "bucket", F.expr(f"{PRIOR} * upto div total - {PRIOR} * (upto - n) div total").alias("n")).where("n > 0")
+    points = sketch.select("lang_key", "source_key", "measure").distinct().join(points, ["lang_key", "measure"])
+    mixed = sketch.unionByName(points).groupBy("lang_key", "source_key", "measure", "bucket").agg(F.sum("n").alias("n"))
+    # Quartiles: the first buckets that reach a quarter and three.
+    q = _running(mixed, ["lang_key", "source_key"]).groupBy("lang_key", "source_key", "measure").agg(F.expr("min(if(4 * upto >= total, bucket, null))").alias("q1"), F.expr("min(if(4 * upto >= 3 * total, bucket, null))").alias("q3"))
     fences = []
-    for k, (slack, below) in MEASURES.items():
+    for k, (_, _, least, below) in MEASURES.items():
         of = lambda e, k=k: F.expr(f"max(if(measure = '{k}', {e}, null))")
-        fences.append(of(f"q3 + {FENCE} * (q3 - q1) + {slack}").alias(f"high_{k}"))
+        factor = f"greatest((q3 / q1) * (q3 / q1), {least}D)"
+        fences.append(of(f"q3 * {factor}").alias(f"high_{k}"))
         if below:
-            fences.append(of(f"q1 - {FENCE} * (q3 - q1) - {slack}").alias(f"low_{k}"))
+            fences.append(of(f"q1 / {factor}").alias(f"low_{k}"))
     return q.groupBy("lang_key", "source_key").agg(*fences)
 
 
+def _judged(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``kept``. It must be written, as it is read twice."""
+    fences = frozen(thresholds(sketches(measured)))
+    if fences.count() <= BROADCAST:
+        fences = F.broadcast(fences)
+    within = " and ".join(f"{k} <= high_{k}" + f" and {k} >= low_{k}" * below for k, (*_, below) in MEASURES.items())
+    return measured.join(fences, ["lang_key", "source_key"], "left").withColumn("kept", F.expr(f"not base_failed and coalesce({within}, true)"))
+
+
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``doc_id``, the counts, ``base_failed`` and ``kept``, one row for each row of ``df``.
+    """``doc_id``, the counts, ``base_failed`` and ``kept``, then the measures, one row for each row of ``df``.
 
     Null, empty and blank texts have zero words and fail the base rules. Null
     languages and sources count as the empty string, a group of its own. Repeated
     rows count, and come out, as often as they occur; null ids stay null; further
     columns, whatever their names, are not read. An empty table gives an empty table.
     """
-    m = frozen(measures(df, id_col, text_col, lang_col, source_col))
-    judged = m.join(thresholds(sketches(m)), ["lang_key", "source_key"], "left")
-    within = " and ".join(f"{k} <= high_{k}" + f" and {k} >= low_{k}" * below for k, (_, below) in MEASURES.items())
-    kept = F.expr(f"not base_failed and coalesce({within}, true)")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
+    judged = _judged(frozen(measures(df, id_col, text_col, lang_col, source_col)))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Rows that share an id are kept if one of them passes."""
-    name = unused("_kept_id", docs.columns)
-    ok = quality_rules(docs).where("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(ok, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
+    """The rows of ``docs`` that the rules keep, each judged by itself, in their order.
+
+    The rows are written once with their measures, so texts are neither measured twice nor exchanged.
+    """
+    return _judged(stored(measures(docs, whole=True), "measured")).where("kept").select("row.*")
 
 
 #: The same in DuckDB over ``documents``.
@@ -118,19 +145,17 @@ m AS (SELECT e.r, doc_id, lk, sk, len(w)::BIGINT AS n_words, length(regexp_repla
         length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper
       FROM e LEFT JOIN cov ON e.r = cov.r),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-        if(n_words = 0, 0, 1000 * n_symbols // n_words) AS symbol_pm, if(n_lines = 0, 0, 1000 * n_dup_lines // n_lines) AS dup_line_pm,
-        if(n_words = 0, 0, 1000 * n_repeat_words // n_words) AS repeat_pm, if(word_chars = 0, 0, 1000 * n_upper // word_chars) AS upper_pm,
-        if(n_words = 0, 0, 100 * word_chars // n_words) AS word_len FROM m),
-v AS (SELECT lk, sk, x.measure AS measure, x.v >> greatest(length(bin(x.v)) - 6, 0) << greatest(length(bin(x.v)) - 6, 0) AS b
-      FROM (SELECT lk, sk, unnest([{", ".join(f"{{'measure': '{k}', 'v': {k}::BIGINT}}" for k in MEASURES)}]) AS x FROM f WHERE NOT base_failed)),
+        {", ".join(f"1 + 1000000 * ({a}) // ({b}) AS {k}" for k, (a, b, _, _) in MEASURES.items())} FROM m),
+x AS (SELECT r, lk, sk, base_failed, unnest([{", ".join(f"{{'measure': '{k}', 'v': {k}::BIGINT, 'least': {z}::DOUBLE, 'below': {str(z2).lower()}}}" for k, (_, _, z, z2) in MEASURES.items())}]) AS m FROM f),
+v AS (SELECT lk, sk, m.measure AS measure, m.v >> greatest(length(bin(m.v)) - 6, 0) << greatest(length(bin(m.v)) - 6, 0) AS b FROM x WHERE NOT base_failed),
 own AS (SELECT lk, sk, measure, count(*) AS total, list(b ORDER BY b) AS s FROM v GROUP BY ALL),
 mer AS (SELECT lk, measure, count(*) AS total, list(b ORDER BY b) AS s FROM v GROUP BY ALL),
-q AS (SELECT own.lk, sk, own.measure,
-        if(own.total < {LEAST}, mer.s[(mer.total + 3) // 4], own.s[(own.total + 3) // 4]) AS q1,
-        if(own.total < {LEAST}, mer.s[(3 * mer.total + 3) // 4], own.s[(3 * own.total + 3) // 4]) AS q3
+mix AS (SELECT own.lk, sk, own.measure, own.total + {PRIOR} AS total,
+        list_sort(own.s || list_transform(range(1, {PRIOR} + 1), lambda j: mer.s[(j * mer.total + {PRIOR - 1}) // {PRIOR}])) AS s
       FROM own JOIN mer ON own.lk = mer.lk AND own.measure = mer.measure),
-bad AS (SELECT DISTINCT r FROM (SELECT r, lk, sk, unnest([{", ".join(f"{{'measure': '{k}', 'v': {k}::BIGINT, 'slack': {s}, 'below': {str(b).lower()}}}" for k, (s, b) in MEASURES.items())}]) AS x FROM f) y
-      JOIN q ON y.lk = q.lk AND y.sk = q.sk AND x.measure = q.measure
-      WHERE x.v > q3 + {FENCE} * (q3 - q1) + x.slack OR x.below AND x.v < q1 - {FENCE} * (q3 - q1) - x.slack)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept FROM f
+q AS (SELECT lk, sk, measure, s[(total + 3) // 4] AS q1, s[(3 * total + 3) // 4] AS q3 FROM mix),
+bad AS (SELECT DISTINCT r FROM x JOIN q ON x.lk = q.lk AND x.sk = q.sk AND x.m.measure = q.measure
+      WHERE m.v > q3 * greatest((q3 / q1) * (q3 / q1), m.least) OR m.below AND m.v < q1 / greatest((q3 / q1) * (q3 / q1), m.least))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM bad) AS kept,
+  {", ".join(f"{k}::BIGINT AS {k}" for k in MEASURES)} FROM f
 """

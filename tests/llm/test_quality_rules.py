@@ -61,3 +61,38 @@ def test_buckets():
 
 def test_filter(spark, odd):
     assert Q.filtered(odd).count() == 0  # the long text repeats itself, the others are short
+
+
+def test_thresholds_follow_the_corpus(spark):
+    """The same documents are outliers among prose and usual in a source full of symbols."""
+    from tests.llm.conftest import sentences
+
+    schema = "doc_id long, text string, lang string, source string"
+    prose = [(i, sentences(i, 60 + i % 200), "en", "prose") for i in range(300)]
+    code = [(1000 + i, sentences(i, 60 + i % 200).replace(" ", " & ", 20 + i % 40), "en", "code") for i in range(300)]
+    asked = [(2000 + i, sentences(i, 150).replace(" ", " & ", 45), "en", "prose" if i % 2 else "code") for i in range(8)]
+    m = Q.frozen(Q.measures(spark.createDataFrame(prose + code + asked, schema)))
+    fences = {r["source_key"]: r.asDict() for r in Q.thresholds(Q.sketches(m)).collect()}
+    for k in ("symbol_rate", "word_length", "repeat_odds"):
+        assert fences["prose"][f"high_{k}"] != fences["code"][f"high_{k}"]
+    got = dict(Q.quality_rules(spark.createDataFrame(prose + code + asked, schema)).select("doc_id", "kept").collect())
+    assert all(got[i] for i, *_ in prose + code) and [got[i] for i, *_ in asked] == [True, False] * 4
+    # With the two sources' texts exchanged the verdicts are exchanged.
+    turned = [(i, t, l, {"prose": "code", "code": "prose"}[s] if i < 2000 else s) for i, t, l, s in prose + code + asked]
+    got = dict(Q.quality_rules(spark.createDataFrame(turned, schema)).select("doc_id", "kept").collect())
+    assert [got[i] for i, *_ in asked] == [False, True] * 4
+
+
+def test_ways_agree_beyond_the_broadcast(spark, docs, monkeypatch):
+    want = sorted(map(tuple, Q.quality_rules(docs).collect()))
+    monkeypatch.setattr(Q, "BROADCAST", 0)
+    assert sorted(map(tuple, Q.quality_rules(docs).collect())) == want
+
+
+def test_filter_judges_each_row(spark):
+    from tests.llm.conftest import sentences
+
+    good = sentences(1, 150)
+    df = spark.createDataFrame([(1, good, "en", "a", 9), (1, "short", "en", "a", 8), (None, good, None, None, 7), (2, None, "en", "a", 6)], "doc_id long, text string, lang string, source string, row int")
+    assert Q.filtered(df).columns == df.columns
+    assert sorted(r["row"] for r in Q.filtered(df).collect()) == [7, 9]
