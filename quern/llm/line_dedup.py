@@ -30,7 +30,9 @@ from quern.llm.components import components
 
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 9, 4, 0.8
 #: Characters hashed at once, characters whose lines a task passes on at once, and rows split at once.
-PIECE, FLUSH, ROWS_AT_ONCE = 500_000, 8_000_000, 256
+PIECE, FLUSH, ROWS_AT_ONCE = 500_000, 4_000_000, 256
+#: A reference counts as so many characters, so a partition of copies is passed on in parts as well.
+REFERRED = 8
 #: Similarities this near to ``SIMILAR`` are computed without hashing.
 CLOSE = 0.01
 #: A band group of up to so many different lines gives all its pairs. A larger one is compared as a
@@ -231,6 +233,7 @@ def _band_tables(parts: int):
                     own[h] = len(refs[0])
                     for x, value in zip(refs, (h, doc_id, k, None)):
                         x.append(value)
+                    size += REFERRED
                     if h not in texts:
                         texts[h] = n
                         size += len(n)
