@@ -10,7 +10,8 @@ filler of the document and back. A document is contaminated by an item if half o
 windows, or a long run of them, match consistently.
 
 Up to ``LIMIT`` characters of benchmark text the items are sent to the tasks and no
-document leaves its task. A larger benchmark is joined as a table of windows.
+document leaves its task. A larger benchmark is joined as a table of windows, after a filter of fixed size
+has left out the documents' windows that no item has.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ WINDOW, LEAST = 8, 4
 LITERAL = 4
 #: Share of an item's windows, or number of windows, that must match.
 SHARE, RUN = 0.5, 24
-LIMIT = 32_000_000
+LIMIT = 2_000_000
+#: Bits of the filter through which windows of documents pass before a larger benchmark is joined.
+FILTER_BITS = 1 << 26
 #: Distinct chunks between spaces that a worker remembers, and bytes of text looked at once.
-REMEMBERED, PIECE = 600_000, 8_000_000
+REMEMBERED, PIECE = 300_000, 2_000_000
 
 # Units of measure and currencies.
 UNITS = "% € $ £ ¥ ° mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l ms s sec min h hr hrs hour hours day days week weeks month months year years km/h mph kmh eur usd gbp dollar dollars cent cents euro euros pound pounds metre metres meter meters kilometre kilometres kilometer kilometers mile miles gram grams kilogram kilograms litre litres liter liters stunde stunden tag tage woche wochen jahr jahre heure heures jour jours semaine semaines an ans hora horas día días semana semanas año años"
@@ -65,6 +68,7 @@ class Templates:
     """Template hashes of texts. A worker remembers the tokens of what stands between spaces."""
 
     def __init__(self):
+        self.benchmark: tuple | None = None
         self.forget()
 
     def forget(self):
@@ -220,6 +224,14 @@ def templates() -> Templates:
     return remembered("templates", Templates)
 
 
+def known_benchmark(items: list[tuple[int, str | None]]) -> Benchmark:
+    """The windows of the items, made once in a worker."""
+    memory, key = templates(), xxhash.xxh3_128_hexdigest(repr(items).encode("utf-8", "surrogatepass"))
+    if memory.benchmark is None or memory.benchmark[0] != key:
+        memory.benchmark = key, Benchmark(items)
+    return memory.benchmark[1]
+
+
 def _size(n_tokens: int) -> int:
     return min(WINDOW, n_tokens)
 
@@ -361,7 +373,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     items = list(dict(_items(bench, item_col, bench_text_col)).items())
 
     def work(batches):
-        known = Benchmark(items)
+        known = known_benchmark(items)
         for b in batches:
             rows = [(b.column(0)[k].as_py(), *m) for k, found in known.contaminated(b.column(1)) for m in found]
             cols = list(zip(*rows)) or [()] * 5
@@ -370,15 +382,19 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(work), SCHEMA)
 
 
-def _window_rows(sizes: tuple[int, ...] | None):
-    """(id, key, size) for each window in each reading; sizes None: the item's own."""
+def _window_rows(sizes: tuple[int, ...] | None, bitmap=None):
+    """(id, key, size) for each different window in each reading; sizes None: the item's own. With a bitmap
+    (a broadcast) only windows that pass it."""
 
     def work(batches):
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = templates().one(t)
                 for size in sizes or (_size(len(own[0])),):
-                    w = np.concatenate([np.empty(0, np.uint64), *(w for w, _ in Templates.windows(*own, size) if size)])
+                    w = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for w, _ in Templates.windows(*own, size) if size)]))
+                    if bitmap is not None:
+                        at = w & np.uint64(FILTER_BITS - 1)
+                        w = w[(bitmap.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)) > 0]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), i, np.int64)), pa.array(w.view(np.int64)), pa.array(np.full(len(w), size, np.int32))], ["id", "key", "size"])
 
     return work
@@ -398,7 +414,12 @@ def _joined(rows: DataFrame, bench: DataFrame, item_col: str, bench_text_col: st
     items = frozen(named.groupBy("item_id").agg(F.max(F.coalesce("t", F.lit(""))).alias("own")))
     b = frozen(items.mapInArrow(_window_rows(None), schema).toDF("item_id", "key", "size").distinct())
     sizes = tuple(sorted(r[0] for r in b.select("size").distinct().collect()))
-    d = rows.mapInArrow(_window_rows(sizes or (WINDOW,)), schema).toDF("row", "key", "size")
+    # Of the documents' windows only those that an item may have are exchanged.
+    at = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = b.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).toPandas()
+    bitmap = np.zeros(FILTER_BITS // 64, np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    d = rows.mapInArrow(_window_rows(sizes or (WINDOW,), rows.sparkSession.sparkContext.broadcast(bitmap)), schema).toDF("row", "key", "size")
     pairs = d.join(b, ["key", "size"]).select("row", "item_id").distinct()
 
     def check(batches):
@@ -426,7 +447,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def work(batches):
-        known = Benchmark(items)
+        known = known_benchmark(items)
         for b in batches:
             clean = np.ones(b.num_rows, bool)
             clean[[k for k, _ in known.contaminated(b.column(at).cast(pa.string()))]] = False

@@ -37,7 +37,7 @@ STRIDE = 64
 #: Windows planned at once, and how many of the last are planned again.
 STRETCH, AGAIN = 512, 8
 #: Segments whose ids a worker remembers.
-REMEMBERED = 900_000
+REMEMBERED = 500_000
 
 #: Texts with other white space than single spaces and single line breaks, or with the mark put between segments.
 _ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n\\n| \\n|\\n "
@@ -46,7 +46,7 @@ _ENDS = (".", "!", "?", "…", "。")
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Bytes of text encoded at once.
-PIECE = 8_000_000
+PIECE = 2_000_000
 
 
 class Encoder:
