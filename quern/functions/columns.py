@@ -1,8 +1,8 @@
-"""Column functions: whole-value codec, checksums, ratios."""
+"""Column functions: whole-value codec, checksums, bits, ratios. Python sees Arrow batches."""
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType
@@ -10,19 +10,50 @@ from pyspark.sql.types import BinaryType, LongType
 from quern.functions import kernels as K
 
 
-@F.pandas_udf(LongType())
-def block_crc(data: pd.Series) -> pd.Series:
+def _values(values: pa.Array, get, kind: pa.DataType) -> pa.Array:
+    """``get`` of each value's bytes; null stays null."""
+    return pa.array([get(v.as_buffer()) if v.is_valid else None for v in values], kind)
+
+
+@F.arrow_udf(LongType())
+def block_crc(data: pa.Array) -> pa.Array:
     """The format's CRC-32 of a binary column; null stays null."""
-    return pd.Series([None if d is None else K.crc32(d) for d in data], dtype="Int64")
+    return _values(data, K.crc32, pa.int64())
+
+
+@F.arrow_udf(LongType())
+def continued_crc(crc: pa.Array, data: pa.Array) -> pa.Array:
+    """The CRC-32 of earlier bytes, whose checksum is ``crc``, and ``data`` together; null if either is."""
+    return pa.array([K.crc32(v.as_buffer(), c) if v.is_valid and c is not None else None for c, v in zip(crc.to_pylist(), data)], pa.int64())
+
+
+def read_u32(data: Column, bit: int) -> Column:
+    """32 bits of each value from bit ``bit`` on; zeros past its end."""
+
+    @F.arrow_udf(LongType())
+    def one(values: pa.Array) -> pa.Array:
+        return _values(values, lambda v: K.read_u32(bytes(v), bit), pa.int64())
+
+    return one(data)
+
+
+def extract_bits(data: Column, start: int, end: int) -> Column:
+    """Bits [start, end) of each value, the last byte filled with zeros."""
+
+    @F.arrow_udf(BinaryType())
+    def one(values: pa.Array) -> pa.Array:
+        return _values(values, lambda v: K.extract_bits(bytes(v), start, end), pa.binary())
+
+    return one(data)
 
 
 def compress(data: Column, level: int = 9) -> Column:
     """Each value as a complete stream, many blocks if it needs them. For values that fit into a row."""
     K.checked_level(level)
 
-    @F.pandas_udf(BinaryType())
-    def one(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else K.compress(bytes(v), level) for v in values], dtype=object)
+    @F.arrow_udf(BinaryType())
+    def one(values: pa.Array) -> pa.Array:
+        return _values(values, lambda v: K.compress(v, level), pa.binary())
 
     return one(data)
 
@@ -34,15 +65,15 @@ def decompress(data: Column, verify_stream_crc: bool = True, mode: str = "FAILFA
 
     def get(v):
         try:
-            return K.decompress(bytes(v), verify_stream_crc)
+            return K.decompress(v, verify_stream_crc)
         except (K.InvalidFormat, K.DecompressionFailed, K.CrcMismatch):
             if mode == "FAILFAST":
                 raise
             return None
 
-    @F.pandas_udf(BinaryType())
-    def one(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else get(v) for v in values], dtype=object)
+    @F.arrow_udf(BinaryType())
+    def one(values: pa.Array) -> pa.Array:
+        return _values(values, get, pa.binary())
 
     return one(data)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bz2
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -266,7 +267,9 @@ def assemble(blocks, level: int) -> bytes:
 
 def compress(data: bytes, level: int = 9) -> bytes:
     """A whole value as one stream."""
-    return assemble([encode_block(b, level) for b in split(data, level)], level)
+    if memoryview(data).nbytes <= max_block_bytes(level):  # one block at most: the codec's own stream is that of ``assemble``
+        return bz2.compress(data, level)
+    return assemble([encode_block(b, level) for b in split(bytes(data), level)], level)
 
 
 @dataclass(frozen=True)
@@ -285,42 +288,75 @@ def find_streams(data: bytes, markers: list[Marker]) -> list[Stream]:
         raise InvalidFormat("no streams")
     if any(m.kind == BLOCK and m.bit_offset > true[-1].bit_offset for m in markers):
         raise InvalidFormat("blocks after the last stream")
+    blocks = [m.bit_offset for m in markers if m.kind == BLOCK]
     out, begin, level = [], 0, parse_header(data[:4])
     for e in true:
-        starts = [m.bit_offset for m in markers if m.kind == BLOCK and begin <= m.bit_offset < e.bit_offset]
+        starts = blocks[bisect_left(blocks, begin) : bisect_left(blocks, e.bit_offset)]
         out.append(Stream(level, list(zip(starts, [*starts[1:], e.bit_offset])), e.crc, e.bit_offset))
         begin, level = e.bit_offset + 80, e.next_level
     return out
 
 
-def decode_ranges(data: bytes, ranges: list[tuple[int, int]], level: int) -> list[tuple[bytes, int]]:
-    """Decoded bytes and checksum of each true block; markers that merely look like one join their neighbours.
+def longest_block(level: int) -> int:
+    """Bits that no block exceeds: codes have 20 bits at most, and the tables before them are shorter than the rest here."""
+    return 20 * 100_000 * checked_level(level) + 500_000
+
 
-    From each start the nearest end that gives a valid block is taken, so two split
-    blocks side by side are told apart.
+def true_blocks(window, ranges: list[tuple[int, int]], level: int):
+    """(first bit, end bit, data, stored, computed, error) of each true block; markers that merely look like one
+    join their neighbours.
+
+    ``window(a, z)`` gives bytes [a, z) and where they begin. From each start the nearest end
+    that gives a valid block is taken, so two split blocks side by side are told apart, and ends that lie
+    further off than any block reaches are not tried. A range that no end makes
+    valid comes out with its error, and its data if only the checksum differs.
     """
-    out, k = [], 0
+    k = 0
     while k < len(ranges):
-        error: Exception | None = None
+        start, found = ranges[k][0], None
         for z in range(k, len(ranges)):
+            end = ranges[z][1]
+            if z > k and end - start > longest_block(level):
+                break
+            data, first = window(start // 8, (end + 7) // 8)
             try:
-                got, stored, computed = decode_block(data, ranges[k][0], ranges[z][1], level)
+                out, stored, computed = decode_block(data, start - 8 * first, end - 8 * first, level)
             except DecompressionFailed as e:
-                error = error or e
+                found = found or (start, end, None, None, None, str(e.__cause__))
                 continue
             if stored == computed:
-                out.append((got, stored))
-                k = z + 1
+                found, k = (start, end, out, stored, computed, None), z
                 break
-            error = error or CrcMismatch(f"block at bit {ranges[k][0]}: stored {stored:08x}, computed {computed:08x}")
-        else:
-            raise error
+            found = found or (start, end, out, stored, computed, "checksum mismatch")
+        yield found
+        k += 1
+
+
+def decode_ranges(data: bytes, ranges: list[tuple[int, int]], level: int) -> list[tuple[bytes, int]]:
+    """Decoded bytes and checksum of each true block; the first bad one is raised."""
+    out = []
+    for start, _, got, stored, _, error in true_blocks(lambda a, z: (data[a:z], a), ranges, level):
+        if error:
+            raise (DecompressionFailed if got is None else CrcMismatch)(f"block at bit {start}: {error}")
+        out.append((got, stored))
     return out
 
 
+def _whole(data: bytes) -> bytes | None:
+    """The content, if the data are one valid stream and nothing else."""
+    d = bz2.BZ2Decompressor()
+    try:
+        out = d.decompress(data)
+    except (OSError, ValueError):
+        return None
+    return out if d.eof and not d.unused_data else None
+
+
 def decompress(data: bytes, verify_stream_crc: bool = True) -> bytes:
     """A whole value: all of its streams."""
-    out = []
+    if (one := _whole(data)) is not None:  # whatever looks like a marker in it is none
+        return one
+    out, data = [], bytes(data)
     for s in find_streams(data, scan(data)):
         blocks = decode_ranges(data, s.ranges, s.level)
         if verify_stream_crc and (crc := fold_crcs(c for _, c in blocks)) != s.stored_crc:

@@ -1,4 +1,7 @@
-"""Decoding: every block of every stream is a row, decoded where its bytes are read."""
+"""Decoding: every block of every stream is a row, decoded where its bytes are read.
+
+Which ranges are blocks is settled on markers first, so nothing above the decoding tasks moves payload.
+"""
 
 from __future__ import annotations
 
@@ -10,64 +13,34 @@ from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
 from quern.functions.columns import fold_crc
-from quern.operators.markers import block_ranges, file_markers, format_errors, markers, streams
+from quern.operators.markers import block_ranges, dense, file_markers, format_errors, markers, streams
 from quern.operators.schemas import BLOCK_RESULT
+from quern.plans.batches import batches
 from quern.plans.storage import frozen
 from quern.sources.files import read_range
 
-_KINDS = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
 _NAMES = [x.split()[0] for x in BLOCK_RESULT.split(", ")]
+_RANGE = ["file", "stream_idx", "block_idx", "level", "start_bit", "end_bit"]
+#: A value of up to so many bytes is scanned and decoded by one task; a larger one's blocks are dealt out.
+IN_PLACE = 16 << 20
 
 
-def _decoded(window: Callable[[int, int], tuple[bytes, int]], start: int, end: int, level: int):
-    data, first = window(start // 8, (end + 7) // 8)
-    return K.decode_block(data, start - 8 * first, end - 8 * first, level)
+def _result(r: dict, window, payload: bool = True) -> tuple:
+    """A row of ``BLOCK_RESULT`` for a range that is taken as it is."""
+    start, end, data, stored, computed, error = next(K.true_blocks(window, [(r["start_bit"], r["end_bit"])], r["level"]))
+    return (r["file"], r["stream_idx"], r["block_idx"], r["level"], start, end, data if payload else None, stored, computed, error is None, error)
 
 
-def decode_row(window, start: int, end: int, level: int, earlier: list[int], later: list[int]):
-    """(end_bit, data, stored, computed, error) of a range, or None if it is the rest of an earlier block.
+def _rows(rows):
+    return batches(rows, _NAMES, _KINDS, 6)
 
-    ``window(a, z)`` gives bytes [a, z) of the file and where they begin. A range that does
-    not decode by itself is tried together with those after it, nearest end first. One that
-    still fails is looked for in a block that begins before it.
-    """
-    error, mismatch = None, None
-    for z in [end, *later]:
-        try:
-            out, stored, computed = _decoded(window, start, z, level)
-        except K.DecompressionFailed as e:
-            error = error or str(e)
-            continue
-        if stored == computed:
-            return z, out, stored, computed, None
-        mismatch = mismatch or (end, out, stored, computed, "checksum mismatch")
-    for a in reversed(earlier):
-        for z in [end, *later]:
-            try:
-                _, stored, computed = _decoded(window, a, z, level)
-            except K.DecompressionFailed:
-                continue
-            if stored == computed:
-                return None
-    return mismatch or (end, None, None, None, error)
-
-
-def _result(r: dict, window):
-    """A batch of one block for a range, or none."""
-    got = decode_row(window, r["start_bit"], r["end_bit"], r["level"], r["earlier"], r["later"])
-    if got:
-        end, data, stored, computed, error = got
-        row = (r["file"], r["stream_idx"], r["block_idx"], r["level"], r["start_bit"], end, data, stored, computed, error is None, error)
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS)], _NAMES)
-
-
-def _blocks(source):
+
+def _blocks(source, payload: bool = True):
     """``source(row)`` gives the window function of a row, which is a dict of a range."""
 
-    def work(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                yield from _result(r, source(r))
+    def work(found):
+        yield from _rows(_result(r, source(r), payload) for b in found for r in b.to_pylist())
 
     return work
 
@@ -76,58 +49,143 @@ def _from_file(r):
     return lambda a, z: (read_range(r["file"], a, z), a)
 
 
-def decode_file_blocks(ranges: DataFrame, tasks: int | None = None) -> DataFrame:
-    """A result row for each true block. ``ranges`` come from ``block_ranges``; tasks read their own bytes.
+def decode_file_blocks(ranges: DataFrame, tasks: int | None = None, payload: bool = True) -> DataFrame:
+    """A result row for each range. ``ranges`` come from ``block_ranges`` or ``true_ranges``; tasks read their own bytes.
 
-    Ranges are dealt out evenly, so one large file keeps all tasks busy.
+    Ranges are dealt out evenly, so one large file keeps all tasks busy. Without ``payload`` the
+    blocks are checked and their data is null.
     """
     n = tasks or int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(n, "file", "stream_idx", "block_idx").mapInArrow(_blocks(_from_file), BLOCK_RESULT)
+    return ranges.select(*_RANGE).repartition(n, "file", "stream_idx", "block_idx").mapInArrow(_blocks(_from_file, payload), BLOCK_RESULT)
 
 
-def decoded_files(ranges: DataFrame) -> DataFrame:
-    """The same, with the ranges' partitions and order kept."""
-    return ranges.mapInArrow(_blocks(_from_file), BLOCK_RESULT)
+def decoded_ranges(ranges: DataFrame, source: Callable) -> DataFrame:
+    """The same, with the ranges' partitions and order kept. ``source(row)`` gives what reads the bytes of a row's file."""
+    return ranges.select(*_RANGE).mapInArrow(_blocks(source), BLOCK_RESULT)
 
 
-def decoded_bytes(ranges: DataFrame, data: bytes) -> DataFrame:
-    """The same for ranges of one value at hand, which goes to the tasks once for each executor."""
-    shared = ranges.sparkSession.sparkContext.broadcast(data)
-    return ranges.mapInArrow(_blocks(lambda r: lambda a, z: (shared.value[a:z], a)), BLOCK_RESULT)
+def decoded_files(ranges: DataFrame) -> DataFrame:
+    return decoded_ranges(ranges, _from_file)
 
 
 #: Consecutive blocks of a value that are decoded from one window of its bytes.
 CHUNK = 16
 
 
-def _chunks(batches):
-    for b in batches:
+def _windows(ranges: DataFrame, df: DataFrame, key: str, data: str) -> DataFrame:
+    """``file, a, rs, w``: groups of ranges (columns ``group, rs, a, z``: bytes) with the bytes they need.
+
+    A value is joined once, to all its groups, so little more than its bytes go to Python.
+    """
+    groups = ranges.groupBy("file").agg(F.collect_list(F.struct("a", "z", "rs")).alias("cs"))
+    values = df.select(F.col(key).cast("string").alias("file"), F.col(data).alias("content"))
+    cut = F.expr("explode(transform(cs, c -> struct(c.a as a, c.rs as rs, substring(content, cast(c.a + 1 as int), cast(c.z - c.a as int)) as w)))")
+    return groups.join(values, "file").select("file", cut.alias("c")).select("file", "c.a", "c.rs", "c.w")
+
+
+def _each(found, of):
+    """``of(row, window)`` for each row of ``_windows``, one at a time."""
+    for b in found:
         for i in range(b.num_rows):
             c = b.slice(i, 1).to_pylist()[0]
-            for r in c["rs"]:
-                yield from _result({"file": c["file"], **r}, lambda a, z: (c["w"][a - c["a"] : z - c["a"]], a))  # noqa: B023
+            yield from of(c, lambda a, z: (c["w"][a - c["a"] : z - c["a"]], a))  # noqa: B023
 
 
-def decode_value_blocks(ranges: DataFrame, df: DataFrame, key: str = "file", data: str = "content") -> DataFrame:
-    """The same for a binary column.
+def decode_value_blocks(ranges: DataFrame, df: DataFrame, key: str = "file", data: str = "content", payload: bool = True) -> DataFrame:
+    """The same as ``decode_file_blocks`` for a binary column, in groups of ``CHUNK`` blocks."""
+    groups = ranges.groupBy("file", "stream_idx", F.expr(f"block_idx div {CHUNK}").alias("c")).agg(F.collect_list(F.struct(*_RANGE[1:])).alias("rs"), F.expr("min(start_bit) div 8").alias("a"), F.expr("(max(end_bit) + 7) div 8").alias("z"))
+
+    def work(found):
+        yield from _rows(_each(found, lambda c, window: (_result({"file": c["file"], **r}, window, payload) for r in c["rs"])))
+
+    return _windows(groups, df, key, data).mapInArrow(work, BLOCK_RESULT)
 
-    A value is joined once, to all its ranges, and cut into windows of ``CHUNK`` blocks and
-    their neighbours, so no more than about two times its bytes go to Python.
-    """
-    one = F.struct("stream_idx", "block_idx", "level", "start_bit", "end_bit", "earlier", "later")
-    a = F.min(F.least("start_bit", F.coalesce(F.array_min("earlier"), "start_bit")))
-    z = F.max(F.greatest("end_bit", F.coalesce(F.array_max("later"), "end_bit")))
-    chunks = ranges.groupBy("file", "stream_idx", F.expr(f"block_idx div {CHUNK}").alias("c")).agg(F.collect_list(one).alias("rs"), a.alias("a"), z.alias("z"))
-    chunks = chunks.groupBy("file").agg(F.collect_list(F.struct(F.expr("a div 8").alias("a"), F.expr("(z + 7) div 8").alias("z"), "rs")).alias("cs"))
-    values = df.select(F.col(key).cast("string").alias("file"), F.col(data).alias("content"))
-    cut = F.expr("explode(transform(cs, c -> struct(c.a as a, c.rs as rs, substring(content, cast(c.a + 1 as int), cast(c.z - c.a as int)) as w)))")
-    rows = chunks.join(values, "file").select("file", cut.alias("c")).select("file", "c.a", "c.rs", "c.w")
-    return rows.mapInArrow(_chunks, BLOCK_RESULT)
 
+def _joined_runs(r, window):
+    """The true blocks of a run of ranges that do not decode by themselves."""
+    ends = [(x["start_bit"], x["end_bit"]) for x in r["rs"]]
+    crcs = {x["start_bit"]: x["crc"] for x in r["rs"]}
+    return [(r["file"], r["rs"][0]["stream_idx"], r["rs"][0]["level"], start, end, crcs[start]) for start, end, *_ in K.true_blocks(window, ends, r["rs"][0]["level"])]
 
-def numbered(results: DataFrame) -> DataFrame:
-    """Block numbers without the gaps that merged ranges leave."""
-    return results.withColumn("block_idx", F.expr("cast(row_number() over (partition by file, stream_idx order by start_bit) - 1 as int)"))
+
+_JOINED = "file string, stream_idx int, level int, start_bit bigint, end_bit bigint, crc bigint"
+_JOINED_NAMES = [x.split()[0] for x in _JOINED.split(", ")]
+_JOINED_KINDS = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+
+
+def true_ranges(m: DataFrame, check: Callable[[DataFrame], DataFrame], join: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """``block_ranges`` with the ranges put together that a false marker splits, numbered without gaps; and the
+    streams whose checksum must be looked at again, if there are any.
+
+    Streams whose checksum agrees with those of their markers have no false marker and are taken as they are.
+    The ranges of the others are checked one by one (``check``, without payload), and each run of neighbours that fail, however long, is
+    read again from its first start on (``join``). Only ranges are exchanged, never payload.
+    """
+    ranges = block_ranges(m)
+    doubtful = frozen(marker_check(m).where("not ok").select("file", "stream_idx"))
+    if doubtful.isEmpty():
+        return ranges, None
+    ranges = frozen(ranges)
+    keys = ["file", "stream_idx"]
+    status = check(ranges.join(doubtful, keys, "left_semi")).select("file", "stream_idx", "block_idx", F.col("crc_valid").alias("ok"))
+    status = status.withColumn("run", F.expr("count_if(ok) over (partition by file, stream_idx order by block_idx)")).where("not ok")
+    runs = frozen(ranges.join(status, [*keys, "block_idx"]).groupBy("file", "stream_idx", "run").agg(F.array_sort(F.collect_list(F.struct("start_bit", "end_bit", "crc", "stream_idx", "level"))).alias("rs")).where("size(rs) > 1"))
+    if runs.isEmpty():
+        return ranges, doubtful
+    put = join(runs.select("file", F.expr("rs[0].start_bit div 8").alias("a"), F.expr("(rs[size(rs) - 1].end_bit + 7) div 8").alias("z"), "rs")).select(*_JOINED_NAMES)
+    split = runs.select("file", "stream_idx", F.explode("rs.start_bit").alias("start_bit"))
+    return frozen(dense(ranges.join(split, [*keys, "start_bit"], "left_anti").select(*_JOINED_NAMES).unionByName(put))), doubtful
+
+
+def _file_runs(runs: DataFrame) -> DataFrame:
+    def work(found):
+        yield from batches((x for b in found for r in b.to_pylist() for x in _joined_runs(r, _from_file(r))), _JOINED_NAMES, _JOINED_KINDS, 0)
+
+    return runs.repartition("file", "a").mapInArrow(work, _JOINED)
+
+
+def _value_runs(df: DataFrame, key: str, data: str):
+    def work(found):
+        yield from batches(_each(found, _joined_runs), _JOINED_NAMES, _JOINED_KINDS, 0)
+
+    return lambda runs: _windows(runs, df, key, data).mapInArrow(work, _JOINED)
+
+
+def file_ranges(m: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``true_ranges`` of files."""
+    return true_ranges(m, lambda r: decode_file_blocks(r, payload=False), _file_runs)
+
+
+def value_ranges(m: DataFrame, df: DataFrame, key: str = "file", data: str = "content") -> tuple[DataFrame, DataFrame | None]:
+    """``true_ranges`` of a binary column."""
+    return true_ranges(m, lambda r: decode_value_blocks(r, df, key, data, payload=False), _value_runs(df, key, data))
+
+
+def whole_blocks(file: str, content: bytes, mode: str = "FAILFAST", verify_stream_crc: bool = True):
+    """The rows of ``BLOCK_RESULT`` of a whole file at hand. Mode FAILFAST raises the first error."""
+    strict = mode == "FAILFAST"
+    try:
+        found = K.find_streams(content, K.scan(content))
+    except K.InvalidFormat as e:
+        if strict:
+            raise K.InvalidFormat(f"invalid format: {file}: {e}") from e
+        return
+    for i, s in enumerate(found):
+        crc = 0
+        for k, (start, end, data, stored, computed, error) in enumerate(K.true_blocks(lambda a, z: (content[a:z], a), s.ranges, s.level)):
+            if error and strict:
+                raise K.DecompressionFailed(f"block {k} of {file}: {error}")
+            crc = K.fold_crc(crc, stored or 0)
+            yield file, i, k, s.level, start, end, data, stored, computed, error is None, error
+        if strict and verify_stream_crc and crc != s.stored_crc:
+            raise K.CrcMismatch(f"stream checksum mismatch: {file}, stream {i}")
+
+
+def _in_place(mode: str, verify_stream_crc: bool):
+    def work(found):
+        yield from _rows(x for b in found for k, v in zip(b.column(0).to_pylist(), b.column(1)) for x in whole_blocks(k, v.as_py(), mode, verify_stream_crc))
+
+    return work
 
 
 def stream_check(results: DataFrame, stream_table: DataFrame) -> DataFrame:
@@ -171,35 +229,85 @@ def failure_groups(status: DataFrame) -> DataFrame:
     return run.groupBy("file", "stream_idx", "run").agg(F.min("block_idx").alias("first_idx"), F.max("block_idx").alias("last_idx"), F.min("start_bit").alias("start_bit"), F.max("end_bit").alias("end_bit")).drop("run")
 
 
+def _checked_mode(mode: str) -> None:
+    if mode not in ("FAILFAST", "PERMISSIVE"):
+        raise ValueError(f"mode must be FAILFAST or PERMISSIVE, not {mode}")
+
+
 def failfast(results: DataFrame, checks: DataFrame | None, errors: DataFrame) -> DataFrame:
-    """The blocks, where any error of format, block or stream ends the query that reads them."""
+    """The blocks, where any error of format, block or stream ends the query that reads them.
+
+    ``checks`` and ``errors`` are small and looked at right away; what they tell is raised by the query.
+    """
     bad = errors.select(F.concat(F.lit("invalid format: "), "file", F.lit(": "), "error").alias("why"))
     if checks is not None:
         bad = bad.unionAll(checks.where("not ok").select(F.concat(F.lit("stream checksum mismatch: "), "file", F.lit(", stream "), F.col("stream_idx").cast("string"))))
-    why = bad.agg(F.min("why").alias("why"))
-    failed = F.when(~F.col("crc_valid"), F.raise_error(F.concat(F.lit("block "), F.col("block_idx").cast("string"), F.lit(" of "), "file", F.lit(": "), F.coalesce("error", F.lit("")))))
-    # One row: the first complaint, or null. A left join onto it keeps files that have no block.
-    out = why.withColumn("_stop", F.when(F.col("why").isNotNull(), F.raise_error(F.col("why"))).cast("string")).join(results.withColumn("_bad", failed.cast("string")), F.col("_stop").isNull(), "inner")
-    return out.where("_bad is null").select(*results.columns)
+    why = bad.agg(F.min("why").alias("why")).first()["why"]
+    if why is not None:
+        one = results.sparkSession.range(1).where(F.raise_error(F.lit(why)).cast("string").isNull())
+        return one.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in results.schema])
+    failed = F.raise_error(F.concat(F.lit("block "), F.col("block_idx").cast("string"), F.lit(" of "), "file", F.lit(": "), F.coalesce("error", F.lit("")))).cast("boolean")
+    return results.where(F.when(~F.col("crc_valid"), failed).otherwise(True))
 
 
 def decode(df: DataFrame, key: str = "file", data: str = "content", mode: str = "FAILFAST", verify_stream_crc: bool = True) -> DataFrame:
     """Blocks of a binary column: ``file, stream_idx, block_idx, data`` and the checks' columns.
 
-    Mode PERMISSIVE keeps bad blocks as rows with an ``error``; FAILFAST raises.
+    Mode PERMISSIVE keeps bad blocks as rows with an ``error``; FAILFAST raises. Null values have no
+    blocks. A value of up to ``IN_PLACE`` bytes is decoded where it is; a larger one's blocks are dealt out.
     """
-    m = frozen(markers(df, key, data))
-    results = numbered(decode_value_blocks(block_ranges(m), df, key, data))
-    return _checked(results, m, df.select(F.col(key).cast("string").alias("file")), mode, verify_stream_crc)
+    _checked_mode(mode)
+    rows = df.select(F.col(key).cast("string").alias("file"), F.col(data).cast("binary").alias("content")).where("content is not null")
+    small = rows.where(F.octet_length("content") <= IN_PLACE).mapInArrow(_in_place(mode, verify_stream_crc), BLOCK_RESULT)
+    large = rows.where(F.octet_length("content") > IN_PLACE)
+    if large.isEmpty():
+        return small
+    m = frozen(markers(large))
+    ranges, doubtful = value_ranges(m, large)
+    return small.unionAll(_checked(decode_value_blocks(ranges, large), ranges, doubtful if verify_stream_crc else None, m, large.select("file"), mode))
+
+
+def checked_values(df: DataFrame, key: str = "file", data: str = "content") -> DataFrame:
+    """``file, n_streams, n_blocks, bad_blocks, bad_streams, error`` of each value, which is decoded where it is.
+
+    A stream with a bad block is not checked as a whole. ``error`` tells why a value is no sequence of streams. Null values
+    have null in all columns but the first. Rows need no key of their own.
+    """
+
+    def of(file, content):
+        if content is None:
+            return file, None, None, None, None, None
+        try:
+            found = K.find_streams(content, K.scan(content))
+        except K.InvalidFormat as e:
+            return file, 0, 0, 0, 0, str(e)
+        n = bad = off = 0
+        for s in found:
+            crc, good = 0, True
+            for *_, stored, _, error in K.true_blocks(lambda a, z: (content[a:z], a), s.ranges, s.level):
+                n, bad, good = n + 1, bad + bool(error), good and not error
+                crc = K.fold_crc(crc, stored or 0)
+            off += good and crc != s.stored_crc
+        return file, len(found), n, bad, off, None
+
+    def work(found):
+        for b in found:
+            rows = list(zip(*(of(k, v.as_py()) for k, v in zip(b.column(0).to_pylist(), b.column(1))))) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), *[pa.int64()] * 4, pa.string()))], ["file", "n_streams", "n_blocks", "bad_blocks", "bad_streams", "error"])
+
+    rows = df.select(F.col(key).cast("string").alias("file"), F.col(data).cast("binary").alias("content"))
+    return rows.mapInArrow(work, "file string, n_streams long, n_blocks long, bad_blocks long, bad_streams long, error string")
 
 
 def decode_files(spark: SparkSession, path: str, mode: str = "FAILFAST", verify_stream_crc: bool = True, part_bytes: int = 32 << 20) -> DataFrame:
-    """The same for a file or folder, read in parts."""
+    """The same for a file or folder, read in parts. Decoded bytes are not exchanged between tasks."""
     from quern.sources.files import sizes
 
+    _checked_mode(mode)
     m = frozen(file_markers(spark, path, part_bytes))
     files = spark.createDataFrame([(f,) for f, _ in sizes(path)], "file string")
-    return _checked(numbered(decode_file_blocks(block_ranges(m))), m, files, mode, verify_stream_crc)
+    ranges, doubtful = file_ranges(m)
+    return _checked(decode_file_blocks(ranges), ranges, doubtful if verify_stream_crc else None, m, files, mode)
 
 
 def marker_check(m: DataFrame) -> DataFrame:
@@ -208,25 +316,17 @@ def marker_check(m: DataFrame) -> DataFrame:
     A stream that passes is as its writer left it, as far as its blocks' checksums go, which
     decoding verifies. One that fails may just hold a marker that only looks like one.
     """
-    blocks = block_ranges(m).select("file", "stream_idx", "start_bit", F.col("crc").alias("stored_crc"))
-    return stream_check(blocks, streams(m))
+    return stream_check(block_ranges(m).withColumnRenamed("crc", "stored_crc"), streams(m))
 
 
-def _checked(results, m, files, mode, verify_stream_crc):
+def _checked(results, ranges, doubtful, m, files, mode):
+    """Streams are checked by the checksums that their true ranges store; decoding holds these against the data."""
     if mode == "PERMISSIVE":
         return results
-    if mode != "FAILFAST":
-        raise ValueError(f"mode must be FAILFAST or PERMISSIVE, not {mode}")
-    checks = None
-    if verify_stream_crc:
-        doubtful = frozen(marker_check(m).where("not ok").select("file", "stream_idx"))
-        if not doubtful.isEmpty():
-            own = results.join(doubtful, ["file", "stream_idx"], "left_semi")
-            checks = stream_check(own, streams(m).join(doubtful, ["file", "stream_idx"], "left_semi"))
+    checks = doubtful and stream_check(ranges.withColumnRenamed("crc", "stored_crc"), streams(m).join(doubtful, ["file", "stream_idx"], "left_semi"))
     return failfast(results, checks, format_errors(m, files))
 
 
 def whole_values(results: DataFrame) -> DataFrame:
     """``file, data``: each file's blocks in order, put together, for contents that fit into a row."""
-    parts = results.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("stream_idx", "block_idx", "data"))).alias("p"))
-    return parts.select("file", F.expr("unhex(array_join(transform(p, x -> hex(x.data)), ''))").alias("data"))
+    return results.groupBy("file").agg(F.expr("listagg(data) within group (order by stream_idx, block_idx)").alias("data"))

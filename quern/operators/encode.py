@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
 from quern.operators.schemas import ENCODED
+from quern.plans.batches import cuts
 from quern.plans.prefix import prefix_sum
 
 
@@ -22,20 +24,18 @@ def split_blocks(df: DataFrame, key: str, data: str, level: int = 9) -> DataFram
 def tile_rows(df: DataFrame, key: str, order: str, data: str, level: int = 9) -> DataFrame:
     """``key, block_idx, data``: the values of a key's rows, in order, as one run of bytes in blocks.
 
-    A row's place is a prefix sum over sizes alone; then each row is cut where blocks
-    end, and only pieces of the same block meet in a task.
+    A row's place is a prefix sum over sizes; then each row is cut where blocks
+    end, and only pieces of the same block meet in a task. Null orders come first; rows of a key with
+    the same order keep no particular order among them. Null and empty values add nothing.
     """
     n = K.max_block_bytes(level)
-    rows = df.select(F.col(key).alias("_k"), F.col(order).cast("long").alias("_o"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("_v"))
-    places = prefix_sum(rows.select("_k", "_o", F.octet_length("_v").cast("long").alias("_n")), "_k", "_o", "_n", "_at")
-    places = places.select(F.col("_k").alias("_k2"), F.col("_o").alias("_o2"), "_at")
-    rows = rows.where("octet_length(_v) > 0").join(places, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_o") == F.col("_o2")))
-    pieces = rows.select("_k", "_o", "_v", "_at", F.expr(f"explode(sequence(_at div {n}, (_at + octet_length(_v) - 1) div {n}))").alias("_b"))
+    rows = df.select(F.col(key).alias("_k"), F.col(order).cast("long").alias("_o"), F.col(data).cast("binary").alias("_v")).where("octet_length(_v) > 0")
+    rows = prefix_sum(rows.withColumn("_n", F.octet_length("_v").cast("long")), "_k", "_o", "_n", "_at")
+    pieces = rows.select("_k", "_v", "_at", F.expr(f"explode(sequence(_at div {n}, (_at + octet_length(_v) - 1) div {n}))").alias("_b"))
     begin = f"greatest(_b * {n} - _at, 0L)"
-    pieces = pieces.select("_k", "_o", "_b", F.expr(f"substring(_v, cast({begin} + 1 as int), cast(least(_at + octet_length(_v), (_b + 1) * {n}) - _at - {begin} as int))").alias("_p"))
-    blocks = pieces.groupBy("_k", "_b").agg(F.array_sort(F.collect_list(F.struct("_o", "_p"))).alias("_ps"))
-    joined = F.expr("unhex(array_join(transform(_ps, x -> hex(x._p)), ''))")
-    return blocks.select(F.col("_k").alias(key), F.col("_b").cast("int").alias("block_idx"), joined.alias("data"))
+    pieces = pieces.select("_k", "_at", "_b", F.expr(f"substring(_v, cast({begin} + 1 as int), cast(least(_at + octet_length(_v), (_b + 1) * {n}) - _at - {begin} as int))").alias("_p"))
+    blocks = pieces.groupBy("_k", "_b").agg(F.expr("listagg(_p) within group (order by _at)").alias("data"))
+    return blocks.select(F.col("_k").alias(key), F.col("_b").cast("int").alias("block_idx"), "data")
 
 
 def encode_blocks(blocks: DataFrame, level: int = 9, data: str = "data") -> DataFrame:
@@ -43,14 +43,15 @@ def encode_blocks(blocks: DataFrame, level: int = 9, data: str = "data") -> Data
     K.checked_level(level)
     keep = [c for c in blocks.columns if c != data]
 
-    def work(batches):
-        for b in batches:
-            others = b.select(keep)
-            for i, v in enumerate(b.column(b.schema.get_field_index(data))):
-                raw = v.as_py()
-                bits, n, crc = K.encode_block(raw, level)
-                made = [pa.array([x], k) for x, k in ((len(raw), pa.int64()), (bits, pa.binary()), (n, pa.int64()), (crc, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*others.slice(i, 1).columns, *made], [*keep, "raw_len", "bits", "bit_len", "block_crc"])
+    def work(found):
+        for b in found:
+            values, others = b.column(b.schema.get_field_index(data)), b.select(keep)
+            # A batch is passed on in parts of bounded bytes, by the length of what goes in.
+            for a, z in cuts(pc.binary_length(values).fill_null(0).to_pylist()):
+                raw = [v.as_py() for v in values[a:z]]
+                cols = list(zip(*(K.encode_block(v, level) for v in raw)))
+                made = [pa.array(c, k) for c, k in zip(([len(v) for v in raw], *cols), (pa.int64(), pa.binary(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*others.slice(a, z - a).columns, *made], [*keep, "raw_len", "bits", "bit_len", "block_crc"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name != data)
     return blocks.mapInArrow(work, f"{fields}, {ENCODED}")
@@ -59,7 +60,8 @@ def encode_blocks(blocks: DataFrame, level: int = 9, data: str = "data") -> Data
 def positions(encoded: DataFrame, key: str) -> DataFrame:
     """Adds ``bit_pos``, where each block's bits begin in its stream. The window sees no payload."""
     place = encoded.select(key, "block_idx", "bit_len").withColumn("bit_pos", F.expr(f"32 + coalesce(sum(bit_len) over (partition by `{key}` order by block_idx rows between unbounded preceding and 1 preceding), 0L)"))
-    return encoded.join(place.select(key, "block_idx", "bit_pos"), [key, "block_idx"])
+    place = place.select(F.col(key).alias("_key"), F.col("block_idx").alias("_idx"), "bit_pos")
+    return encoded.join(place, F.col(key).eqNullSafe(F.col("_key")) & (F.col("block_idx") == F.col("_idx"))).drop("_key", "_idx")
 
 
 def placed(encoded: DataFrame, key: str) -> DataFrame:
@@ -69,13 +71,18 @@ def placed(encoded: DataFrame, key: str) -> DataFrame:
     written in any order.
     """
 
-    def work(batches):
-        for b in batches:
-            for i, (bits, n, pos) in enumerate(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bits", "bit_len", "bit_pos")))):
-                w = K.BitWriter()
-                w.write_bits(0, pos % 8)
-                w.copy_bits(bits, 0, n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([pos // 8], pa.int64()), pa.array([w.getvalue()], pa.binary())], [key, "block_idx", "byte_pos", "bytes"])
+    def one(bits, n, pos):
+        w = K.BitWriter()
+        w.write_bits(0, pos % 8)
+        w.copy_bits(bits, 0, n)
+        return w.getvalue()
+
+    def work(found):
+        for b in found:
+            bits, n, pos = (b.column(b.schema.get_field_index(c)) for c in ("bits", "bit_len", "bit_pos"))
+            for a, z in cuts(pc.binary_length(bits).to_pylist()):
+                made = [one(x.as_py(), k, p) for x, k, p in zip(bits[a:z], n[a:z].to_pylist(), pos[a:z].to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[a:z], b.column(1)[a:z], pa.array([p // 8 for p in pos[a:z].to_pylist()], pa.int64()), pa.array(made, pa.binary())], [key, "block_idx", "byte_pos", "bytes"])
 
     p = positions(encoded, key).select(key, "block_idx", "bits", "bit_len", "bit_pos")
     kind = p.schema[key].dataType.simpleString()
@@ -89,13 +96,13 @@ def assemble(encoded: DataFrame, key: str, level: int = 9, keys: DataFrame | Non
     """
     K.checked_level(level)
 
-    @F.udf("binary")
-    def put(blocks):
-        return K.assemble([(bytes(b["bits"]), b["bit_len"], b["block_crc"]) for b in blocks or []], level)
+    @F.arrow_udf("binary")
+    def put(blocks: pa.Array) -> pa.Array:
+        return pa.array([K.assemble([(b["bits"], b["bit_len"], b["block_crc"]) for b in x.as_py() or []], level) for x in blocks], pa.binary())
 
     grouped = encoded.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block_idx", "bits", "bit_len", "block_crc"))).alias("_b"))
     if keys is not None:
-        grouped = keys.select(key).distinct().join(grouped, key, "left")
+        grouped = keys.select(key).distinct().withColumnRenamed(key, "_key").join(grouped, F.col("_key").eqNullSafe(F.col(key)), "left").select(F.col("_key").alias(key), "_b")
     return grouped.select(key, put("_b").alias("content"))
 
 

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from quern.functions import kernels as K
 from quern.operators.schemas import MARKER
 
-#: Neighbours that a block range knows on either side, for markers that merely look like one.
-REACH = 8
 #: Bytes of a file scanned by one task.
 PART = 32 << 20
 
@@ -74,19 +72,21 @@ def streams(m: DataFrame) -> DataFrame:
 
 
 def block_ranges(m: DataFrame) -> DataFrame:
-    """``file, stream_idx, block_idx, level, start_bit, end_bit, crc, earlier, later``.
+    """``file, stream_idx, block_idx, level, start_bit, end_bit, crc``.
 
-    A range ends where the next marker begins. ``earlier`` holds the nearest starts before it and
-    ``later`` the nearest ends after it in the stream, for blocks that a false marker splits.
+    A range ends where the next marker begins. It is a block, unless a marker that merely looks like one
+    splits it: see ``decode.true_ranges``.
     """
     w = "over (partition by file order by bit_offset"
     t = true_markers(m).selectExpr("file", "kind", "bit_offset", "crc", f"cast(coalesce(count_if(kind = 'E') {w} rows between unbounded preceding and 1 preceding), 0) as int) as stream_idx", f"last(next_level, true) {w} rows between unbounded preceding and 1 preceding) as level", f"lead(bit_offset) {w}) as end_bit")
-    s = "over (partition by file, stream_idx order by bit_offset"
-    return t.where("kind = 'B' and end_bit is not null").selectExpr(
-        "file", "stream_idx", f"cast(row_number() {s}) - 1 as int) as block_idx", "level", "bit_offset as start_bit", "end_bit", "crc",
-        f"collect_list(bit_offset) {s} rows between {REACH} preceding and 1 preceding) as earlier",
-        f"collect_list(end_bit) {s} rows between 1 following and {REACH} following) as later",
-    )
+    t = t.where("kind = 'B' and end_bit is not null").selectExpr("file", "stream_idx", "level", "bit_offset as start_bit", "end_bit", "crc")
+    return dense(t)
+
+
+def dense(ranges: DataFrame) -> DataFrame:
+    """Numbers the ranges of each stream from 0. The window sees markers, never payload."""
+    idx = F.expr("cast(row_number() over (partition by file, stream_idx order by start_bit) - 1 as int)")
+    return ranges.select("file", "stream_idx", idx.alias("block_idx"), "level", "start_bit", "end_bit", "crc")
 
 
 def format_errors(m: DataFrame, files: DataFrame) -> DataFrame:

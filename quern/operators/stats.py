@@ -21,11 +21,15 @@ def decoder_stats(results: DataFrame, streams: DataFrame, elapsed: float | None
     bits_consumed, progress`` and, with seconds, ``decompression_rate``.
 
     ``blocks_total`` counts markers, false ones too; merged blocks count once as completed,
-    so ``progress`` is completed and failed by rows of the result.
+    so ``progress`` is completed and failed by rows of the result. ``bits_consumed`` is the end of the last
+    valid block, of all files together.
     """
-    r = results.agg(F.count("*").alias("n"), F.expr("count_if(crc_valid)").alias("blocks_completed"), F.expr("count_if(not crc_valid)").alias("blocks_failed"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes_out"), F.coalesce(F.sum(F.col("end_bit") - F.col("start_bit")), F.lit(0)).alias("bits_consumed"))
-    s = streams.agg(F.coalesce(F.sum("n_ranges"), F.lit(0)).alias("blocks_total"), F.count("*").alias("streams_total"))
-    d = s.join(r, F.lit(True)).withColumn("progress", ratio(F.col("blocks_completed"), F.col("n"))).drop("n")
+    r = results.groupBy("file").agg(F.count("*").alias("n"), F.count_if("crc_valid").alias("good"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("bytes_out"), F.coalesce(F.max(F.when(F.col("crc_valid"), F.col("end_bit"))), F.lit(0)).alias("bits"))
+    s = streams.groupBy("file").agg(F.sum("n_ranges").alias("ranges"), F.count("*").alias("streams"))
+    none = lambda kind: F.lit(0).cast("long").alias(kind)
+    both = r.select("n", "good", "bytes_out", "bits", none("ranges"), none("streams")).unionByName(s.select(*map(none, ("n", "good", "bytes_out", "bits")), "ranges", "streams"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    d = both.agg(total("ranges").alias("blocks_total"), total("streams").alias("streams_total"), total("good").alias("blocks_completed"), total(F.col("n") - F.col("good")).alias("blocks_failed"), total("bytes_out").alias("bytes_out"), total("bits").alias("bits_consumed"), ratio(total("good"), total("n")).alias("progress"))
     return d if elapsed is None else d.withColumn("elapsed", F.lit(float(elapsed))).withColumn("decompression_rate", ratio(F.col("bytes_out"), F.col("elapsed")))
 
 

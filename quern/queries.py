@@ -5,15 +5,20 @@ Level 1 is used where the number of blocks matters, as its blocks are the smalle
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
-from quern.functions.columns import block_crc, compress, decompress, fold_crc, max_block_bytes, ratio
+from quern.functions.columns import block_crc, compress, continued_crc, decompress, extract_bits, fold_crc, max_block_bytes, ratio, read_u32
 from quern.operators import decode, encode, markers, stats
 from quern.plans.spread import spread
 from quern.plans.storage import fresh_folder, stored
-from quern.sources.bzip2 import write_files
+from quern.sources.bzip2 import write_files, write_streams
+from quern.sources.files import located
+from quern.streaming.batches import write_stream
+from quern.streaming.files import DecoderOptions, EncoderOptions
 
 SIZE_1 = K.max_block_bytes(1)
 
@@ -48,28 +53,40 @@ def roundtrip_conversations(spark, sf_dir):
 
 
 def encode_decode_documents(spark, sf_dir):
-    """Blocks and markers as rows of tables, both ways."""
+    """Blocks and markers as rows of tables, both ways; null texts stay null."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", _bytes("text").alias("data"))
     files = stored(encode.encode(spread(docs), "doc_id", "data", 1).select(F.col("doc_id").cast("string").alias("file"), "content"), "files")
-    blocks = decode.decode(files)
-    return files.select("file").join(decode.whole_values(blocks), "file", "left").select(F.col("file").cast("long").alias("doc_id"), F.coalesce(_text(F.col("data")), F.lit("")).alias("text"))
+    whole = decode.whole_values(decode.decode(files)).withColumnRenamed("file", "_file")
+    kept = docs.select("doc_id", F.when(F.col("data").isNotNull(), "").alias("_empty"))
+    return kept.join(whole, F.col("doc_id").cast("string") == F.col("_file"), "left").select("doc_id", F.coalesce(_text(F.col("data")), "_empty").alias("text"))
 
 
-def _archives(spark, sf_dir, level=1):
-    docs = _table(spark, sf_dir, "documents").select("lang", "doc_id", _bytes("text").alias("data"))
-    return stored(encode.archive(docs, "lang", "doc_id", "data", level).select(F.col("lang").alias("file"), "content"), "archives")
+def _blocks(spark, sf_dir, key):
+    """All documents of a key as one run of bytes in blocks, encoded."""
+    docs = _table(spark, sf_dir, "documents").select(key, "doc_id", _bytes("text").alias("data"))
+    return encode.encode_blocks(encode.tile_rows(docs, key, "doc_id", "data", 1), 1)
+
+
+def _archives(spark, sf_dir, key="lang", damaged=None):
+    """A folder with one file of one stream for each key, written by all tasks; ``damaged`` changes the blocks before."""
+    path, blocks = fresh_folder(spark, "archives"), _blocks(spark, sf_dir, key)
+    write_streams(damaged(blocks) if damaged else blocks, key, path, 1, _table(spark, sf_dir, "documents").select(key))
+    return path
+
+
+def _key(file="file"):
+    """The key of an archive's path; the keys here need no quoting."""
+    return F.regexp_extract(file, "=([^/]*)[.]bz2$", 1)
 
 
 def archive_roundtrip_by_lang(spark, sf_dir):
-    blocks = decode.decode(_archives(spark, sf_dir))
-    return blocks.groupBy("file").agg(F.sum(F.octet_length("data")).cast("long").alias("total_bytes"), F.count("*").alias("n_blocks")).withColumnRenamed("file", "lang")
+    blocks = decode.decode_files(spark, _archives(spark, sf_dir))
+    return blocks.groupBy(_key().alias("lang")).agg(F.sum(F.octet_length("data")).cast("long").alias("total_bytes"), F.count("*").alias("n_blocks"))
 
 
 def archive_text_by_source(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", _bytes("text").alias("data"))
-    files = stored(encode.archive(docs, "source", "doc_id", "data", 1).select(F.col("source").alias("file"), "content"), "archives")
-    whole = decode.whole_values(decode.decode(files))
-    return whole.select(F.col("file").alias("source"), F.md5("data").alias("digest"))
+    whole = decode.whole_values(decode.decode_files(spark, _archives(spark, sf_dir, "source")))
+    return whole.select(_key().alias("source"), F.md5("data").alias("digest"))
 
 
 def block_layout(spark, sf_dir):
@@ -96,18 +113,15 @@ def stream_crc_by_brand(spark, sf_dir):
     return p.groupBy("p_brand").agg(fold_crc(F.col("crc"), F.col("i"), F.col("n")).alias("stream_crc"))
 
 
-def bits_of_part_names(spark, sf_dir):
-    """32 bits from bit 5 on, and the bits [3, 27) in hex digits."""
-
-    @F.udf("long")
-    def u32(b):
-        return K.read_u32(bytes(b), 5)
+def crc_in_two_steps(spark, sf_dir):
+    """The checksum of a name, continued after its first five bytes."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", _bytes("p_name").alias("b"))
+    return p.select("p_partkey", continued_crc(block_crc(F.substring("b", 1, 5)), F.expr("substring(b, 6)")).alias("crc"))
 
-    @F.udf("binary")
-    def cut(b):
-        return K.extract_bits(bytes(b), 3, 27)
 
-    return _table(spark, sf_dir, "part").select("p_partkey", u32(_bytes("p_name")).alias("u32"), F.lower(F.hex(cut(_bytes("p_name")))).alias("cut"))
+def bits_of_part_names(spark, sf_dir):
+    """32 bits from bit 5 on, and the bits [3, 27) in hex digits."""
+    return _table(spark, sf_dir, "part").select("p_partkey", read_u32(_bytes("p_name"), 5).alias("u32"), F.lower(F.hex(extract_bits(_bytes("p_name"), 3, 27))).alias("cut"))
 
 
 #: file, first bit, kind, checksum, level of a header that follows. In c the end at 700 only looks like one.
@@ -132,104 +146,122 @@ def find_streams(spark, sf_dir):
 
 def failure_groups(spark, sf_dir):
     """A failure wherever a line item was returned; each order is a stream, each line a block."""
-    s = _table(spark, sf_dir, "lineitem").selectExpr("'x' as file", "cast(l_orderkey as int) as stream_idx", "l_linenumber as block_idx", "cast(l_linenumber as bigint) * 100 as start_bit", "cast(l_linenumber as bigint) * 100 + 100 as end_bit", "l_returnflag <> 'R' as ok")
-    s = s.dropDuplicates(["stream_idx", "block_idx"])
+    s = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.col("l_returnflag") == "R").alias("returned"))
+    s = s.selectExpr("'x' as file", "l_orderkey as stream_idx", "l_linenumber as block_idx", "cast(l_linenumber as bigint) * 100 as start_bit", "cast(l_linenumber as bigint) * 100 + 100 as end_bit", "not returned as ok")
     return decode.failure_groups(s).select("stream_idx", "first_idx", "last_idx", "start_bit", "end_bit")
 
 
-def _flip(content, at):
+def _flip(content, at: int):
     """One byte inverted, counted from the end if negative."""
+    i = F.lit(at) if at >= 0 else F.octet_length(content) + at
+    byte = F.lit(255) - F.conv(F.hex(F.substring(content, i + 1, F.lit(1))), 16, 10).cast("int")
+    return F.concat(F.substring(content, F.lit(1), i), F.unhex(F.lpad(F.hex(byte), 2, "0")), F.substring(content, i + 2, F.octet_length(content)))
 
-    @F.udf("binary")
-    def f(b, i):
-        b = bytearray(b)
-        b[i] ^= 0xFF
-        return bytes(b)
 
-    return f(content, at)
+def corruption_report(spark, sf_dir):
+    """Of every three documents one has its twelfth and one its fourth last byte damaged."""
+    files = _work(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", compress(_bytes("text"), 9).alias("content"))
+    kind = F.col("doc_id") % 3
+    # Byte 12 is in the block's checksum, in an empty stream in the stream's, as the fourth byte from the end always is.
+    files = files.select(F.col("doc_id").cast("string").alias("file"), F.when(kind == 1, _flip("content", 12)).when(kind == 2, _flip("content", -4)).otherwise(F.col("content")).alias("content"))
+    status = F.when(F.col("bad_blocks") > 0, "bad block").when(F.col("bad_streams") > 0, "bad stream").when(F.col("error").isNotNull(), F.col("error")).when(F.col("n_streams") > 0, "ok")
+    return decode.checked_values(files).select(F.col("file").cast("long").alias("doc_id"), status.alias("status"))
 
 
-def corruption_report(spark, sf_dir):
-    """Of every three documents one has its block and one its stream checksum damaged."""
-    files = _work(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 9).alias("content"))
-    kind = F.col("file").cast("long") % 3
-    # Byte 12 is in the block's checksum; the fourth byte from the end is in the stream's.
-    files = files.select("file", F.when(kind == 1, _flip("content", F.lit(12))).when(kind == 2, _flip("content", F.lit(-4))).otherwise(F.col("content")).alias("content"))
-    files = stored(files, "damaged")
-    m = markers.markers(files)
-    results = stored(decode.numbered(decode.decode_value_blocks(markers.block_ranges(m), files)).drop("data"), "results")
-    checks = decode.stream_check(results.where("crc_valid"), markers.streams(m)).groupBy("file").agg(F.min("ok").alias("ok"))
-    bad = results.groupBy("file").agg(F.count_if(~F.col("crc_valid")).alias("bad"))
-    status = F.when(F.col("bad") > 0, "bad block").when(~F.col("ok"), "bad stream").otherwise("ok")
-    return checks.join(bad, "file").select(F.col("file").cast("long").alias("doc_id"), status.alias("status"))
+def unverified_streams(spark, sf_dir):
+    """Streams whose checksum is wrong, decoded without a look at it."""
+    files = _work(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", _flip(compress(_bytes("text"), 1), -4).alias("content"))
+    return files.select("doc_id", _text(decompress(F.col("content"), verify_stream_crc=False)).alias("text"), decompress(F.col("content"), mode="PERMISSIVE").isNull().alias("refused"))
 
 
 def blocks_before_error(spark, sf_dir):
-    """The second of each document archive's blocks is damaged: one is left."""
-    files = _archives(spark, sf_dir)
-    m = markers.markers(files)
-    ranges = markers.block_ranges(m)
-    at = ranges.where("block_idx = 1").select("file", F.expr("cast((start_bit + 300) div 8 as int)").alias("at"))
-    files = files.join(at, "file", "left").select("file", F.when(F.col("at").isNotNull(), _flip("content", F.coalesce("at", F.lit(0)))).otherwise(F.col("content")).alias("content"))
-    left = decode.before_first_error(decode.decode_value_blocks(ranges, files))
-    return left.groupBy("file").agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("data")).cast("long").alias("n_bytes")).withColumnRenamed("file", "lang")
+    """The second block of each document archive is damaged: one is left."""
+    hurt = F.when(F.col("block_idx") == 1, _flip("bits", 40)).otherwise(F.col("bits"))
+    path = _archives(spark, sf_dir, damaged=lambda e: e.withColumn("bits", hurt))
+    left = decode.before_first_error(decode.decode_files(spark, path, mode="PERMISSIVE"))
+    return left.groupBy(_key().alias("lang")).agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("data")).cast("long").alias("n_bytes"))
 
 
 def false_marker_recovery(spark, sf_dir):
-    """A false block marker is put into the middle of every range; the texts come out whole."""
+    """Up to 20 false block markers are put into every range; the texts come out whole."""
     files = _work(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 1).alias("content"))
     files = stored(files, "files")
     m = markers.markers(files)
-    false = markers.block_ranges(m).select("file", F.expr("(start_bit + end_bit) div 2").alias("bit_offset"), F.lit("B").alias("kind"), F.lit(0).cast("long").alias("crc"), F.lit(None).cast("int").alias("next_level"))
-    results = decode.numbered(decode.decode_value_blocks(markers.block_ranges(m.unionByName(false)), files))
-    return decode.whole_values(results).select(F.col("file").cast("long").alias("doc_id"), _text(F.col("data")).alias("text"))
+    n = F.col("file").cast("long") % 21
+    at = F.explode(F.transform(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>")), lambda j: F.expr("start_bit") + F.floor((F.col("end_bit") - F.col("start_bit")) * j / (n + 1))))
+    false = markers.block_ranges(m).select("file", at.alias("bit_offset"), F.lit("B").alias("kind"), F.lit(0).cast("long").alias("crc"), F.lit(None).cast("int").alias("next_level"))
+    ranges, _ = decode.value_ranges(decode.frozen(m.unionByName(false)), files)
+    whole = decode.whole_values(decode.decode_value_blocks(ranges, files)).withColumnRenamed("file", "_file")
+    kept = files.select("file", F.when(F.col("content").isNotNull(), "").alias("_empty"))
+    return kept.join(whole, F.col("file") == F.col("_file"), "left").select(F.col("file").cast("long").alias("doc_id"), F.coalesce(_text(F.col("data")), "_empty").alias("text"))
 
 
 def multi_stream_decode(spark, sf_dir):
     """Each turn is a stream of its own, with a level of its own; a conversation is their concatenation."""
-    c = _table(spark, sf_dir, "conversations").where("text is not null")
+    c = _work(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     c = c.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, compress(_bytes("text"), 1)).otherwise(compress(_bytes("text"), 9)).alias("content"))
-    c = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "content"))).alias("p"))
-    return c.select("conv_id", _text(decompress(F.expr("unhex(array_join(transform(p, x -> hex(x.content)), ''))"))).alias("text"))
+    c = c.groupBy("conv_id").agg(F.expr("listagg(content) within group (order by turn)").alias("content"))
+    return c.select("conv_id", _text(decompress(F.col("content"))).alias("text"))
 
 
 def marker_counts(spark, sf_dir):
-    m = markers.markers(_archives(spark, sf_dir))
-    return m.groupBy("file").agg(F.count_if(F.col("kind") == "E").alias("n_streams"), F.count_if(F.col("kind") == "B").alias("n_blocks")).withColumnRenamed("file", "lang")
+    m = markers.file_markers(spark, _archives(spark, sf_dir), 1 << 18)
+    return m.groupBy(_key().alias("lang")).agg(F.count_if(F.col("kind") == "E").alias("n_streams"), F.count_if(F.col("kind") == "B").alias("n_blocks"))
 
 
 def stream_checks(spark, sf_dir):
-    files = _archives(spark, sf_dir)
-    m = markers.markers(files)
-    results = decode.decode_value_blocks(markers.block_ranges(m), files)
-    return decode.stream_check(results, markers.streams(m)).select(F.col("file").alias("lang"), "stream_idx", "ok")
+    m = decode.frozen(markers.file_markers(spark, _archives(spark, sf_dir), 1 << 18))
+    results = decode.decode_file_blocks(markers.block_ranges(m), payload=False)
+    return decode.stream_check(results, markers.streams(m)).select(_key().alias("lang"), "stream_idx", "ok")
 
 
 def placed_reassembly(spark, sf_dir):
-    """Blocks shifted to their places and or-ed together, against the stream written in order."""
-    docs = _table(spark, sf_dir, "documents").select("lang", "doc_id", _bytes("text").alias("data"))
-    e = encode.encode_blocks(encode.tile_rows(docs, "lang", "doc_id", "data", 1), 1)
-
-    @F.udf("boolean")
-    def same(pieces, content):
-        out = bytearray(content[:4]).ljust(len(content), b"\0")
-        for p in pieces:
-            for i, x in ((0, p["bytes"][0]), (len(p["bytes"]) - 1, p["bytes"][-1])):
-                if len(p["bytes"]) > 1 or not i:
-                    out[p["byte_pos"] + i] |= x
-            out[p["byte_pos"] + 1 : p["byte_pos"] + len(p["bytes"]) - 1] = p["bytes"][1:-1]
-        end = K.find_eos_bit(bytes(content))
-        return K.extract_bits(bytes(out), 0, end) == K.extract_bits(bytes(content), 0, end)
-
-    pieces = encode.placed(e, "lang").groupBy("lang").agg(F.collect_list(F.struct("byte_pos", "bytes")).alias("p"))
-    return pieces.join(encode.assemble(e, "lang", 1), "lang").select("lang", same("p", "content").alias("same"))
+    """Files of blocks written in any order, against the streams put together in order."""
+    e = stored(_blocks(spark, sf_dir, "lang"), "blocks")
+    path = fresh_folder(spark, "placed")
+    write_streams(e, "lang", path, 1)
+    files = spark.read.format("binaryFile").load(path).select(_key("path").alias("lang"), F.col("content").alias("written"))
+    return files.join(encode.assemble(e, "lang", 1), "lang").select("lang", (F.col("written") == F.col("content")).alias("same"))
 
 
 def decoder_statistics(spark, sf_dir):
-    files = _archives(spark, sf_dir)
-    m = markers.markers(files)
-    results = decode.decode_value_blocks(markers.block_ranges(m), files)
-    return stats.decoder_stats(results, markers.streams(m)).select("blocks_total", "blocks_completed", "blocks_failed", "streams_total", F.col("bytes_out").cast("long").alias("bytes_out"), "progress")
+    """The counters; ``whole`` tells whether the last bit consumed is where the last stream's end begins."""
+    m = decode.frozen(markers.file_markers(spark, _archives(spark, sf_dir), 1 << 18))
+    table = markers.streams(m)
+    s = stats.decoder_stats(decode.decode_file_blocks(markers.block_ranges(m)), table)
+    last = table.groupBy("file").agg(F.max("eos_bit").alias("b")).agg(F.sum("b").alias("b")).first()["b"]
+    return s.select(*[F.col(c).cast("long").alias(c) for c in ("blocks_total", "blocks_completed", "blocks_failed", "streams_total", "bytes_out")], "progress", (F.col("bits_consumed") == last).alias("whole"))
+
+
+def push_and_pull(spark, sf_dir):
+    """Orders' keys, a line each, pushed through the file-like encoder and pulled through the decoder in odd pieces."""
+    path = fresh_folder(spark, "pushed") + ".bz2"
+    system, name = located(path)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    seen, flushed = [], 0
+    with system.open_output_stream(name, compression=None) as out, EncoderOptions(level=1, min_blocks=2, on_progress=seen.append).build(out, spark) as e:
+        for k, r in enumerate(_table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").toLocalIterator()):
+            e.write(b"%d\n" % r[0])
+            if k == 5000:
+                e.flush()
+                flushed = out.tell()
+    pulled, crcs = [], set()
+    digest = hashlib.md5()
+    with DecoderOptions(blocks_per_partition=2, part_bytes=1 << 16, on_progress=pulled.append).open(spark, path) as d:
+        while piece := d.read(10_007):
+            digest.update(piece)
+            crcs.add(d.stored_stream_crc)
+        s = d.stats
+    row = (e.stats.total_in, e.stats.blocks_completed, e.stats.total_out == system.get_file_info(name).size, 1 < e.stats.batches_completed == len(seen) or e.stats.blocks_completed < 3, flushed > 0, s.bytes_out, s.blocks_completed, s.streams_completed, len(pulled) == s.blocks_completed, len(crcs), digest.hexdigest())
+    return spark.createDataFrame([row], "total_in long, blocks_in long, all_written boolean, in_batches boolean, flushed boolean, bytes_out long, blocks_out long, n_streams long, all_told boolean, n_checksums long, digest string")
+
+
+def micro_batches(spark, sf_dir):
+    """Part names as a stream, written in micro-batches as .bz2 files, read again by Spark's own text reader."""
+    path, checkpoint = fresh_folder(spark, "stream"), fresh_folder(spark, "progress")
+    names = spark.readStream.schema(_table(spark, sf_dir, "part").schema).option("pathGlobFilter", "part.parquet").parquet(sf_dir).select("p_name")
+    write_stream(names, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(f"{path}/batch=*/*.bz2").select(F.col("value").alias("p_name"))
 
 
 def encoder_statistics(spark, sf_dir):
@@ -245,10 +277,9 @@ def encoder_counts(spark, sf_dir):
 
 def byte_ranges(spark, sf_dir):
     """The bytes [70000, 90000) of each language's archive, from the blocks that hold them."""
-    files = _archives(spark, sf_dir)
-    results = decode.decode_value_blocks(markers.block_ranges(markers.markers(files)), files)
+    results = decode.decode_files(spark, _archives(spark, sf_dir))
     parts = decode.read_bytes(results, 70_000, 20_000)
-    return parts.select(F.col("file").alias("lang"), "offset", F.octet_length("data").cast("long").alias("length"))
+    return parts.select(_key().alias("lang"), "offset", F.octet_length("data").cast("long").alias("length"), F.md5("data").alias("digest"))
 
 
 def compression_by_lang(spark, sf_dir):
@@ -256,6 +287,11 @@ def compression_by_lang(spark, sf_dir):
     return docs.groupBy("lang").agg(ratio(F.sum("z"), F.sum("n")).alias("compression_ratio"))
 
 
+def compression_gains(spark, sf_dir):
+    """Whether text shrinks, by language."""
+    return compression_by_lang(spark, sf_dir).select("lang", F.col("compression_ratio").between(0.01, 0.9).alias("smaller"))
+
+
 def ratios(spark, sf_dir):
     """Rates of the events' values; none where the values sum to nothing."""
     e = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") < 0).alias("below"))
@@ -283,7 +319,8 @@ QUERIES = {
     for f in (
         roundtrip_documents, roundtrip_pages, roundtrip_conversations, encode_decode_documents, archive_roundtrip_by_lang, archive_text_by_source, block_layout, tile_layout, block_sizes,
         part_name_crc, stream_crc_by_brand, bits_of_part_names, pair_markers, find_streams, failure_groups, corruption_report, blocks_before_error, false_marker_recovery,
-        multi_stream_decode, marker_counts, stream_checks, placed_reassembly, decoder_statistics, encoder_counts, byte_ranges, encoder_statistics, compression_by_lang, ratios, file_roundtrip, text_files,
+        multi_stream_decode, marker_counts, stream_checks, placed_reassembly, decoder_statistics, encoder_counts, byte_ranges, encoder_statistics, compression_by_lang, compression_gains, ratios, file_roundtrip, text_files,
+        crc_in_two_steps, unverified_streams, push_and_pull, micro_batches,
     )
 }
 
@@ -310,7 +347,7 @@ ORACLES = {
     "roundtrip_documents": "SELECT doc_id, text FROM documents",
     "roundtrip_pages": "SELECT page_id, html FROM pages",
     "roundtrip_conversations": "SELECT conv_id, turn, text FROM conversations",
-    "encode_decode_documents": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
+    "encode_decode_documents": "SELECT doc_id, text FROM documents",
     "archive_roundtrip_by_lang": f"SELECT lang, n AS total_bytes, (n + {SIZE_1 - 1}) // {SIZE_1} AS n_blocks FROM ({_SIZES})",
     "archive_text_by_source": "SELECT source, md5(string_agg(text, '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
     "block_layout": f"SELECT doc_id, i::INT AS block_idx, i * {SIZE_1} AS \"offset\", least({SIZE_1}, n - i * {SIZE_1})::BIGINT AS length FROM (SELECT doc_id, octet_length(encode(text)) AS n, unnest(range(0, (octet_length(encode(text)) + {SIZE_1 - 1}) // {SIZE_1})) AS i FROM documents)",
@@ -324,19 +361,27 @@ ORACLES = {
     "find_streams": f"""WITH {_MARKED}, w AS (SELECT *, sum(CASE WHEN kind = 'B' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY b) AS blocks FROM u)
         SELECT file, (row_number() OVER x - 2)::INT AS stream_idx, lag(nl) OVER x AS level, CASE WHEN lag(kind) OVER x = 'H' THEN 0 ELSE (lag(b) OVER x + 87) // 8 END::BIGINT AS header_byte, b AS eos_bit, crc AS stored_stream_crc, (blocks - lag(blocks) OVER x)::BIGINT AS n_ranges
         FROM w WHERE kind <> 'B' WINDOW x AS (PARTITION BY file ORDER BY b) QUALIFY kind = 'E'""",
-    "failure_groups": """WITH s AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey::INT AS o, l_linenumber AS k, l_returnflag = 'R' AS bad FROM lineitem),
+    "failure_groups": """WITH s AS (SELECT l_orderkey AS o, l_linenumber AS k, max(l_returnflag = 'R') AS bad FROM lineitem GROUP BY ALL),
         r AS (SELECT *, k - row_number() OVER (PARTITION BY o, bad ORDER BY k) AS run, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY o ORDER BY k) AS good FROM s)
         SELECT o AS stream_idx, min(k) AS first_idx, max(k) AS last_idx, min(k)::BIGINT * 100 AS start_bit, max(k)::BIGINT * 100 + 100 AS end_bit FROM r WHERE bad GROUP BY o, good""",
-    "corruption_report": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'bad block' ELSE 'bad stream' END AS status FROM documents WHERE length(text) > 0",
+    "corruption_report": "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 3 = 0 THEN 'ok' WHEN doc_id % 3 = 1 AND length(text) > 0 THEN 'bad block' ELSE 'bad stream' END AS status FROM documents",
+    "unverified_streams": "SELECT doc_id, text, true AS refused FROM documents",
+    "crc_in_two_steps": f"SELECT p_partkey, {_CRC} AS crc FROM part",
+    "compression_gains": "SELECT DISTINCT lang, true AS smaller FROM documents",
+    "micro_batches": "SELECT p_name FROM part",
+    "push_and_pull": f"""WITH t AS (SELECT string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey) AS t FROM orders), n AS (SELECT t, length(t)::BIGINT AS n, (length(t) + {SIZE_1 - 1}) // {SIZE_1} AS b FROM t)
+        SELECT n AS total_in, b AS blocks_in, true AS all_written, true AS in_batches, (SELECT count(*) > 5000 FROM orders) AS flushed, n AS bytes_out, b AS blocks_out, 1::BIGINT AS n_streams, true AS all_told, 1::BIGINT AS n_checksums, md5(t) AS digest FROM n""",
     "blocks_before_error": f"SELECT lang, 1::BIGINT AS n_blocks, least(n, {SIZE_1}) AS n_bytes FROM ({_SIZES})",
-    "false_marker_recovery": "SELECT doc_id, text FROM documents WHERE length(text) > 0",
+    "false_marker_recovery": "SELECT doc_id, text FROM documents",
     "multi_stream_decode": "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id",
     "marker_counts": f"SELECT lang, 1::BIGINT AS n_streams, (n + {SIZE_1 - 1}) // {SIZE_1} AS n_blocks FROM ({_SIZES})",
     "stream_checks": "SELECT DISTINCT lang, 0 AS stream_idx, true AS ok FROM documents",
     "placed_reassembly": "SELECT DISTINCT lang, true AS same FROM documents",
-    "decoder_statistics": f"SELECT sum(b)::BIGINT AS blocks_total, sum(b)::BIGINT AS blocks_completed, 0::BIGINT AS blocks_failed, count(*) AS streams_total, sum(n)::BIGINT AS bytes_out, 1.0::DOUBLE AS progress FROM (SELECT n, (n + {SIZE_1 - 1}) // {SIZE_1} AS b FROM ({_SIZES}))",
+    "decoder_statistics": f"SELECT sum(b)::BIGINT AS blocks_total, sum(b)::BIGINT AS blocks_completed, 0::BIGINT AS blocks_failed, count(*) AS streams_total, sum(n)::BIGINT AS bytes_out, 1.0::DOUBLE AS progress, true AS whole FROM (SELECT n, (n + {SIZE_1 - 1}) // {SIZE_1} AS b FROM ({_SIZES}))",
     "encoder_counts": f"SELECT sum(n)::BIGINT AS total_in, sum((n + {SIZE_1 - 1}) // {SIZE_1})::BIGINT AS blocks_completed FROM (SELECT octet_length(encode(text)) AS n FROM documents)",
-    "byte_ranges": f"SELECT lang, greatest(i * {SIZE_1}, 70000)::BIGINT AS \"offset\", (least((i + 1) * {SIZE_1}, n, 90000) - greatest(i * {SIZE_1}, 70000))::BIGINT AS length FROM ({_SIZES}), range(0, 2) t(i) WHERE least((i + 1) * {SIZE_1}, n, 90000) > greatest(i * {SIZE_1}, 70000)",
+    "byte_ranges": f"""WITH h AS (SELECT lang, hex(encode(string_agg(text, '' ORDER BY doc_id))) AS h FROM documents GROUP BY lang),
+        r AS (SELECT lang, h, greatest(i * {SIZE_1}, 70000)::BIGINT AS a, (least((i + 1) * {SIZE_1}, length(h) // 2, 90000) - greatest(i * {SIZE_1}, 70000))::BIGINT AS n FROM h, range(0, 2) t(i))
+        SELECT lang, a AS "offset", n AS length, md5(unhex(substr(h, (2 * a + 1)::BIGINT, (2 * n)::BIGINT))) AS digest FROM r WHERE n > 0""",
     "ratios": "SELECT event_type, count(*) FILTER (value < 0) / count(*) AS share, CASE WHEN count(*) FILTER (value < 0) = 0 THEN 0.0::DOUBLE ELSE count(*) / count(*) FILTER (value < 0) END AS inverse FROM events GROUP BY event_type",
     "file_roundtrip": "SELECT sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM documents",
     "text_files": "SELECT p_name FROM part",

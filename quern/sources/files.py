@@ -29,6 +29,13 @@ def read_range(path: str, begin: int, end: int) -> bytes:
         return f.read(max(0, min(end, f.size()) - begin))
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    system, name = located(path)
+    system.create_dir(name.rpartition("/")[0], recursive=True)
+    with system.open_output_stream(name, compression=None) as f:  # as it is, whatever the name's ending
+        f.write(data)
+
+
 def sizes(path: str) -> list[tuple[str, int]]:
     """The file, or a folder's files but hidden ones, with their sizes."""
     system, name = located(path)

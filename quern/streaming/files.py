@@ -4,14 +4,35 @@ from __future__ import annotations
 
 import io
 import time
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
 from quern.operators import decode, encode, markers
-from quern.plans.storage import frozen
+from quern.plans.storage import fresh_folder, frozen
+from quern.sources.files import write_bytes
+
+#: A value of up to so many bytes goes to the executors as a broadcast; a larger one as a file in the shared folder.
+BROADCAST = 64 << 20
+
+
+@contextmanager
+def _in_pool(spark: SparkSession | None, pool: str | None):
+    """Jobs started inside run in a scheduler pool."""
+    if spark is None or pool is None:
+        yield
+        return
+    before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+    spark.sparkContext.setLocalProperty("spark.scheduler.pool", pool)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
 
 
 @dataclass(frozen=True)
@@ -31,18 +52,43 @@ class EncoderStats:
         return self.total_in / self.elapsed if self.elapsed else 0.0
 
 
+@dataclass(frozen=True)
+class EncoderOptions:
+    """How to encode. ``replace`` gives a copy with changes; ``build`` an encoder.
+
+    ``min_blocks`` set by hand goes before the session's parallelism, which goes before 1. ``pool`` names a Spark scheduler pool.
+    """
+
+    level: int = 9
+    min_blocks: int | None = None
+    pool: str | None = None
+    on_progress: Callable[[EncoderStats], None] | None = None
+
+    def replace(self, **changes) -> "EncoderOptions":
+        return replace(self, **changes)
+
+    def batch_blocks(self, spark: SparkSession | None) -> int:
+        return max(1, self.min_blocks if self.min_blocks is not None else spark.sparkContext.defaultParallelism if spark else 1)
+
+    def build(self, out, spark: SparkSession | None = None) -> "Encoder":
+        return Encoder(out, spark=spark, options=self)
+
+
 class Encoder:
     """Writes one stream to a binary file object.
 
-    Blocks are encoded in batches of at least ``min_blocks``: with a session as a Spark job, else
+    Blocks are encoded in batches of at least ``min_blocks``: with a session as a Spark job, whose result, a
+    batch of encoded blocks, comes back here; else
     here. The output does not depend on how the input was cut into writes, or on batches.
     ``on_progress`` gets the statistics after each batch, the last included. Leaving the
-    ``with`` statement by an exception leaves the stream unfinished.
+    ``with`` statement by an exception leaves the stream unfinished. Settings given one by one go before those in ``options``.
     """
 
-    def __init__(self, out, level: int = 9, spark: SparkSession | None = None, min_blocks: int | None = None, on_progress: Callable[[EncoderStats], None] | None = None):
-        self.out, self.level, self.spark, self.on_progress = out, K.checked_level(level), spark, on_progress
-        self.min_blocks = max(1, min_blocks if min_blocks is not None else spark.sparkContext.defaultParallelism if spark else 1)
+    def __init__(self, out, level: int | None = None, spark: SparkSession | None = None, min_blocks: int | None = None, on_progress: Callable[[EncoderStats], None] | None = None, options: EncoderOptions = EncoderOptions()):
+        given = {k: v for k, v in (("level", level), ("min_blocks", min_blocks), ("on_progress", on_progress)) if v is not None}
+        self.options = options.replace(**given)
+        self.out, self.level, self.spark, self.on_progress = out, K.checked_level(self.options.level), spark, self.options.on_progress
+        self.min_blocks = self.options.batch_blocks(spark)
         self._bits, self._pending, self._crc, self._began, self.finished = K.BitWriter(), bytearray(), 0, time.monotonic(), False
         self._stats = EncoderStats()
         self._bits.write_bytes(b"BZh%d" % self.level)
@@ -66,7 +112,9 @@ class Encoder:
         if self.spark is None or len(blocks) < 2:
             return [K.encode_block(b, self.level) for b in blocks]
         rows = self.spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blocks)], "block_idx int, data binary").repartition(len(blocks))
-        return [(bytes(r["bits"]), r["bit_len"], r["block_crc"]) for r in sorted(encode.encode_blocks(rows, self.level).collect(), key=lambda r: r["block_idx"])]
+        with _in_pool(self.spark, self.options.pool):
+            got = encode.encode_blocks(rows, self.level).collect()
+        return [(bytes(r["bits"]), r["bit_len"], r["block_crc"]) for r in sorted(got, key=lambda r: r["block_idx"])]
 
     def _batch(self, size: int) -> None:
         blocks = K.split(bytes(self._pending[:size]), self.level)
@@ -129,36 +177,83 @@ class DecoderStats:
         return self.bytes_out / self.elapsed if self.elapsed else 0.0
 
 
+@dataclass(frozen=True)
+class DecoderOptions:
+    """How to decode. ``replace`` gives a copy with changes; ``open`` and ``from_bytes`` a decoder.
+
+    ``blocks_per_partition`` blocks are decoded by a task and pulled at once, while one more partition is
+    prefetched: this bounds what is decoded ahead of the reader.
+    """
+
+    verify_stream_crc: bool = True
+    blocks_per_partition: int = 8
+    part_bytes: int = markers.PART
+    pool: str | None = None
+    on_progress: Callable[[DecoderStats], None] | None = None
+
+    def replace(self, **changes) -> "DecoderOptions":
+        return replace(self, **changes)
+
+    def open(self, spark: SparkSession, path: str) -> "Decoder":
+        return Decoder.open(spark, path, options=self)
+
+    def from_bytes(self, spark: SparkSession, data: bytes) -> "Decoder":
+        return Decoder.from_bytes(spark, data, options=self)
+
+
 class Decoder(io.RawIOBase):
     """Reads the streams of one file in order.
 
     Opening scans and checks the format. Reading pulls partitions of blocks, decoded by
-    Spark, one after the other. Blocks before a bad one are delivered, then the error is raised.
+    Spark, and the table of streams in step with them. Blocks before a bad one are delivered, then the error is raised.
+    Closing cancels the jobs that run ahead. Settings given one by one go before those in ``options``.
     """
 
-    def __init__(self, m: DataFrame, blocks: Callable[[DataFrame], DataFrame], files: DataFrame, verify_stream_crc: bool = True, on_progress: Callable[[DecoderStats], None] | None = None):
+    def __init__(self, m: DataFrame, blocks: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], files: DataFrame, options: DecoderOptions):
         super().__init__()
-        self._began, self.verify, self.on_progress = time.monotonic(), verify_stream_crc, on_progress
-        m = frozen(m)
-        if bad := decode.format_errors(m, files).first():
-            raise K.InvalidFormat(bad["error"])
-        self._streams = sorted(markers.streams(m).collect(), key=lambda r: r["stream_idx"])
-        ranges = markers.block_ranges(m)
-        order = ["stream_idx", "block_idx"]
-        ranges = ranges.repartitionByRange(max(1, sum(r["n_ranges"] for r in self._streams) // 8), *order).sortWithinPartitions(*order)
-        self._blocks = blocks(ranges).toLocalIterator(prefetchPartitions=True)
-        self._stats = DecoderStats(blocks_total=sum(r["n_ranges"] for r in self._streams), streams_total=len(self._streams))
-        self._crc, self._left, self._at, self._error = 0, b"", 0, None
+        self._began, self.options, self.verify, self.on_progress = time.monotonic(), options, options.verify_stream_crc, options.on_progress
+        self._context, self._tag = m.sparkSession.sparkContext, f"quern-{uuid.uuid4().hex}"
+        with _in_pool(m.sparkSession, options.pool):
+            m = frozen(m)
+            if bad := decode.format_errors(m, files).first():
+                raise K.InvalidFormat(bad["error"])
+            table = frozen(markers.streams(m).select("stream_idx", "n_ranges", "stored_stream_crc"))
+            n = table.agg(F.count("*").alias("streams"), F.sum("n_ranges").alias("blocks")).first()
+            order = ["stream_idx", "block_idx"]
+            ranges = settle(m)
+            ranges = ranges.repartitionByRange(max(1, n["blocks"] // max(1, options.blocks_per_partition)), *order).sortWithinPartitions(*order)
+            self._context.addJobTag(self._tag)
+            try:
+                self._streams = table.orderBy("stream_idx").toLocalIterator()
+                self._blocks = blocks(ranges).toLocalIterator(prefetchPartitions=True)
+            finally:
+                self._context.removeJobTag(self._tag)
+        self._stats = DecoderStats(blocks_total=n["blocks"], streams_total=n["streams"])
+        self._crc, self._left, self._error = 0, b"", None
+        self._current = self._last = next(self._streams)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, part_bytes: int = markers.PART, **options) -> "Decoder":
+    def open(cls, spark: SparkSession, path: str, options: DecoderOptions = DecoderOptions(), **given) -> "Decoder":
+        options = options.replace(**given)
         files = spark.createDataFrame([(path,)], "file string")
-        return cls(markers.file_markers(spark, path, part_bytes), lambda r: decode.decoded_files(r), files, **options)
+        return cls(markers.file_markers(spark, path, options.part_bytes), decode.decoded_files, lambda m: decode.file_ranges(m)[0], files, options)
 
     @classmethod
-    def from_bytes(cls, spark: SparkSession, data: bytes, **options) -> "Decoder":
+    def from_bytes(cls, spark: SparkSession, data: bytes, options: DecoderOptions = DecoderOptions(), **given) -> "Decoder":
+        options = options.replace(**given)
+        if len(data) > BROADCAST:
+            path = fresh_folder(spark, "value") + ".bz2"
+            write_bytes(path, data)
+            return cls.open(spark, path, options)
         df = spark.createDataFrame([("bytes", bytearray(data))], "file string, content binary")
-        return cls(markers.markers(df), lambda r: decode.decoded_bytes(r, data), df, **options)
+        shared = spark.sparkContext.broadcast(data)
+        return cls(markers.markers(df), lambda r: decode.decoded_ranges(r, lambda _: lambda a, z: (shared.value[a:z], a)), lambda m: decode.value_ranges(m, df)[0], df, options)
+
+    def close(self) -> None:
+        if not self.closed and hasattr(self, "_tag"):
+            self._blocks = self._streams = iter(())
+            self._context.cancelJobsWithTag(self._tag)
+        super().close()
 
     @property
     def stats(self) -> DecoderStats:
@@ -172,20 +267,21 @@ class Decoder(io.RawIOBase):
     @property
     def stored_stream_crc(self) -> int:
         """The current stream's checksum as the file has it."""
-        return self._streams[min(self._at, len(self._streams) - 1)]["stored_stream_crc"]
+        return self._last["stored_stream_crc"]
 
     def readable(self) -> bool:
         return True
 
     def _end_stream(self) -> None:
         if self.verify and self._crc != self.stored_stream_crc:
-            raise K.CrcMismatch(f"stream {self._at}: stored {self.stored_stream_crc:08x}, computed {self._crc:08x}")
-        self._at, self._crc = self._at + 1, 0
+            raise K.CrcMismatch(f"stream {self._last['stream_idx']}: stored {self.stored_stream_crc:08x}, computed {self._crc:08x}")
+        self._current, self._crc = next(self._streams, None), 0
+        self._last = self._current or self._last
         self._stats = replace(self._stats, streams_completed=self._stats.streams_completed + 1)
 
     def _pull(self) -> bool:
         r = next(self._blocks, None)
-        while self._at < (len(self._streams) if r is None else r["stream_idx"]):
+        while self._current is not None and (r is None or self._current["stream_idx"] < r["stream_idx"]):
             self._end_stream()
         if r is None:
             return False
@@ -199,6 +295,8 @@ class Decoder(io.RawIOBase):
         return True
 
     def readinto(self, buffer) -> int:
+        if self.closed:
+            raise ValueError("read of a closed decoder")
         if self._error:
             raise self._error
         while len(buffer) and not self._left:

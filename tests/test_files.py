@@ -5,7 +5,7 @@ import pytest
 
 from quern.functions import kernels as K
 from quern.operators import decode, markers
-from quern.streaming.files import Decoder, Encoder
+from quern.streaming.files import Decoder, DecoderOptions, Encoder, EncoderOptions
 from tests.test_kernels import lcg
 
 DATA = lcg(11, 420_000)
@@ -86,3 +86,31 @@ def test_read_bytes(spark, begin, length):
     results = decode.decode_value_blocks(markers.block_ranges(markers.markers(df)), df)
     got = sorted((r["offset"], bytes(r["data"])) for r in decode.read_bytes(results, begin, length).collect())
     assert b"".join(b for _, b in got) == DATA[begin : begin + length]
+
+
+def test_options(spark):
+    o = EncoderOptions(level=3)
+    assert o.replace(min_blocks=2) == EncoderOptions(3, 2) and o.replace().min_blocks is None and "level=3" in repr(o)
+    assert o.batch_blocks(None) == 1 and o.batch_blocks(spark) == spark.sparkContext.defaultParallelism and o.replace(min_blocks=5).batch_blocks(spark) == 5
+    e = o.replace(pool="codec").build(io.BytesIO(), spark)
+    e.write(b"abc")
+    assert bz2.decompress(e.finish().getvalue()) == b"abc" and e.out.getvalue()[3:4] == b"3"
+    assert Encoder(io.BytesIO(), 5, options=o).level == 5
+    with pytest.raises(K.InvalidFormat):
+        EncoderOptions(level=0).build(io.BytesIO())
+    d = DecoderOptions(blocks_per_partition=1, pool="codec").from_bytes(spark, K.compress(DATA, 1))
+    assert d.options.blocks_per_partition == 1 and d.readall() == DATA
+
+
+def test_closing_early(spark):
+    d = Decoder.from_bytes(spark, K.compress(DATA, 1), blocks_per_partition=1)
+    assert d.read(5) == DATA[:5]
+    d.close()
+    d.close()
+    with pytest.raises(ValueError):
+        d.read(1)
+
+
+def test_large_values_go_by_file(spark, monkeypatch):
+    monkeypatch.setattr("quern.streaming.files.BROADCAST", 10)
+    assert Decoder.from_bytes(spark, K.compress(DATA, 1)).readall() == DATA

@@ -8,7 +8,7 @@ from quern.functions import kernels as K
 from quern.functions.columns import compress, decompress, fold_crc, max_block_bytes, ratio
 from quern.operators import decode, encode, markers, stats
 from quern.plans.prefix import prefix_sum
-from quern.sources.bzip2 import register, write_files
+from quern.sources.bzip2 import file_name, register, write_files, write_streams
 from quern.streaming.batches import read_stream, write_stream
 from tests.test_kernels import lcg
 
@@ -188,3 +188,118 @@ def test_micro_batches(spark, tmp_path):
     q = back.writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(b"".join(bytes(r[0]) for r in spark.table("decoded").collect()).split()) == [b"one", b"three", b"two"]
+
+
+def with_false_markers(data, level, n):
+    """A file's markers with ``n`` false ones in each of its ranges."""
+    m = K.scan(data)
+    rows = markers.marker_rows("f", data)
+    for s in K.find_streams(data, m):
+        rows += [("f", a + (z - a) * j // (n + 1), "B", 0, None) for a, z in s.ranges for j in range(1, n + 1)]
+    return rows
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 25])
+def test_failure_groups_of_any_length(spark, tmp_path, n):
+    data = K.compress(DATA["large"], 1) + K.compress(DATA["text"], 1)
+    (tmp_path / "f.bz2").write_bytes(data)
+    path = str(tmp_path / "f.bz2")
+    df = frame(spark, [("f", data)])
+    m = spark.createDataFrame(with_false_markers(data, 1, n), "file string, bit_offset bigint, kind string, crc bigint, next_level int")
+    ranges, doubtful = decode.value_ranges(m, df)
+    assert (doubtful is None) == (n == 0)
+    rows = decode.decode_value_blocks(ranges, df).orderBy("stream_idx", "block_idx").collect()
+    assert b"".join(bytes(r["data"]) for r in rows) == DATA["large"] + DATA["text"] and [r["block_idx"] for r in rows] == [0, 1, 2, 3, 0, 1]
+    named = m.withColumn("file", F.lit(path))
+    assert decode.decode_file_blocks(decode.file_ranges(named)[0]).where("crc_valid").count() == 6
+
+
+def test_bad_blocks_beside_false_markers(spark):
+    """What no neighbour makes whole stays an error; the good blocks around it are decoded."""
+    data = bytearray(K.compress(DATA["large"], 1))
+    second = K.find_streams(bytes(data), K.scan(bytes(data)))[0].ranges[1]
+    rows = [("f", (second[0] + second[1]) // 2, "B", 0, None), *markers.marker_rows("f", bytes(data))]
+    data[second[0] // 8 + 300] ^= 0xFF
+    m = spark.createDataFrame(rows, "file string, bit_offset bigint, kind string, crc bigint, next_level int")
+    df = frame(spark, [("f", bytes(data))])
+    got = decode.decode_value_blocks(decode.value_ranges(m, df)[0], df).orderBy("start_bit").collect()
+    assert [r["crc_valid"] for r in got if r["crc_valid"]] == [True] * 3 and not all(r["crc_valid"] for r in got)
+
+
+def test_ends_beyond_any_block_are_not_tried():
+    data = K.compress(DATA["small"], 1)
+    asked = []
+
+    def window(a, z):
+        asked.append(z)
+        return b"", a
+
+    ranges = [(32, 500), (500, 900), (900, K.longest_block(1) + 10_000)]
+    found = list(K.true_blocks(window, ranges, 1))
+    assert [x[0] for x in found] == [32, 500, 900] and all(x[5] for x in found) and len(data) > 0
+    assert asked.count((K.longest_block(1) + 10_007) // 8) == 1
+
+
+def test_large_values_agree(spark, monkeypatch):
+    files = [(k, bz2.compress(v, 1) + K.compress(b"tail", 7)) for k, v in DATA.items()] + [("null", None)]
+    df = frame(spark, files)
+    want = sorted(map(tuple, decode.decode(df).collect()))
+    monkeypatch.setattr(decode, "IN_PLACE", 0)
+    assert sorted(map(tuple, decode.decode(df).collect())) == want
+
+
+def test_no_payload_is_exchanged(spark, tmp_path, capsys):
+    (tmp_path / "f.bz2").write_bytes(K.compress(DATA["large"], 1))
+    decode.decode_files(spark, str(tmp_path)).select("file", "stream_idx", "block_idx", "data").explain()
+    plan = capsys.readouterr().out
+    above = plan[: plan.index("MapInArrow")]
+    assert not any(x in above for x in ("Exchange", "Sort", "Window", "Join"))
+
+
+def test_streams_written_by_many_tasks(spark, tmp_path):
+    rows = [(k, i, bytearray(lcg(i, 3000 * (i % 50)))) for k in ("a/b", "c") for i in range(40)] + [(None, 1, bytearray(b"n")), ("e", 1, bytearray(b""))]
+    df = spark.createDataFrame(rows, "key string, n long, v binary")
+    e = encode.encode_blocks(encode.tile_rows(df, "key", "n", "v", 1), 1)
+    path = str(tmp_path / "out")
+    write_streams(e, "key", path, 1, df)
+    want = {file_name(k): b"".join(bytes(v) for x, _, v in rows if x == k) for k in ("a/b", "c", None, "e")}
+    assert {p.name: bz2.decompress(p.read_bytes()) for p in (tmp_path / "out").iterdir()} == want
+    assert (tmp_path / "out" / file_name("c")).read_bytes() == K.compress(want[file_name("c")], 1)
+    with pytest.raises(K.InvalidFormat):
+        write_streams(e, "key", "mock://somewhere/out", 1)
+
+
+def test_null_and_repeated_orders(spark):
+    rows = [("k", None, bytearray(b"aa")), ("k", 1, bytearray(b"bb")), ("k", 1, bytearray(b"bb")), ("k", 3, None), ("k", 2, bytearray(b"cc")), (None, 5, bytearray(b"x")), (None, None, bytearray(b"y"))]
+    df = spark.createDataFrame(rows, "key string, n long, v binary")
+    got = {r["key"]: bz2.decompress(bytes(r["content"])) for r in encode.archive(df, "key", "n", "v", 1).collect()}
+    assert got == {"k": b"aabbbbcc", None: b"yx"}
+
+
+def test_checked_values(spark):
+    good, block, stream = K.compress(DATA["large"], 1), bytearray(K.compress(DATA["large"], 1)), bytearray(K.compress(DATA["text"], 1))
+    block[20_000] ^= 0xFF
+    stream[-3] ^= 0xFF
+    df = frame(spark, [("g", good), ("b", bytes(block)), ("s", bytes(stream)), ("n", b"abc"), ("null", None), ("e", K.compress(b""))])
+    got = {r["file"]: tuple(r)[1:] for r in decode.checked_values(df).collect()}
+    assert got == {"g": (1, 4, 0, 0, None), "b": (1, 4, 1, 0, None), "s": (1, 2, 0, 1, None), "n": (0, 0, 0, 0, "no streams"), "null": (None,) * 5, "e": (1, 0, 0, 0, None)}
+
+
+def test_prefix_sum_goes_on_over_partitions(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, "a").alias("k"), F.expr("if(id % 7 = 0, null, id)").alias("o"), (F.col("id") % 10).alias("v"))
+    rows = prefix_sum(df, "k", "o", "v", "p").collect()
+    for k in ("a", None):
+        own = sorted((r for r in rows if r["k"] == k), key=lambda r: (r["o"] is not None, r["o"] or 0, r["p"], r["p"] + r["v"]))
+        total = 0
+        for r in own:
+            assert r["p"] == total
+            total += r["v"]
+
+
+def test_a_failed_write_removes_hidden_files(spark, tmp_path):
+    path = tmp_path / "out"
+    write_files(spark.range(5).selectExpr("cast(id as string) as v"), str(path))
+    bad = spark.range(0, 10, 1, 4).select(F.when(F.col("id") == 9, F.raise_error("stop").cast("string")).otherwise("x").alias("v"))
+    with pytest.raises(PySparkException):
+        write_files(bad, str(path), mode="overwrite")
+    assert spark.read.text(str(path)).count() >= 1 and not [p for p in path.iterdir() if p.name.startswith("_part")]
