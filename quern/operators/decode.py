@@ -75,12 +75,13 @@ CHUNK = 16
 def _windows(ranges: DataFrame, df: DataFrame, key: str, data: str) -> DataFrame:
     """``file, a, rs, w``: groups of ranges (columns ``group, rs, a, z``: bytes) with the bytes they need.
 
-    A value is joined once, to all its groups, so little more than its bytes go to Python.
+    A value is joined once, to all its groups, which are then dealt out over the tasks.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = ranges.groupBy("file").agg(F.collect_list(F.struct("a", "z", "rs")).alias("cs"))
     values = df.select(F.col(key).cast("string").alias("file"), F.col(data).alias("content"))
     cut = F.expr("explode(transform(cs, c -> struct(c.a as a, c.rs as rs, substring(content, cast(c.a + 1 as int), cast(c.z - c.a as int)) as w)))")
-    return groups.join(values, "file").select("file", cut.alias("c")).select("file", "c.a", "c.rs", "c.w")
+    return groups.join(values, "file").select("file", cut.alias("c")).select("file", "c.a", "c.rs", "c.w").repartition(n, "file", "a")
 
 
 def _each(found, of):
@@ -118,8 +119,9 @@ def true_ranges(m: DataFrame, check: Callable[[DataFrame], DataFrame], join: Cal
     streams whose checksum must be looked at again, if there are any.
 
     Streams whose checksum agrees with those of their markers have no false marker and are taken as they are.
-    The ranges of the others are checked one by one (``check``, without payload), and each run of neighbours that fail, however long, is
-    read again from its first start on (``join``). Only ranges are exchanged, never payload.
+    Of the others a short one is read whole by one task; a long one's ranges are checked one by one (``check``, without payload), and
+    each run of neighbours that fail, however long, is read again from its first start on (``join``). Only ranges are
+    exchanged, never payload.
     """
     ranges = block_ranges(m)
     doubtful = frozen(marker_check(m).where("not ok").select("file", "stream_idx"))
@@ -127,9 +129,15 @@ def true_ranges(m: DataFrame, check: Callable[[DataFrame], DataFrame], join: Cal
         return ranges, None
     ranges = frozen(ranges)
     keys = ["file", "stream_idx"]
-    status = check(ranges.join(doubtful, keys, "left_semi")).select("file", "stream_idx", "block_idx", F.col("crc_valid").alias("ok"))
-    status = status.withColumn("run", F.expr("count_if(ok) over (partition by file, stream_idx order by block_idx)")).where("not ok")
-    runs = frozen(ranges.join(status, [*keys, "block_idx"]).groupBy("file", "stream_idx", "run").agg(F.array_sort(F.collect_list(F.struct("start_bit", "end_bit", "crc", "stream_idx", "level"))).alias("rs")).where("size(rs) > 1"))
+    mine = ranges.join(doubtful, keys, "left_semi")
+    length = mine.groupBy(*keys).agg((F.max("end_bit") - F.min("start_bit")).alias("bits"))
+    length = frozen(length.select(*keys, (F.col("bits") > 8 * IN_PLACE).alias("long")))
+    found = mine.join(length.where("not long").select(*keys), keys, "left_semi").withColumn("run", F.lit(0).cast("long"))
+    if not (long := length.where("long").select(*keys)).isEmpty():
+        status = check(mine.join(long, keys, "left_semi")).select(*keys, "block_idx", F.col("crc_valid").alias("ok"))
+        status = status.withColumn("run", F.expr("count_if(ok) over (partition by file, stream_idx order by block_idx)")).where("not ok")
+        found = found.unionByName(ranges.join(status.drop("ok"), [*keys, "block_idx"]))
+    runs = frozen(found.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("start_bit", "end_bit", "crc", "stream_idx", "level"))).alias("rs")).where("size(rs) > 1"))
     if runs.isEmpty():
         return ranges, doubtful
     put = join(runs.select("file", F.expr("rs[0].start_bit div 8").alias("a"), F.expr("(rs[size(rs) - 1].end_bit + 7) div 8").alias("z"), "rs")).select(*_JOINED_NAMES)

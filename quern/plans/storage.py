@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate data that all executors see.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a temporary folder is used.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs on
+    one machine, as in tests, a temporary folder is used; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-"))
     return sc.getCheckpointDir()
 
 
