@@ -189,13 +189,13 @@ def _groups(keys: np.ndarray):
 def _band_tables(parts: int):
     """Packed tables (part, keys, hashes) of the bands, with every different line of a task, and references.
 
-    A reference tells, for each document and different line of it, the line's hash ``h``, the document,
-    the first line number, and further ones (``rest``).
+    A reference tells, for each document and different line of it, the line's hash ``h``, the document and a hash of its whole
+    text ``own`` (texts may share an id), the first line number, and further ones (``rest``).
     """
 
     def work(batches):
         texts: dict[int, str] = {}
-        refs: tuple[list, list, list, list] = ([], [], [], [])
+        refs: tuple[list, ...] = ([], [], [], [], [])
         size = 0
 
         def flush():
@@ -215,23 +215,23 @@ def _band_tables(parts: int):
             begins, ends = _groups(target)
             n = len(begins)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(target[begins], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([hs[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), *(pa.array([x] + [[]] * (n - 1), pa.list_(k)) for x, k in zip(refs, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))))],
-                ["part", "keys", "hashes", "h", "doc_id", "line", "rest"],
+                [pa.array(target[begins], pa.int32()), pa.array([keys[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), pa.array([hs[a:z].tobytes() for a, z in zip(begins, ends)], pa.binary()), *(pa.array([x] + [[]] * (n - 1), pa.list_(k)) for x, k in zip(refs, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))))],
+                ["part", "keys", "hashes", "h", "doc_id", "own", "line", "rest"],
             )
             texts.clear()
             for x in refs:
                 x.clear()
 
         for b in _slices(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own: dict[int, int] = {}
+            for doc_id, text, own in zip(*(b.column(k).to_pylist() for k in range(3))):
+                at: dict[int, int] = {}
                 for k, n in _lines(text):
                     h = line_hash(n)
-                    if h in own:
-                        refs[3][own[h]] = [*(refs[3][own[h]] or ()), k]
+                    if h in at:
+                        refs[4][at[h]] = [*(refs[4][at[h]] or ()), k]
                         continue
-                    own[h] = len(refs[0])
-                    for x, value in zip(refs, (h, doc_id, k, None)):
+                    at[h] = len(refs[0])
+                    for x, value in zip(refs, (h, doc_id, own, k, None)):
                         x.append(value)
                     size += REFERRED
                     if h not in texts:
@@ -249,9 +249,10 @@ def _band_tables(parts: int):
 PAIR, REFERENCE, MEMBER = range(3)
 
 
-def _rows(kind: int, u, v, line=None, rest=None) -> pa.RecordBatch:
+def _rows(kind: int, u, v, own=None, line=None, rest=None) -> pa.RecordBatch:
     n = len(u)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), u, v, pa.nulls(n, pa.int32()) if line is None else line, pa.nulls(n, pa.list_(pa.int32())) if rest is None else rest], ["kind", "u", "v", "line", "rest"])
+    others = [pa.nulls(n, k) if x is None else x for x, k in ((own, pa.int64()), (line, pa.int32()), (rest, pa.list_(pa.int32())))]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), u, v, *others], ["kind", "u", "v", "own", "line", "rest"])
 
 
 def _reduced(batches):
@@ -261,7 +262,7 @@ def _reduced(batches):
     for b in batches:
         for part, keys, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             held.setdefault(part, []).append((keys, hashes))
-        yield _rows(REFERENCE, *(b.column(k).flatten() for k in range(3, 7)))
+        yield _rows(REFERENCE, *(b.column(k).flatten() for k in range(3, 8)))
     for part in sorted(held):
         rows = held.pop(part)
         keys = np.frombuffer(b"".join(k for k, _ in rows), np.uint64)
@@ -394,13 +395,13 @@ def _verified(batches):
 
 def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``u, v``: hashes of different normal lines whose similarity was found to reach ``SIMILAR``;
-    and the references ``h, doc_id, line, rest``."""
+    and the references ``h, doc_id, own, line, rest``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    tables = rows.mapInArrow(tidied(_band_tables(parts)), "part int, keys binary, hashes binary, h array<long>, doc_id array<long>, line array<int>, rest array<array<int>>")
+    tables = rows.select("doc_id", "t", _own("t")).mapInArrow(tidied(_band_tables(parts)), "part int, keys binary, hashes binary, h array<long>, doc_id array<long>, own array<long>, line array<int>, rest array<array<int>>")
     # One exchange, and one table written, serve all three.
-    found = frozen(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, line int, rest array<int>"))
+    found = frozen(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, own long, line int, rest array<int>"))
     pairs = frozen(found.where(f"kind = {PAIR}").select("u", "v").distinct())
     members = found.where(f"kind = {MEMBER}").select(F.col("u").alias("unit"), F.col("v").alias("h")).distinct()
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("h")).unionAll(members.select("h"))
@@ -413,30 +414,35 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     both = pairs.join(lines.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(lines.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
     grouped = members.join(lines, "h").groupBy("unit").applyInArrow(_linked, "u long, v long")
     sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(grouped)
-    return sure, found.where(f"kind = {REFERENCE}").select(F.col("u").alias("h"), F.col("v").alias("doc_id"), "line", "rest")
+    return sure, found.where(f"kind = {REFERENCE}").select(F.col("u").alias("h"), F.col("v").alias("doc_id"), "own", "line", "rest")
+
+
+def _own(text_col: str):
+    """Tells texts apart that share an id."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lines, keeper_doc, keeper_line``: lines of a document that go, and the line that stays for them.
+    """``doc_id, own, lines, keeper_doc, keeper_line``: lines of a document that go, and the line that stays for them.
 
-    Of a component's lines the one with the smallest (id, line number) stays. ``keeper_line`` is
+    ``own`` is the hash of the document's whole text. Of a component's lines the one with the smallest (id, hash of the text, line number) stays. ``keeper_line`` is
     null where exact copies alone are meant and the line that stays is in another document.
     """
     named = docs.where(F.col(id_col).isNotNull())
     found, refs = edges(named, id_col, text_col)
     linked = components(found)
     # The first document of each line, by a plain partial minimum, as a line may be in most documents.
-    first = refs.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    first = refs.groupBy("h").agg(F.min(F.struct("doc_id", "own")).alias("first"), F.count("*").alias("n"))
     member = first.join(linked, first["h"] == linked["node"], "left").where("n > 1 OR component IS NOT NULL").select("h", "first", F.coalesce("component", "h").alias("component"), (F.col("component").isNotNull()).alias("several"))
     member = frozen(member)
     # Which line of that document matters only where a component has several different lines.
     several = member.where("several")
-    placed = refs.join(several.select("h", "first", "component"), "h").where("doc_id = first").groupBy("component").agg(F.min(F.struct("doc_id", "line", "h")).alias("at"))
-    keeper = several.join(placed, "component").select("h", F.col("at.doc_id").alias("keeper_doc"), F.col("at.h").alias("keeper_h"), F.col("at.line").alias("keeper_line"))
-    keeper = keeper.unionAll(member.where("NOT several").select("h", F.col("first").alias("keeper_doc"), F.col("h").alias("keeper_h"), F.lit(None).cast("int").alias("keeper_line")))
-    found = refs.join(keeper.hint("shuffle_hash"), "h", "left").withColumn("stays", F.expr("keeper_h IS NULL OR h = keeper_h AND doc_id = keeper_doc"))
+    placed = refs.join(several.select("h", "first", "component"), "h").where("doc_id = first.doc_id AND own = first.own").groupBy("component").agg(F.min(F.struct("doc_id", "own", "line", "h")).alias("at"))
+    keeper = several.join(placed, "component").select("h", F.col("at.doc_id").alias("keeper_doc"), F.col("at.own").alias("keeper_own"), F.col("at.h").alias("keeper_h"), F.col("at.line").alias("keeper_line"))
+    keeper = keeper.unionAll(member.where("NOT several").select("h", F.col("first.doc_id").alias("keeper_doc"), F.col("first.own").alias("keeper_own"), F.col("h").alias("keeper_h"), F.lit(None).cast("int").alias("keeper_line")))
+    found = refs.join(keeper.hint("shuffle_hash"), "h", "left").withColumn("stays", F.expr("keeper_h IS NULL OR h = keeper_h AND doc_id = keeper_doc AND own = keeper_own"))
     gone = F.concat(F.when(F.col("stays"), F.array().cast("array<int>")).otherwise(F.array("line")), F.coalesce("rest", F.array().cast("array<int>")))
-    return found.select("doc_id", gone.alias("lines"), F.coalesce("keeper_doc", "doc_id").alias("keeper_doc"), F.coalesce("keeper_line", F.when(F.col("keeper_doc").isNull() | F.col("stays"), F.col("line"))).alias("keeper_line")).where("size(lines) > 0")
+    return found.select("doc_id", "own", gone.alias("lines"), F.coalesce("keeper_doc", "doc_id").alias("keeper_doc"), F.coalesce("keeper_line", F.when(F.col("keeper_doc").isNull() | F.col("stays"), F.col("line"))).alias("keeper_line")).where("size(lines) > 0")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,12 +451,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Two more columns, ``n_lines`` and ``n_removed`` (with underscores before them where
     ``docs`` has such columns), count the lines that were there and those that went. Blank lines stay; a null or empty text stays as it is; a text may become
     empty. Rows with a null id pass through untouched and their lines count for
-    nothing. Rows that share an id and a line number share that line's fate, so a repeated
+    nothing. Texts that share an id are told apart by a hash of the whole text; a repeated
     row loses the same lines as the first. An empty table gives an empty table.
     """
-    gone_id, lines, split, n_lines, n_removed = (unused(c, docs.columns) for c in ("_gone_id", "_gone", "_split", "n_lines", "n_removed"))
-    gone = removals(docs, id_col, text_col).groupBy(F.col("doc_id").alias(gone_id)).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(lines))
-    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col(gone_id), "left")
+    gone_id, own, lines, split, n_lines, n_removed = (unused(c, docs.columns) for c in ("_gone_id", "_own", "_gone", "_split", "n_lines", "n_removed"))
+    gone = removals(docs, id_col, text_col).groupBy(F.col("doc_id").alias(gone_id), F.col("own").alias(own)).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias(lines))
+    joined = docs.join(gone.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col(gone_id)) & (_own(text_col) == F.col(own)), "left")
     text = F.col(text_col).cast("string")
     joined = joined.withColumn(split, F.when(F.col(lines).isNotNull(), F.split(text, "\n")))
     # The numbers of the lines that stay come from a difference of sets, so the work is linear in the lines.

@@ -39,6 +39,9 @@ STRETCH, AGAIN = 512, 8
 #: Segments whose ids a worker remembers.
 REMEMBERED = 500_000
 
+#: Bytes of input, by the optimizer's estimate, that a task gets at least: each task ends with an unfilled window.
+PART = 2 << 20
+
 #: Texts with other white space than single spaces and single line breaks, or with the mark put between segments.
 _ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n\\n| \\n|\\n "
 _ENDS = (".", "!", "?", "…", "。")
@@ -281,11 +284,14 @@ def _packed(path: str, length: int, with_ids: bool):
 def pack(df: DataFrame, tokenizer_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, a row for each piece.
 
-    Documents keep the order in which ``df``'s partitions hold them, and each partition
-    ends with one unfilled window. There is no shuffle. ``sequence_id`` is the partition's number times 2^32 plus a
+    Documents keep the order in which each of ``df``'s partitions holds them; there is no order across partitions. Partitions
+    so small that their unfilled last windows would count are read several by one task, in turn, without a
+    shuffle. ``sequence_id`` is the partition's number times 2^32 plus a
     counter. ``with_ids`` adds the piece's ids. Null and empty texts are the
     single end id; null ids stay null; a repeated row is packed again; other columns are not
     read. An empty table gives an empty table. ``tokenizer_path`` must exist on the executors.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidied(_packed(tokenizer_path, length, with_ids)), schema)
+    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.coalesce(min(max(1, size // PART), 1 << 30)).mapInArrow(tidied(_packed(tokenizer_path, length, with_ids)), schema)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import frozen
+from quern.llm.common import frozen, unused
 
 BITS, DIMS = 5, 3
 
@@ -89,10 +89,14 @@ def hilbert_shards(df: DataFrame, shards: int = 8, id_col: str = "doc_id", text_
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes ``df``, with the columns of documents, as one folder for each shard, sorted along the curve.
+    """Writes ``df``, with the columns of documents, as one folder ``shard=k`` for each shard, sorted along the curve.
 
-    Ids must not repeat. Each file then covers a short stretch of the curve.
+    Each file then covers a short stretch of the curve. Every row is written once: rows get a key of their own, so null and
+    repeated ids are no matter. A column of ``df`` named ``shard`` is written as ``_shard``.
     """
-    at = hilbert_shards(df, shards).select("doc_id", "shard", "slot")
-    out = df.join(at, "doc_id")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    row, at, slot = (unused(c, [*df.columns, "shard"]) for c in ("_row", "_shard_at", "_slot"))
+    rows = frozen(df.withColumn(row, F.monotonically_increasing_id()))
+    placed = hilbert_shards(rows, shards, id_col=row).select(F.col("doc_id").alias(at), F.col("shard").alias("_to"), F.col("slot").alias(slot))
+    out = rows.join(placed, F.col(row) == F.col(at))
+    out = out.select(*[F.col(c).alias(unused("_shard", df.columns) if c.lower() == "shard" else c) for c in df.columns], F.col("_to").alias("shard"), slot)
+    out.repartitionByRange("shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.mode("overwrite").partitionBy("shard").parquet(path)

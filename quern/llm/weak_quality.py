@@ -145,6 +145,18 @@ def fit_labellers(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100
     return {tuple(map(int, p)): float(g) for (p, _), g in zip(patterns, good)}
 
 
+def code_of(votes) -> int:
+    """A vote pattern as a number: one digit to the base 3 for each labeller."""
+    out = 0
+    for v in votes:
+        out = 3 * out + v + 1
+    return out
+
+
+def votes_of(code: int) -> tuple[int, ...]:
+    return tuple(code // 3**k % 3 - 1 for k in reversed(range(len(LABELLERS))))
+
+
 def _train(batches):
     """One task over the bounded sample: adaptive gradient steps on the soft labels."""
     rows = sorted(((t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), key=lambda r: zlib.crc32(r[0].encode("utf-8", "surrogatepass")))
@@ -167,7 +179,7 @@ def _train(batches):
 
 def _voted(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(examine(t, True)[0]) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), b.column(2)], ["doc_id", "votes", "key"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([code_of(examine(t, True)[0]) for t in b.column(1).to_pylist()], pa.int32()), b.column(2)], ["doc_id", "code", "key"])
 
 
 def weak_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,13 +193,16 @@ def weak_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     key = F.xxhash64("t")
-    voted = frozen(rows.select("doc_id", "t", key.alias("key")).mapInArrow(_voted, "doc_id long, votes array<int>, key long"))
-    counted = [(tuple(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()]
-    posterior = fit_labellers(counted)
+    voted = frozen(rows.select("doc_id", "t", key.alias("key")).mapInArrow(_voted, "doc_id long, code int, key long"))
+    counted = [(votes_of(r["code"]), r["n"]) for r in voted.groupBy("code").agg(F.count("*").alias("n")).collect()]
+    # By code, so what goes with each task has a fixed size (4 MB).
+    posterior = np.full(3 ** len(LABELLERS), 0.5)
+    for votes, p in fit_labellers(counted).items():
+        posterior[code_of(votes)] = p
     # The sample: the texts with the smallest hashes, each once.
-    heads = voted.groupBy("key").agg(F.first("votes").alias("votes")).orderBy("key").limit(SAMPLE).collect()
+    heads = voted.groupBy("key").agg(F.first("code").alias("code")).orderBy("key").limit(SAMPLE).collect()
     spark = df.sparkSession
-    chosen = spark.createDataFrame([(r["key"], posterior[tuple(r["votes"])]) for r in heads], "key long, y double")
+    chosen = spark.createDataFrame([(r["key"], float(posterior[r["code"]])) for r in heads], "key long, y double")
     texts = rows.select("t", key.alias("key")).join(F.broadcast(chosen), "key").select("key", "t", "y").dropDuplicates(["key"]).select("t", "y")
     got = texts.coalesce(1).mapInArrow(_train, "w array<double>").collect()
     weights = np.array(got[0]["w"]) if got else np.zeros(BINS + 1)
@@ -201,6 +216,6 @@ def weak_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 v.append(votes)
                 z.append(bias + float(w[bins] @ x))
             s = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array([posterior.get(x, 0.5) for x in v], pa.float64()), pa.array(s, pa.float64()), pa.array(s >= 0.5)], ["doc_id", "votes", "weak_posterior", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(x) for x in v], pa.list_(pa.int32())), pa.array(posterior[[code_of(x) for x in v]], pa.float64()), pa.array(s, pa.float64()), pa.array(s >= 0.5)], ["doc_id", "votes", "weak_posterior", "score", "kept"])
 
     return rows.mapInArrow(score, "doc_id long, votes array<int>, weak_posterior double, score double, kept boolean")

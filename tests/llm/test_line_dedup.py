@@ -160,3 +160,30 @@ def test_a_line_does_not_stand_for_another(spark):
     for docs in (apart, df.coalesce(1)):
         left = L.dedup_lines(docs).where("text <> ''").collect()
         assert sorted(r["doc_id"] for r in left) == [3 * k for k in range(20)]
+
+
+def test_texts_that_share_an_id(spark):
+    """Each loses its own lines only, and no line goes everywhere."""
+    a, b, c = (sentences(k, 12).replace("\n", " ") for k in (71, 72, 73))
+    rows = [(0, a), (1, f"{a}\n{b}"), (1, f"{c}\nx {c}"), (1, f"{c}\nx {c}"), (2, c)]
+    out = sorted((r["doc_id"], r["text"]) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    left = "\n".join(t for _, t in out).split("\n")
+    assert left.count(a) == 1 and left.count(b) == 1 and (0, a) in out and (1, b) in out and (2, "") in out
+    assert len([t for i, t in out if i == 1 and c in t]) == 2  # a repeated row shares the fate of the first
+
+
+def test_partitions_do_not_matter(spark):
+    """300 near copies of one line: the same lines stay however rows are dealt out, and as many as by brute force."""
+    r = random.Random(8)
+    base = sentences(5, 40).replace("\n", " ").split(" ")
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for at in r.sample(range(len(w)), 2):
+            w[at] = f"w{r.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {n: sorted(x["doc_id"] for x in L.dedup_lines(df.repartition(n, "doc_id")).where("text <> ''").collect()) for n in (1, 4, 60, 211)}
+    assert len(set(map(tuple, left.values()))) == 1
+    want = sum(1 for _, t in brute(rows) if t)
+    assert 300 - len(left[1]) >= 0.98 * (300 - want)

@@ -104,3 +104,11 @@ def test_stretches_are_joined(monkeypatch):
         assert [(i, int(a)) for i, s, ids, *_ in out for a in ids] == [(i, int(a)) for i, ids, _ in docs for a in ids]
         windows.append(p.window)
     assert windows[0] <= windows[1] * 1.02 + 1
+
+
+def test_little_padding_in_many_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for n in (16, 211):
+        rows = K.pack(docs.repartition(n), tokenizer_file()).collect()
+        tokens, windows = sum(r["length"] for r in rows), len({r["sequence_id"] for r in rows})
+        assert 2048 * windows - tokens < 0.03 * tokens

@@ -49,3 +49,15 @@ def test_files_prune(spark, docs, tmp_path):
     assert sorted(r["doc_id"] for r in back.collect()) == sorted(r["doc_id"] for r in docs.collect())
     langs = [r[0] for r in back.groupBy("shard").agg({"lang": "collect_set"}).select("collect_set(lang)").collect()]
     assert sum(len(x) for x in langs) < 8 * 4
+
+
+def test_files_keep_every_row(spark, odd, tmp_path):
+    """Nulls, repeated ids and columns named like the shards."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "out")
+    df = odd.withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(3))
+    H.write_shards(df, path)
+    back = spark.read.parquet(path).select(*[c if c != "shard" else F.col("_shard").alias("shard") for c in df.columns])
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(back) == rows(df)

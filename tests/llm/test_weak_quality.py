@@ -1,3 +1,7 @@
+import math
+import random
+import zlib
+from collections import Counter
 import numpy as np
 
 from quern.llm import weak_quality as Q
@@ -43,3 +47,41 @@ def test_votes():
     assert min(votes.values()) >= 0
     assert Q.examine(None)[0] == Q.examine(" \n")[0] == (-1, *[0] * 11)
     assert dict(zip(Q.LABELLERS, Q.examine("spam " * 100)[0]))["stutter"] == -1
+
+
+def test_em_against_plain_rows():
+    """The same EM, a row at a time without counted patterns."""
+    r = random.Random(5)
+    rows = [tuple(r.choice((-1, 0, 1, 1)) for _ in range(4)) for _ in range(80)]
+    p = [min(0.98, max(0.02, 0.5 + sum(v) / 8)) for v in rows]
+    for _ in range(100):
+        odds = []
+        for side in (0, 1):
+            w = [q if side else 1 - q for q in p]
+            share = [{x: 1.0 + sum(a for a, v in zip(w, rows) if v[k] == x) for x in (-1, 0, 1)} for k in range(4)]
+            odds.append([math.log((sum(w) + 1) / (len(rows) + 2)) + sum(math.log(share[k][v[k]] / sum(share[k].values())) for k in range(4)) for v in rows])
+        p = [1 / (1 + math.exp(a - b)) for a, b in zip(*odds)]
+    got = Q.fit_labellers(list(Counter(rows).items()))
+    assert all(abs(got[v] - q) < 1e-6 for v, q in zip(rows, p))
+
+
+def test_features_against_plain_words():
+    """Each word's share, and each shape's, counted one by one."""
+    for t in (sentences(3, 150), "Spam spam SPAM 12 a-b!", "x"):
+        words, want = t.split(), {}
+        crc = lambda x: zlib.crc32(x.encode()) % Q.BINS
+        for w in set(words):
+            n = words.count(w)
+            for b, x in ((crc(w.lower()), 0.5 * math.sqrt(n / len(words))), (crc("\0" + Q._shape(w)), 4 * n / len(words))):
+                want[b] = want.get(b, 0) + x
+        again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        for b, x in ((crc("\1again"), 4 * again), (crc(f"\1length{len(words).bit_length()}"), 1.0)):
+            want[b] = want.get(b, 0) + x
+        _, bins, values = Q.examine(t)
+        got = np.bincount(bins, values, Q.BINS)
+        assert {int(b) for b in np.flatnonzero(got)} == {b for b, x in want.items() if x} and all(abs(got[b] - x) < 1e-9 for b, x in want.items())
+
+
+def test_codes():
+    for v in ((-1,) * 12, (1,) * 12, (0, 1, -1) * 4):
+        assert Q.votes_of(Q.code_of(v)) == v and 0 <= Q.code_of(v) < 3**12
