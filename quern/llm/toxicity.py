@@ -1,11 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Small transducers read a clause word by word: insult, threat, target, negation, reported
-speech, and suspects, that is words of a stem that is over-used in toxic texts. Their
-product, built as states are met, is one machine whose final state gives the clause an
-output such as "insult, aimed at someone, not negated, not reported", with the number of
-words that led to it as its weight. A text's score is a logistic function of its outputs'
-weights, so a denied or quoted insult counts less than a plain one.
+Small weighted transducers read a clause word by word. Negation writes to each word whether it is in the
+reach of a negation; reported speech and target pass words on and remember what they saw; insult, threat and suspect (words of a
+stem that is over-used in toxic texts) give arcs over their words a weight. Composed, one's output the
+next one's input, they are one machine. A path's weight is the sum of its arcs' and its final state's label completes it: "one insult,
+aimed at someone, not negated, not reported". A text's score is a logistic function of its clauses'
+weights, so a denied or quoted insult counts less than a plain one, word by word.
 
 The weights of outputs, insults missing from the word list, and stems are learned from
 labelled texts.
@@ -14,6 +14,7 @@ labelled texts.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -72,39 +73,82 @@ class Lexer:
         return c
 
 
-class Machine:
-    """The product of the transducers, over classes of words.
+class Transducer:
+    """``arcs``: (state, symbol) to (next state, symbol written, weights), for each state and symbol that can be met.
 
-    A state is (words of negation scope left, reported, target seen, and for threat, insult
-    and suspect 0 none, 1 negated, 2 plain). A word of these three has weight 1.
+    States are tuples, so those of a composition are put together. Weights are names that are counted along a path.
     """
 
-    START = (0, False, False, 0, 0, 0)
+    def __init__(self, start: tuple, arcs: dict[tuple, tuple]):
+        self.start, self.arcs = start, arcs
+
+    def then(self, other: "Transducer") -> "Transducer":
+        """The composition: what this one writes the other reads. Only states that can be reached are made."""
+        by_state: dict[tuple, list] = {}
+        for (state, symbol), arc in self.arcs.items():
+            by_state.setdefault(state, []).append((symbol, arc))
+        n, start = len(self.start), self.start + other.start
+        arcs, left, seen = {}, [start], {start}
+        while left:
+            state = left.pop()
+            for symbol, (here, written, weights) in by_state[state[:n]]:
+                there, out, more = other.arcs[state[n:], written]
+                arcs[state, symbol] = here + there, out, weights + more
+                if here + there not in seen:
+                    seen.add(here + there)
+                    left.append(here + there)
+        return Transducer(start, arcs)
+
+
+_CLASSES = range(7)
+_WORDS = list(product(_CLASSES, (False, True)))  # a class, and whether the word is negated
+
+
+def negation() -> Transducer:
+    """Reads classes, writes them with whether a negation reaches the word; the state is what is left of its reach."""
+    return Transducer((0,), {((s,), c): ((SCOPE if c == N else max(0, s - 1),), (c, s > 0), ()) for s in range(SCOPE + 1) for c in _CLASSES})
+
+
+def remembers(cls: int) -> Transducer:
+    """Passes words on; the state tells whether the class was met."""
+    return Transducer((False,), {((s,), w): ((s or w[0] == cls,), w, ()) for s in (False, True) for w in _WORDS})
+
+
+def weighs(kind: str, cls: int) -> Transducer:
+    """Passes words on; arcs over the class weigh one of the kind, negated or not."""
+    return Transducer((), {((), w): ((), w, ((kind, w[1]),) * (w[0] == cls)) for w in _WORDS})
+
+
+#: The grammar's parts in the order of their composition. States: reach of a negation, reported, target met.
+PARTS = (negation, lambda: remembers(R), lambda: remembers(G), *(lambda k=k, c=c: weighs(k, c) for k, c in zip(KINDS, (T, I, S))))
+
+
+class Machine:
+    """The composition of ``PARTS``, with numbered states and weights."""
+
+    WEIGHTS = [(k, negated) for k in KINDS for negated in (False, True)]
 
     def __init__(self):
-        self.next: dict[tuple, tuple] = {}
+        whole = reduce(Transducer.then, [p() for p in PARTS])
+        self.states = [whole.start, *sorted({s for s, _ in whole.arcs} - {whole.start})]
+        number = {s: k for k, s in enumerate(self.states)}
+        self.table = [[(number[n], self.WEIGHTS.index(w[0]) if w else -1) for n, _, w in (whole.arcs[s, c] for c in _CLASSES)] for s in self.states]
 
-    @staticmethod
-    def _step(state, c):
-        scope, reported, target, threat, insult, suspect = state
-        found = 1 if scope else 2
-        return (SCOPE if c == N else max(0, scope - 1), reported or c == R, target or c == G, max(threat, found * (c == T)), max(insult, found * (c == I)), max(suspect, found * (c == S)))
+    def read(self, classes: list[int]) -> list[tuple[int, int]]:
+        """Indices of the clause's outputs and their weights.
 
-    def read(self, classes: list[int]) -> tuple[int, int] | None:
-        """Index of the clause's output and its weight; None if it has none."""
-        s, seen = self.START, [0] * 7
+        They are those of the gravest kind met. A threat needs a target; without one its word is as any other.
+        """
+        s, table, found = 0, self.table, [0] * len(self.WEIGHTS)
         for c in classes:
-            seen[c] += 1
-            k = (s, c)
-            if (n := self.next.get(k)) is None:
-                n = self.next[k] = self._step(s, c)
-            s = n
-        _, reported, target, threat, insult, suspect = s
-        # A threat needs a target; without one its word is as any other.
-        for kind, strength, weight in (("threat", threat if target else 0, seen[T]), ("insult", insult, seen[I]), ("suspect", suspect, seen[S])):
-            if strength:
-                return _OUTPUT[kind, bool(target), strength == 1, bool(reported)], weight
-        return None
+            s, w = table[s][c]
+            if w >= 0:
+                found[w] += 1
+        _, reported, target = self.states[s]
+        for k, kind in enumerate(KINDS):
+            if any(found[2 * k : 2 * k + 2]) and (target or kind != "threat"):
+                return [(_OUTPUT[kind, target, negated, reported], n) for negated, n in zip((False, True), found[2 * k : 2 * k + 2]) if n]
+        return []
 
 
 def outputs(text: str | None, lexer: Lexer, machine: Machine) -> np.ndarray:
@@ -116,8 +160,9 @@ def outputs(text: str | None, lexer: Lexer, machine: Machine) -> np.ndarray:
     key = [w for w in set(words) if lexer(w) <= S]
     if key:
         for clause in _CLAUSE.split(low):
-            if any(w in clause for w in key) and (got := machine.read([lexer(w) for w in _WORD.findall(clause)])):
-                out[got[0]] += got[1]
+            if any(w in clause for w in key):
+                for k, n in machine.read([lexer(w) for w in _WORD.findall(clause)]):
+                    out[k] += n
     return out
 
 

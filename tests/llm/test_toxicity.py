@@ -65,3 +65,41 @@ def test_odd_rows(spark, odd, no_rows):
     assert got.count() == odd.count() and got.where("score is null or predicted <> 0").count() == 0
     assert X.toxicity(no_rows, labels).count() == 0
     assert X.toxicity(odd, labels.where("false")).where("predicted <> 0").count() == 0
+
+
+def test_composition_against_the_parts_one_by_one():
+    """Path sums of a random clause: each part reads what the one before it wrote."""
+    r, machine = random.Random(2), X.Machine()
+    parts = [p() for p in X.PARTS]
+    for _ in range(500):
+        classes = [r.choice((X.I, X.T, X.S, X.G, X.N, X.R, X.O, X.O)) for _ in range(r.randrange(12))]
+        tape, sums, ends = classes, {}, []
+        for p in parts:
+            state, written = p.start, []
+            for x in tape:
+                state, out, weights = p.arcs[state, x]
+                written.append(out)
+                for w in weights:
+                    sums[w] = sums.get(w, 0) + 1
+            tape, ends = written, [*ends, *state]
+        _, reported, target = ends
+        kinds = [k for k in X.KINDS if any(w[0] == k for w in sums) and (target or k != "threat")]
+        want = {(kinds[0], target, n, reported): c for (k, n), c in sums.items() if k == kinds[0]} if kinds else {}
+        assert {X.OUTPUTS[k]: n for k, n in machine.read(classes)} == want
+
+
+def test_each_word_has_its_own_weight():
+    lexer, machine = X.Lexer(), X.Machine()
+    got = {X.OUTPUTS[k]: n for k, n in enumerate(X.outputs("you idiot, not a moron", lexer, machine)[:-1]) if n}
+    assert got == {("insult", True, False, False): 1, ("insult", True, True, False): 1}
+
+
+def test_recall_on_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = X.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r["predicted"] for r in got if r["toxic"]]
+    assert len(toxic) > 50 and sum(toxic) >= 0.88 * len(toxic)
+    clean = [r["predicted"] for r in got if not r["toxic"]]
+    assert sum(clean) <= 0.01 * len(clean)
+    print(sum(toxic), len(toxic), sum(clean), len(clean))
