@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import frozen
+from quern.llm.common import frozen, tidied
 
 
 def _contract(batches):
@@ -50,7 +50,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     an edge to another node do not appear. More than ``rounds`` steps raise an error.
     """
     u, v = edges.columns[:2]
-    e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v").mapInArrow(_contract, "u long, v long")
+    e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u <> v").mapInArrow(tidied(_contract), "u long, v long")
     # u > v holds in every row from here on, and no row repeats after a step.
     e = frozen(e)
     for _ in range(rounds):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACE, frozen, stored
+from quern.llm.common import SPACE, frozen
 
 SYMBOLS = "#*$%&|<>"
 #: measure: (numerator, denominator, least factor between quartile and fence, judged from below too). Each
@@ -71,7 +71,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def sketches(measured: DataFrame) -> DataFrame:
     """``lang_key, source_key, measure, bucket, n`` over the documents that pass the base rules.
 
-    ``measured`` must have been written, as each measure is used several times.
+    ``measured`` must have been written, or come from ``_once``, as each measure is used several times.
     """
     m = measured.where("NOT base_failed")
     rows = m.select("lang_key", "source_key", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(_bucket(k)).alias("bucket")) for k in MEASURES])).alias("x"))
@@ -102,9 +102,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return q.groupBy("lang_key", "source_key").agg(*fences)
 
 
-def _judged(measured: DataFrame) -> DataFrame:
-    """``measured`` with ``kept``. It must be written, as it is read twice."""
-    fences = frozen(thresholds(sketches(measured)))
+def _once(measured: DataFrame) -> DataFrame:
+    """The same rows, for a single use: the optimizer evaluates each measure once, below, though it is used several times above."""
+    return measured.withColumn("once", F.monotonically_increasing_id()).where("once >= 0")
+
+
+def _judged(measured: DataFrame, sketch: DataFrame) -> DataFrame:
+    """``measured`` with ``kept``, by the thresholds that follow from the sketches."""
+    fences = frozen(thresholds(frozen(sketch)))
     if fences.count() <= BROADCAST:
         fences = F.broadcast(fences)
     within = " and ".join(f"{k} <= high_{k}" + f" and {k} >= low_{k}" * below for k, (*_, below) in MEASURES.items())
@@ -119,16 +124,17 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows count, and come out, as often as they occur; null ids stay null; further
     columns, whatever their names, are not read. An empty table gives an empty table.
     """
-    judged = _judged(frozen(measures(df, id_col, text_col, lang_col, source_col)))
+    m = frozen(measures(df, id_col, text_col, lang_col, source_col))
+    judged = _judged(m, sketches(m))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, each judged by itself, in their order.
 
-    The rows are written once with their measures, so texts are neither measured twice nor exchanged.
+    Texts are measured twice, for the sketches and where they are judged, and neither exchanged nor written between.
     """
-    return _judged(stored(measures(docs, whole=True), "measured")).where("kept").select("row.*")
+    return _judged(_once(measures(docs, whole=True)), sketches(_once(measures(docs)))).where("kept").select("row.*")
 
 
 #: The same in DuckDB over ``documents``.
