@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import frozen, tidied, unused
+from quern.llm.common import frozen, stored, tidied, unused
 from quern.llm.components import components
 
 SHINGLE, BANDS, ROWS, SIMILAR = 8, 9, 4, 0.8
@@ -400,8 +400,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     tables = rows.select("doc_id", "t", _own("t")).mapInArrow(tidied(_band_tables(parts)), "part int, keys binary, hashes binary, h array<long>, doc_id array<long>, own array<long>, line array<int>, rest array<array<int>>")
-    # One exchange, and one table written, serve all three.
-    found = frozen(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, own long, line int, rest array<int>"))
+    # One exchange, and one table written by columns, serve all three.
+    found = stored(tables.repartition(parts, "part").mapInArrow(tidied(_reduced), "kind int, u long, v long, own long, line int, rest array<int>"), "lines")
     pairs = frozen(found.where(f"kind = {PAIR}").select("u", "v").distinct())
     members = found.where(f"kind = {MEMBER}").select(F.col("u").alias("unit"), F.col("v").alias("h")).distinct()
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("h")).unionAll(members.select("h"))
