@@ -132,3 +132,70 @@ def test_ways_agree_on_null_and_repeated_ids(spark, monkeypatch):
         seen.append([sorted(map(tuple, x.collect()), key=str) for x in (D.matches(df, items), D.decontaminated(df, items))])
     assert seen[0] == seen[1] and len(seen[0][0]) == 3
     assert seen[0][1] == sorted([rows[2], rows[4], rows[5]], key=str)
+
+
+def plain_match(item, text):
+    """The rule word by word at every shift, without hashes or windows in arrays: (windows, share, changed) or None."""
+    import re
+    from collections import Counter
+
+    def read(t):
+        out, begins = [], True
+        for w in re.findall(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[%€$£¥°]|[.!?:;\n\"«»“”(]", t):
+            if w in '.!?:;\n"«»“”(':
+                begins = True
+                continue
+            kind = "number" if w[0].isdigit() else "unit" if w.lower() in D.UNITS.split() else "name" if len(w) > 1 and w[0].isupper() and w[1:].islower() else None
+            out.append((w.lower(), kind, kind == "name" and begins))
+            begins = False
+        return out
+
+    a, b = read(item), read(text)
+    size = min(8, len(a))
+    most, good, changed = size // 2, set(), False
+    for shift in range(-len(a) + size, len(b) - size + 1):
+        pair = {k: (a[k], b[k + shift]) for k in range(len(a)) if 0 <= k + shift < len(b)}
+        plain = {k for k, (x, y) in pair.items() if x[0] == y[0] and (not x[1] or x[2]) and (not y[1] or y[2])}
+        filled = {k for k, (x, y) in pair.items() if k not in plain and x[1] and x[1] == y[1]}
+        whole = [range(p, p + size) for p in range(len(a) - size + 1) if p in pair and p + size - 1 in pair]
+        copied = {w[0] for w in whole if all(pair[k][0][0] == pair[k][1][0] for k in w)}
+        fits = [w for w in whole if size >= 4 and all(k in plain or k in filled for k in w) and sum(k in filled for k in w) <= most]
+        votes = Counter((pair[k][0][0], pair[k][1][0]) for w in fits for k in w if k in filled)
+        there, back = {}, {}
+        for (x, y), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+            if x not in there and y not in back:
+                there[x], back[y] = y, x
+        fits = {w[0] for w in fits if all(there[pair[k][0][0]] == pair[k][1][0] if pair[k][0][0] in there else False for k in w if k in filled)}
+        good |= fits | copied
+        changed |= bool(fits - copied)
+    usable = {p for p in range(len(a) - size + 1) if sum(bool(x[1]) and not x[2] for x in a[p : p + size]) <= most}
+    share = max(len(good) / max(1, len(a) - size + 1), len(good & usable) / len(usable) if usable else 0)
+    return (len(good), share, changed) if good and (share >= 0.5 or len(good) >= 24) else None
+
+
+def test_templates_against_plain_words():
+    """Both ways: what is found is what the rule says, for copies, changed fillers, crossed fillers and unlike texts."""
+    import random
+
+    r = random.Random(6)
+    names, units = ["Anna", "Bob", "Carl", "Dora", "Emil"], ["kg", "km", "hours", "euros"]
+
+    def question():
+        words = sentences(r.randrange(10**6), 6, 30).replace("\n", " ").replace(".", "").split()
+        for _ in range(r.randrange(2, 9)):
+            words.insert(r.randrange(len(words) + 1), r.choice([str(r.randrange(40)), r.choice(names), r.choice(units), f"so. {r.choice(names)}"]))
+        return " ".join(words)
+
+    def varied(t):
+        swap = {x: y for group in (names, units) for x, y in zip(group, r.sample(group, len(group)))}
+        return " ".join((swap.get(w) or (str(int(w) + 3) if w.isdigit() else w)) if r.random() < 0.95 else "other" for w in t.split(" "))
+
+    found = 0
+    for _ in range(300):
+        item = question()
+        text = " ".join(r.sample([question(), varied(item), r.choice([item, varied(item), question()])], 3))
+        got = D.Benchmark([(1, item)]).find(text)
+        want = plain_match(item, text)
+        assert [tuple(x[1:]) for x in got] == ([want] if want else []), (item, text)
+        found += bool(want)
+    assert 60 < found < 300
