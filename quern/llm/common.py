@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,20 +20,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_held: list = [None, None]
+#: Seconds without a task after which a worker drops what it remembers.
+IDLE = 15.0
+
+_held: tuple = (None, None)
+_timer: threading.Timer | None = None
 
 
 def remembered(name: str, make: Callable):
     """What a Python worker remembers from task to task, of one operator at a time.
 
     Workers outlive queries. When another operator asks, what the last one kept is dropped, so
-    the operators of a pipeline do not add up in a worker's memory.
+    the operators of a pipeline do not add up in a worker's memory; ``tidied`` drops it from workers that
+    a stage without Python leaves idle.
     """
-    if _held[0] != name:
-        _held[:] = [None, None]
+    global _held
+    if _timer is not None:
+        _timer.cancel()
+    held, value = _held  # read at once: the timer may run out meanwhile
+    if held != name:
+        _held = (None, None)
         tidy()
-        _held[:] = [name, make()]
-    return _held[1]
+        _held = name, value = name, make()
+    return value
+
+
+def _forget() -> None:
+    global _held
+    _held = (None, None)
+    tidy()
+
+
+def rest() -> None:
+    """Ends a task: memory is given back, and the clock runs until the next one."""
+    global _timer
+    tidy()
+    if _timer is not None:
+        _timer.cancel()
+    _timer = threading.Timer(IDLE, _forget)
+    _timer.daemon = True
+    _timer.start()
 
 
 def tidy() -> None:
@@ -45,11 +72,11 @@ def tidy() -> None:
 
 
 def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """``work``, with its task's memory given back at the end."""
+    """``work``, with its task's memory given back at the end, and what is ``remembered`` when no task follows soon."""
 
     def run(batches):
         yield from work(batches)
-        tidy()
+        rest()
 
     return run
 
