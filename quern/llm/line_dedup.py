@@ -413,7 +413,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     lines = frozen(lines)
     both = pairs.join(lines.select(F.col("h").alias("u"), F.col("line").alias("x")), "u").join(lines.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
     grouped = members.join(lines, "h").groupBy("unit").applyInArrow(_linked, "u long, v long")
-    sure = both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(grouped)
+    # Written, as a task with two Python nodes takes two workers; they outlive it, take later tasks in turn, and each would remember the same.
+    sure = frozen(both.select("u", "v", "x", "y").mapInArrow(tidied(_verified), "u long, v long").unionAll(grouped))
     return sure, found.where(f"kind = {REFERENCE}").select(F.col("u").alias("h"), F.col("v").alias("doc_id"), "own", "line", "rest")
 
 

@@ -187,3 +187,17 @@ def test_partitions_do_not_matter(spark):
     assert len(set(map(tuple, left.values()))) == 1
     want = sum(1 for _, t in brute(rows) if t)
     assert 300 - len(left[1]) >= 0.98 * (300 - want)
+
+
+def test_no_task_takes_two_python_workers(spark, docs, monkeypatch):
+    """What the union-find, itself a Python node, gets is written: workers that a second node needs outlive it."""
+    plans = []
+
+    def components(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return real(edges)
+
+    real = L.components
+    monkeypatch.setattr(L, "components", components)
+    assert L.dedup_lines(docs).count() == docs.count()
+    assert len(plans) == 1 and "Arrow" not in plans[0]
