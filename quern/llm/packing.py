@@ -16,6 +16,7 @@ last ones are planned again together with what follows, so memory is bounded.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections import deque
 from itertools import chain, islice
@@ -45,6 +46,8 @@ PART = 2 << 20
 #: Texts with other white space than single spaces and single line breaks, or with the mark put between segments.
 _ODD = "[\\x00\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n\\n| \\n|\\n "
 _ENDS = (".", "!", "?", "…", "。")
+#: Neither letters nor digits nor white space: in the tokenizer's pattern a run of them, whatever they are, is one piece.
+TAILS = string.punctuation
 #: How a byte-level vocabulary writes bytes: printable ones as themselves, the others as further characters in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _VISIBLE = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -92,9 +95,10 @@ class Encoder:
         return self.ids[np.repeat(self.first[at] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)], upto
 
     def _learn(self, new: list[str]) -> None:
-        # A word and one full stop or comma are two pieces: such a segment follows from its word.
-        tailed = [p for p in new if len(p) > 2 and p[-1] in ".," and p[-2] < "ɐ" and p[-2].isalpha()]
-        base = {p[:-1] for p in tailed} | {".", ","}
+        # After a letter, punctuation up to the end is a piece: such a segment follows from what is before it.
+        bare = [(p, b) for p in new if p[-1:] in TAILS and len(b := p.rstrip(TAILS)) > 1 and b[-1] < "ɐ" and b[-1].isalpha()]
+        tailed = [p for p, _ in bare]
+        base = {x for p, b in bare for x in (b, p[len(b) :])}
         whole = [p for p in dict.fromkeys([*base, *set(new).difference(tailed)]) if p not in self.known]
         # A word of Latin letters, with or without a space before it, is one piece, which the model takes as it is.
         found = [[t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(_VISIBLE))] if p.lstrip(" ").isalpha() and p[1:].isalpha() and max(p) < "ɐ" else None for p in whole]
@@ -103,7 +107,7 @@ class Encoder:
             found[k] = e.ids
         self._put(whole, np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
         if tailed:
-            ids, ends = self._of(np.array([self.known[x] for p in tailed for x in (p[:-1], p[-1])], np.int64))
+            ids, ends = self._of(np.array([self.known[x] for p, b in bare for x in (b, p[len(b) :])], np.int64))
             self._put(tailed, ids, np.diff(ends[1::2], prepend=0))
 
     def _forget(self) -> None:
@@ -141,7 +145,7 @@ class Encoder:
         marked = pc.replace_substring(pc.replace_substring(usual, " ", "\x00 "), "\n", "\x00\n\x00")
         lists = pc.split_pattern(marked, "\x00")
         coded = lists.flatten().dictionary_encode()
-        numbers = np.array(self._numbers(coded.dictionary.to_pylist()), np.int64)
+        numbers = np.array(self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64)
         at = numbers[coded.indices.to_numpy(zero_copy_only=False)]
         ids, upto = self._of(at)
         ends = self.ends[at]

@@ -112,3 +112,20 @@ def test_little_padding_in_many_partitions(spark):
         rows = K.pack(docs.repartition(n), tokenizer_file()).collect()
         tokens, windows = sum(r["length"] for r in rows), len({r["sequence_id"] for r in rows})
         assert 2048 * windows - tokens < 0.03 * tokens
+
+
+def test_punctuation_follows_from_the_word():
+    """Only words and runs of punctuation are encoded, not each of their combinations."""
+    e, asked = K.Encoder(tokenizer_file()), []
+
+    class Tokenizer:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+    words, tails = ["Uno", "dos", "don't", "x'll", "µé", "a1b", "漢字", "5", "q'"], ["###", ".", "'", "''", "...", "?!", ",###", "-", "$$$", "'s", "'ll.", ".5", "…"]
+    text = " ".join(w + t for w in words for t in tails)
+    tok, e.tok = e.tok, Tokenizer()
+    ids, _ = next(e.many(pa.array([text])))
+    assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert not {" dos" + t for t in tails[:9]} & set(asked) and "###" in asked
