@@ -211,19 +211,36 @@ def before_first_error(results: DataFrame) -> DataFrame:
     return results.join(bad, "file", "left").where("_bad is null or start_bit < _bad").drop("_bad")
 
 
-def byte_offsets(results: DataFrame) -> DataFrame:
-    """Adds ``offset``, where each block's bytes begin in its file's decoded content. The window sees sizes alone."""
-    sizes = results.select("file", "stream_idx", "start_bit", F.octet_length("data").cast("long").alias("_n"))
+_BLOCK = ["file", "stream_idx", "start_bit"]
+#: A range of up to so many bytes of each file has few blocks, whose places are sent to all tasks.
+SHORT_RANGE = 1 << 30
+
+
+def _offsets(results: DataFrame) -> DataFrame:
+    """``file, stream_idx, start_bit, offset, _n``: where each block's bytes begin in its file's decoded content, and their number."""
+    sizes = results.select(*_BLOCK, F.octet_length("data").cast("long").alias("_n"))
     at = F.expr("coalesce(sum(_n) over (partition by file order by stream_idx, start_bit rows between unbounded preceding and 1 preceding), 0L)")
-    return results.join(sizes.select("file", "stream_idx", "start_bit", at.alias("offset")), ["file", "stream_idx", "start_bit"])
+    return sizes.select(*_BLOCK, at.alias("offset"), "_n")
+
+
+def byte_offsets(results: DataFrame) -> DataFrame:
+    """Adds ``offset``, where each block's bytes begin in its file's decoded content. The window sees sizes alone.
+
+    The optimizer takes decoded blocks for as small as their ranges; by the hint it does not send them to the driver.
+    """
+    return results.hint("merge").join(_offsets(results).drop("_n"), _BLOCK)
 
 
 def read_bytes(results: DataFrame, begin: int, length: int) -> DataFrame:
-    """``file, offset, data``: the pieces of each file's decoded content in [begin, begin + length)."""
+    """``file, offset, data``: the pieces of each file's decoded content in [begin, begin + length).
+
+    Of a short range the places of its blocks, never their bytes, are broadcast; a long one is joined by an exchange.
+    """
     end = begin + length
-    inside = byte_offsets(results).where((F.col("offset") < end) & (F.col("offset") + F.octet_length("data") > begin))
+    places = _offsets(results).where((F.col("offset") < end) & (F.col("offset") + F.col("_n") > begin))
+    inside = results.join(F.broadcast(places), _BLOCK) if length <= SHORT_RANGE else results.hint("merge").join(places, _BLOCK)
     skip = F.greatest(F.lit(begin) - F.col("offset"), F.lit(0))
-    cut = F.substring("data", (skip + 1).cast("int"), (F.least(F.lit(end), F.col("offset") + F.octet_length("data")) - F.col("offset") - skip).cast("int"))
+    cut = F.substring("data", (skip + 1).cast("int"), (F.least(F.lit(end), F.col("offset") + F.col("_n")) - F.col("offset") - skip).cast("int"))
     return inside.select("file", (F.col("offset") + skip).alias("offset"), cut.alias("data"))
 
 

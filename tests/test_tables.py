@@ -303,3 +303,18 @@ def test_a_failed_write_removes_hidden_files(spark, tmp_path):
     with pytest.raises(PySparkException):
         write_files(bad, str(path), mode="overwrite")
     assert spark.read.text(str(path)).count() >= 1 and not [p for p in path.iterdir() if p.name.startswith("_part")]
+
+
+@pytest.mark.parametrize("longest", [1 << 30, 0])
+def test_ranges_of_bytes_broadcast_no_payload(spark, tmp_path, capsys, monkeypatch, longest):
+    """Blocks look as small as their ranges once these are there, so all of them were broadcast by the driver."""
+    monkeypatch.setattr(decode, "SHORT_RANGE", longest, raising=False)
+    (tmp_path / "f.bz2").write_bytes(K.compress(DATA["large"], 1))
+    results = decode.decode_files(spark, str(tmp_path))
+    part, all_ = decode.read_bytes(results, 70_000, 20_000).orderBy("offset"), decode.byte_offsets(results).orderBy("offset")
+    assert b"".join(bytes(r["data"]) for r in part.collect()) == DATA["large"][70_000:90_000]
+    assert b"".join(bytes(r["data"]) for r in all_.collect()) == DATA["large"]
+    for df in (part, all_):
+        df.explain("formatted")  # as it ran
+        nodes = capsys.readouterr().out.split("\n\n")
+        assert not any(") BroadcastExchange\n" in x and "data#" in x for x in nodes)
