@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
+from quern.functions.columns import fold_crc
 from quern.operators.schemas import ENCODED
 from quern.plans.batches import cuts
 from quern.plans.prefix import prefix_sum
@@ -106,6 +107,54 @@ def assemble(encoded: DataFrame, key: str, level: int = 9, keys: DataFrame | Non
     return grouped.select(key, put("_b").alias("content"))
 
 
+#: Input bytes of the consecutive blocks that are put together in one row of ``stream_parts``.
+PART_BYTES = 4 << 20
+
+
+def stream_parts(encoded: DataFrame, key: str, level: int = 9, keys: DataFrame | None = None) -> DataFrame:
+    """``key, bit_pos, bit_len, last, bytes``: each key's stream put together in order like by ``assemble``, in parts, so no stream need fit into a row or a task.
+
+    A part is a run of blocks; the first also has the header, the last the end with the checksum and the padding. ``bytes`` has zeros
+    around its bits, which begin ``bit_pos % 8`` bits in. The windows see no payload. ``encoded`` is read twice and should be
+    stored. ``keys`` adds the keys that have no block, which get an empty stream.
+    """
+    size = max(1, PART_BYTES // K.max_block_bytes(level))
+    rows = encoded.select(F.col(key).alias("_k"), "block_idx", F.expr(f"block_idx div {size}").alias("_run"), "bits", "bit_len", "block_crc")
+    i = rows.selectExpr("_k", "block_crc", "row_number() over (partition by _k order by block_idx) - 1 as i", "count(*) over (partition by _k) as n")
+    ends = i.groupBy("_k").agg(fold_crc(F.col("block_crc"), F.col("i"), F.col("n")).alias("_crc"))
+    if keys is not None:
+        every = keys.select(F.col(key).alias("_every")).distinct()
+        ends = every.join(ends, F.col("_every").eqNullSafe(F.col("_k")), "left").select(F.col("_every").alias("_k"), F.coalesce("_crc", F.lit(0)).alias("_crc"))
+    runs = rows.groupBy(F.col("_k").alias("_rk"), F.col("_run").alias("_r")).agg(F.sum("bit_len").alias("_n"))
+    runs = runs.selectExpr("_rk", "_r", "32 + coalesce(sum(_n) over (partition by _rk order by _r rows between unbounded preceding and 1 preceding), 0L) as _pos", "lead(_r) over (partition by _rk order by _r) is null as _last", "lag(_r) over (partition by _rk order by _r) is null as _first")
+    frame = ends.join(runs, F.col("_k").eqNullSafe(F.col("_rk")), "left").select(F.col("_k").alias(key), "_r", F.coalesce("_pos", F.lit(32)).alias("_pos"), F.coalesce("_first", F.lit(True)).alias("_first"), F.coalesce("_last", F.lit(True)).alias("last"), "_crc")
+    groups = rows.groupBy("_k", "_run").agg(F.array_sort(F.collect_list(F.struct("block_idx", "bits", "bit_len"))).alias("_b"))
+    both = frame.join(groups, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_run")), "left").select(key, "_pos", "_first", "last", "_crc", "_b")
+
+    def one(pos, first, last, crc, blocks):
+        w = K.BitWriter()
+        if first:
+            w.write_bytes(b"BZh%d" % level)
+            pos = 0
+        w.write_bits(0, pos % 8)
+        for b in blocks or []:
+            w.copy_bits(b["bits"], 0, b["bit_len"])
+        if last:
+            w.write_bits(K.EOS_MAGIC, 48)
+            w.write_bits(crc, 32)
+            w.pad()
+        return pos, w.bit_len - pos % 8, last, w.getvalue()
+
+    def work(found):
+        for b in found:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                made = one(*(c.to_pylist()[0] for c in row.columns[1:]))
+                yield pa.RecordBatch.from_arrays([row.column(0), *(pa.array([x], t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.bool_(), pa.binary())))], [key, "bit_pos", "bit_len", "last", "bytes"])
+
+    return both.mapInArrow(work, f"`{key}` {both.schema[key].dataType.simpleString()}, bit_pos bigint, bit_len bigint, last boolean, bytes binary")
+
+
 def encode(df: DataFrame, key: str, data: str, level: int = 9) -> DataFrame:
     """``key, content``: each binary value as one stream, its blocks encoded as rows of their own."""
     encoded = encode_blocks(split_blocks(df, key, data, level), level)

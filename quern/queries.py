@@ -15,7 +15,7 @@ from quern.functions.columns import block_crc, compress, continued_crc, decompre
 from quern.operators import decode, encode, markers, stats
 from quern.plans.spread import spread
 from quern.plans.storage import fresh_folder, stored
-from quern.sources.bzip2 import write_files, write_streams
+from quern.sources.bzip2 import same_streams, write_files, write_streams
 from quern.sources.files import located
 from quern.streaming.batches import write_stream
 from quern.streaming.files import DecoderOptions, EncoderOptions
@@ -216,12 +216,11 @@ def stream_checks(spark, sf_dir):
 
 
 def placed_reassembly(spark, sf_dir):
-    """Files of blocks written in any order, against the streams put together in order."""
+    """Files of blocks written in any order, against the streams put together in order; both in parts, as a file may exceed a row."""
     e = stored(_blocks(spark, sf_dir, "lang"), "blocks")
-    path = fresh_folder(spark, "placed")
-    write_streams(e, "lang", path, 1)
-    files = spark.read.format("binaryFile").load(path).select(_key("path").alias("lang"), F.col("content").alias("written"))
-    return files.join(encode.assemble(e, "lang", 1), "lang").select("lang", (F.col("written") == F.col("content")).alias("same"))
+    path, keys = fresh_folder(spark, "placed"), _table(spark, sf_dir, "documents").select("lang")
+    write_streams(e, "lang", path, 1, keys)
+    return same_streams(encode.stream_parts(e, "lang", 1, keys), "lang", path)
 
 
 def decoder_statistics(spark, sf_dir):

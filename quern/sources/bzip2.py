@@ -236,3 +236,31 @@ def write_streams(encoded: DataFrame, key: str, path: str, level: int = 9, keys:
     done = frozen(shared.groupBy("key", "at").agg(F.bit_or("byte").alias("byte")).mapInArrow(put, "key string").distinct())
     done.mapInArrow(publish, "key string").write.format("noop").mode("overwrite").save()
     os.rmdir(hidden)
+
+
+def same_streams(parts: DataFrame, key: str, path: str) -> DataFrame:
+    """``key, same``: whether the file of each key in ``path`` is, bit by bit, the stream that ``parts`` (of ``encode.stream_parts``) make up.
+
+    Each part is held against its own range of the file, so no file is ever in one row or task.
+    """
+
+    def same(k, at, n, last, piece):
+        file = f"{path}/{file_name(k)}"
+        system, name = located(file)
+        info = system.get_file_info(name)
+        if not info.is_file or last and info.size != (at + n) // 8:
+            return False
+        got = bytearray(read_range(file, at // 8, (at + n + 7) // 8))
+        if len(got) != len(piece):
+            return False
+        got[0] &= 0xFF >> at % 8
+        got[-1] &= 0xFF << -(at + n) % 8
+        return got == piece
+
+    def work(found):
+        for b in found:
+            keys, at, n, last = (c.to_pylist() for c in b.columns[:4])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([same(*x, piece.as_py()) for *x, piece in zip(keys, at, n, last, b.column(4))], pa.bool_())], [key, "same"])
+
+    held = parts.select(F.col(key).cast("string").alias(key), "bit_pos", "bit_len", "last", "bytes").mapInArrow(work, f"`{key}` string, same boolean")
+    return held.groupBy(key).agg(F.bool_and("same").alias("same"))

@@ -8,7 +8,7 @@ from quern.functions import kernels as K
 from quern.functions.columns import compress, decompress, fold_crc, max_block_bytes, ratio
 from quern.operators import decode, encode, markers, stats
 from quern.plans.prefix import prefix_sum
-from quern.sources.bzip2 import file_name, register, write_files, write_streams
+from quern.sources.bzip2 import file_name, register, same_streams, write_files, write_streams
 from quern.streaming.batches import read_stream, write_stream
 from tests.test_kernels import lcg
 
@@ -318,3 +318,35 @@ def test_ranges_of_bytes_broadcast_no_payload(spark, tmp_path, capsys, monkeypat
         df.explain("formatted")  # as it ran
         nodes = capsys.readouterr().out.split("\n\n")
         assert not any(") BroadcastExchange\n" in x and "data#" in x for x in nodes)
+
+
+def test_streams_are_compared_in_parts(spark, tmp_path, monkeypatch):
+    """No part holds more than its run of blocks; together they are the stream; one changed bit or byte too many is seen."""
+    monkeypatch.setattr(encode, "PART_BYTES", 160_000)
+    df = spark.createDataFrame([(k, i, bytearray(lcg(i, 50_000 + i))) for k in ("a", None) for i in range(9)] + [("b", 1, bytearray(b"b")), ("e", 1, bytearray(b""))], "key string, n long, v binary")
+    e = encode.encode_blocks(encode.tile_rows(df, "key", "n", "v", 1), 1).localCheckpoint()
+    parts = encode.stream_parts(e, "key", 1, df).localCheckpoint()
+    whole = {r["key"]: bytes(r["content"]) for r in encode.assemble(e, "key", 1, df).collect()}
+    for k, z in whole.items():
+        own, bits, at = sorted((r for r in parts.collect() if r["key"] == k), key=lambda r: r["bit_pos"]), 0, 0
+        for r in own:
+            assert r["bit_pos"] == at and len(r["bytes"]) < 2 * 90_000
+            bits |= int.from_bytes(r["bytes"], "big") << 8 * (len(z) - at // 8 - len(r["bytes"]))
+            at += r["bit_len"]
+        assert at == 8 * len(z) and bits.to_bytes(len(z), "big") == z and [r["last"] for r in own] == [False] * (len(own) - 1) + [True]
+    path = tmp_path / "out"
+    write_streams(e, "key", str(path), 1, df)
+    assert parts.where("key = 'a'").count() == 3 and dict(same_streams(parts, "key", str(path)).collect()) == dict.fromkeys(["a", None, "b", "e"], True)
+    changed = bytearray(whole["a"])
+    changed[len(changed) // 2] ^= 1
+    (path / file_name("a")).write_bytes(changed)
+    (path / file_name("b")).write_bytes(whole["b"] + b"0")
+    (path / file_name(None)).unlink()
+    assert dict(same_streams(parts, "key", str(path)).collect()) == {"a": False, None: False, "b": False, "e": True}
+
+
+def test_reassembly_holds_no_whole_stream(spark, sf, capsys):
+    from quern.queries import placed_reassembly
+
+    placed_reassembly(spark, sf).explain("formatted")
+    assert "content#" not in capsys.readouterr().out
