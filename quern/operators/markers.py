@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
 from quern.operators.schemas import MARKER
+from quern.plans.batches import ROWS
 
 #: Bytes of a file scanned by one task.
 PART = 32 << 20
@@ -39,9 +40,14 @@ def markers(df: DataFrame, key: str = "file", data: str = "content") -> DataFram
 
     def work(batches):
         for b in batches:
+            rows = []
             for k, v in zip(b.column(0).to_pylist(), b.column(1)):
                 if v.is_valid:
-                    yield marker_batch(marker_rows(k, v.as_py()))
+                    rows += marker_rows(k, v.as_py())
+                if len(rows) >= ROWS:
+                    yield marker_batch(rows)
+                    rows = []
+            yield marker_batch(rows)
 
     return df.select(F.col(key).cast("string"), F.col(data)).mapInArrow(work, MARKER)
 

@@ -186,7 +186,7 @@ def false_marker_recovery(spark, sf_dir):
     """Up to 20 false block markers are put into every range; the texts come out whole."""
     files = _work(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("file"), compress(_bytes("text"), 1).alias("content"))
     files = stored(files, "files")
-    m = markers.markers(files)
+    m = decode.frozen(markers.markers(files))
     n = F.col("file").cast("long") % 21
     at = F.explode(F.transform(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<long>")), lambda j: F.expr("start_bit") + F.floor((F.col("end_bit") - F.col("start_bit")) * j / (n + 1))))
     false = markers.block_ranges(m).select("file", at.alias("bit_offset"), F.lit("B").alias("kind"), F.lit(0).cast("long").alias("crc"), F.lit(None).cast("int").alias("next_level"))

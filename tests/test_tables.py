@@ -350,3 +350,19 @@ def test_reassembly_holds_no_whole_stream(spark, sf, capsys):
 
     placed_reassembly(spark, sf).explain("formatted")
     assert "content#" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("n", [1, 20])
+def test_false_markers_are_passed_in_one_go(monkeypatch, n):
+    """However many false markers split a block, it is not decoded anew for each; ends in one byte are told apart."""
+    data = K.compress(DATA["large"], 1) + K.compress(b"tail" * 50, 1)
+    tries = []
+    monkeypatch.setattr(K, "decode_block", lambda *a, f=K.decode_block: tries.append(a) or f(*a))
+    for s in K.find_streams(data, K.scan(data)):
+        cut = [(a, sorted({a, *(a + (z - a) * j // (n + 1) for j in range(1, n + 1)), z - 3, z - 1})) for a, z in s.ranges]
+        starts = [x for _, own in cut for x in own]
+        for whole in (data, data[: (s.eos_bit + 7) // 8]):  # with and without what follows the last block
+            tries.clear()
+            got = list(K.true_blocks(lambda a, z: (whole[a:z], a), list(zip(starts, [*starts[1:], s.eos_bit])), 1))
+            assert [x[:2] for x in got] == s.ranges and not any(x[5] for x in got)
+            assert b"".join(x[2] for x in got) in (DATA["large"], b"tail" * 50) and len(tries) <= len(got) + 3
