@@ -5,6 +5,7 @@ Which ranges are blocks is settled on markers first, so nothing above the decodi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -36,11 +37,14 @@ def _rows(rows):
     return batches(rows, _NAMES, _KINDS, 6)
 
 
-def _blocks(source, payload: bool = True):
+def _blocks(source, payload: bool = True, packed: bool = False):
     """``source(row)`` gives the window function of a row, which is a dict of a range."""
 
+    def put(r):
+        return tuple(zlib.compress(x, 1) if k == 6 and x is not None else x for k, x in enumerate(r)) if packed else r
+
     def work(found):
-        yield from _rows(_result(r, source(r), payload) for b in found for r in b.to_pylist())
+        yield from _rows(put(_result(r, source(r), payload)) for b in found for r in b.to_pylist())
 
     return work
 
@@ -59,15 +63,22 @@ def decode_file_blocks(ranges: DataFrame, tasks: int | None = None, payload: boo
     return ranges.select(*_RANGE).repartition(n, "file", "stream_idx", "block_idx").mapInArrow(_blocks(_from_file, payload), BLOCK_RESULT)
 
 
-def decoded_ranges(ranges: DataFrame, source: Callable) -> DataFrame:
-    """The same, with the ranges' partitions and order kept. ``source(row)`` gives what reads the bytes of a row's file."""
-    return ranges.select(*_RANGE).mapInArrow(_blocks(source), BLOCK_RESULT)
+def decoded_ranges(ranges: DataFrame, source: Callable, packed: bool = False) -> DataFrame:
+    """The same, with the ranges' partitions and order kept. ``source(row)`` gives what reads the bytes of a row's file.
+
+    If ``packed``, ``data`` comes as zlib streams, for blocks that go to the driver.
+    """
+    return ranges.select(*_RANGE).mapInArrow(_blocks(source, packed=packed), BLOCK_RESULT)
 
 
 def decoded_files(ranges: DataFrame) -> DataFrame:
     return decoded_ranges(ranges, _from_file)
 
 
+def packed_files(ranges: DataFrame) -> DataFrame:
+    return decoded_ranges(ranges, _from_file, True)
+
+
 #: Consecutive blocks of a value that are decoded from one window of its bytes.
 CHUNK = 16
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import kernels as K
 from quern.functions.columns import block_crc, compress, continued_crc, decompress, extract_bits, fold_crc, max_block_bytes, ratio, read_u32
 from quern.operators import decode, encode, markers, stats
+from quern.plans.batches import pulled_longs
 from quern.plans.spread import spread
 from quern.plans.storage import fresh_folder, stored
 from quern.sources.bzip2 import same_streams, write_files, write_streams
@@ -239,8 +240,8 @@ def push_and_pull(spark, sf_dir):
     system.create_dir(name.rpartition("/")[0], recursive=True)
     seen, flushed = [], 0
     with system.open_output_stream(name, compression=None) as out, EncoderOptions(level=1, min_blocks=2, on_progress=seen.append).build(out, spark) as e:
-        for k, r in enumerate(_table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").toLocalIterator()):
-            e.write(b"%d\n" % r[0])
+        for k, key in enumerate(pulled_longs(_table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey"))):
+            e.write(b"%d\n" % key)
             if k == 5000:
                 e.flush()
                 flushed = out.tell()

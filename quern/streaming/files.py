@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import time
 import uuid
+import zlib
 from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
-from quern.operators import decode, encode, markers
+from quern.operators import decode, markers
 from quern.plans.storage import fresh_folder, frozen
 from quern.sources.files import write_bytes
 
@@ -111,10 +112,9 @@ class Encoder:
     def _encoded(self, blocks: list[bytes]):
         if self.spark is None or len(blocks) < 2:
             return [K.encode_block(b, self.level) for b in blocks]
-        rows = self.spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blocks)], "block_idx int, data binary").repartition(len(blocks))
-        with _in_pool(self.spark, self.options.pool):
-            got = encode.encode_blocks(rows, self.level).collect()
-        return [(bytes(r["bits"]), r["bit_len"], r["block_crc"]) for r in sorted(got, key=lambda r: r["block_idx"])]
+        level = self.level
+        with _in_pool(self.spark, self.options.pool):  # one stage, nothing exchanged: a batch may be as small as two blocks
+            return self.spark.sparkContext.parallelize(blocks, len(blocks)).map(lambda b: K.encode_block(b, level)).collect()
 
     def _batch(self, size: int) -> None:
         blocks = K.split(bytes(self._pending[:size]), self.level)
@@ -205,7 +205,7 @@ class Decoder(io.RawIOBase):
     """Reads the streams of one file in order.
 
     Opening scans and checks the format. Reading pulls partitions of blocks, decoded by
-    Spark, and the table of streams in step with them. Blocks before a bad one are delivered, then the error is raised.
+    Spark and packed for the way to the driver, and the table of streams in step with them. Blocks before a bad one are delivered, then the error is raised.
     Closing cancels the jobs that run ahead. Settings given one by one go before those in ``options``.
     """
 
@@ -236,7 +236,7 @@ class Decoder(io.RawIOBase):
     def open(cls, spark: SparkSession, path: str, options: DecoderOptions = DecoderOptions(), **given) -> "Decoder":
         options = options.replace(**given)
         files = spark.createDataFrame([(path,)], "file string")
-        return cls(markers.file_markers(spark, path, options.part_bytes), decode.decoded_files, lambda m: decode.file_ranges(m)[0], files, options)
+        return cls(markers.file_markers(spark, path, options.part_bytes), decode.packed_files, lambda m: decode.file_ranges(m)[0], files, options)
 
     @classmethod
     def from_bytes(cls, spark: SparkSession, data: bytes, options: DecoderOptions = DecoderOptions(), **given) -> "Decoder":
@@ -247,7 +247,7 @@ class Decoder(io.RawIOBase):
             return cls.open(spark, path, options)
         df = spark.createDataFrame([("bytes", bytearray(data))], "file string, content binary")
         shared = spark.sparkContext.broadcast(data)
-        return cls(markers.markers(df), lambda r: decode.decoded_ranges(r, lambda _: lambda a, z: (shared.value[a:z], a)), lambda m: decode.value_ranges(m, df)[0], df, options)
+        return cls(markers.markers(df), lambda r: decode.decoded_ranges(r, lambda _: lambda a, z: (shared.value[a:z], a), True), lambda m: decode.value_ranges(m, df)[0], df, options)
 
     def close(self) -> None:
         if not self.closed and hasattr(self, "_tag"):
@@ -287,7 +287,7 @@ class Decoder(io.RawIOBase):
             return False
         if not r["crc_valid"]:
             raise (K.CrcMismatch if r["data"] is not None else K.DecompressionFailed)(f"block at bit {r['start_bit']}: {r['error']}")
-        self._crc, self._left = K.fold_crc(self._crc, r["stored_crc"]), bytes(r["data"])
+        self._crc, self._left = K.fold_crc(self._crc, r["stored_crc"]), zlib.decompress(r["data"])
         s = self._stats
         self._stats = replace(s, blocks_completed=s.blocks_completed + 1, bytes_out=s.bytes_out + len(self._left), bits_consumed=r["end_bit"])
         if self.on_progress:

@@ -2,6 +2,7 @@ import bz2
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.functions import kernels as K
 from quern.operators import decode, markers
@@ -114,3 +115,20 @@ def test_closing_early(spark):
 def test_large_values_go_by_file(spark, monkeypatch):
     monkeypatch.setattr("quern.streaming.files.BROADCAST", 10)
     assert Decoder.from_bytes(spark, K.compress(DATA, 1)).readall() == DATA
+
+
+def test_little_is_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    """Sorted keys come as packed differences, decoded blocks packed."""
+    from pyspark.sql import Row
+    from quern.plans import batches
+
+    seen = []
+    monkeypatch.setattr(batches.zlib, "decompress", lambda b, f=batches.zlib.decompress: seen.append(len(b)) or f(b))
+    keys = [-(1 << 63), -5, 0, 0, *range(7, 60_000, 3), 1 << 40, (1 << 63) - 1]
+    df = spark.createDataFrame([Row(k=k) for k in [*keys, None]], "k long").repartition(3)
+    assert list(batches.pulled_longs(df.orderBy("k"))) == keys and sum(seen) < len(keys)
+    assert list(batches.pulled_longs(df.where("false"))) == [] and list(batches.pulled_longs(df.select(F.expr("cast(k % 100 as int)")).where("k is null"))) == []
+    seen.clear()
+    text = b"".join(b"%d\n" % k for k in range(40_000))
+    (tmp_path / "x.bz2").write_bytes(K.compress(text, 1))
+    assert Decoder.open(spark, str(tmp_path / "x.bz2")).readall() == text and len(seen) == 3 and sum(seen) < len(text) // 2
