@@ -91,19 +91,19 @@ class Encoder:
         self.out, self.level, self.spark, self.on_progress = out, K.checked_level(self.options.level), spark, self.options.on_progress
         self.min_blocks = self.options.batch_blocks(spark)
         self._bits, self._pending, self._crc, self._began, self.finished = K.BitWriter(), bytearray(), 0, time.monotonic(), False
-        self._stats = EncoderStats()
+        self._stats, self._total_in = EncoderStats(), 0
         self._bits.write_bytes(b"BZh%d" % self.level)
 
     @property
     def stats(self) -> EncoderStats:
-        return replace(self._stats, elapsed=time.monotonic() - self._began)
+        return replace(self._stats, total_in=self._total_in, elapsed=time.monotonic() - self._began)
 
     def write(self, data: bytes) -> int:
         if self.finished:
             raise ValueError("write after finish")
         self._pending += data
         if data:
-            self._stats = replace(self._stats, total_in=self._stats.total_in + len(data))
+            self._total_in += len(data)
             full = len(self._pending) // K.max_block_bytes(self.level)
             if full >= self.min_blocks:
                 self._batch(full * K.max_block_bytes(self.level))
