@@ -151,7 +151,7 @@ def true_ranges(m: DataFrame, check: Callable[[DataFrame], DataFrame], join: Cal
     runs = frozen(found.groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct("start_bit", "end_bit", "crc", "stream_idx", "level"))).alias("rs")).where("size(rs) > 1"))
     if runs.isEmpty():
         return ranges, doubtful
-    put = join(runs.select("file", F.expr("rs[0].start_bit div 8").alias("a"), F.expr("(rs[size(rs) - 1].end_bit + 7) div 8").alias("z"), "rs")).select(*_JOINED_NAMES)
+    put = join(runs.select("file", F.expr("rs[0].start_bit div 8").alias("a"), F.expr(f"(rs[size(rs) - 1].end_bit + 7) div 8 + {K.FOLLOWS}").alias("z"), "rs")).select(*_JOINED_NAMES)
     split = runs.select("file", "stream_idx", F.explode("rs.start_bit").alias("start_bit"))
     return frozen(dense(ranges.join(split, [*keys, "start_bit"], "left_anti").select(*_JOINED_NAMES).unionByName(put))), doubtful
 

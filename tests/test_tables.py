@@ -366,3 +366,13 @@ def test_false_markers_are_passed_in_one_go(monkeypatch, n):
             got = list(K.true_blocks(lambda a, z: (whole[a:z], a), list(zip(starts, [*starts[1:], s.eos_bit])), 1))
             assert [x[:2] for x in got] == s.ranges and not any(x[5] for x in got)
             assert b"".join(x[2] for x in got) in (DATA["large"], b"tail" * 50) and len(tries) <= len(got) + 3
+
+
+def test_a_joined_block_is_decoded_once(monkeypatch):
+    """The run's window shows the magic after its last block, so the way from end to end settles it."""
+    data = K.compress(DATA["text"][:50_000], 1)
+    (a, z), = K.find_streams(data, K.scan(data))[0].ranges
+    tries = []
+    monkeypatch.setattr(K, "decode_block", lambda *a, f=K.decode_block: tries.append(a) or f(*a))
+    rs = [{"start_bit": x, "end_bit": y, "crc": 5, "stream_idx": 0, "level": 1} for x, y in ((a, a + 99), (a + 99, z))]
+    assert decode._joined_runs({"file": "f", "rs": rs}, lambda a, z: (data[a:z], a)) == [("f", 0, 1, a, z, 5)] and len(tries) == 1
